@@ -7,10 +7,10 @@ can express, the folds are rows of one window pass; nothing is joined and no fol
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesforge.operators.series import SEASON, by_series, trailing
+from seriesforge.operators.series import SEASON, by_series, trailing, whole
 
 
 def is_origin(window: int | None = None, initial: int = 0, h: int | None = None) -> Column:
@@ -21,7 +21,7 @@ def is_origin(window: int | None = None, initial: int = 0, h: int | None = None)
 
 
 def with_length(df: DataFrame) -> DataFrame:
-    return df.withColumn("n", F.max("idx").over(Window.partitionBy("series_id")))
+    return df.withColumn("n", F.max("idx").over(whole()))
 
 
 def folds(df: DataFrame, h: int = 1, window: int | None = None, initial: int = 0,
@@ -50,9 +50,9 @@ def _errors(df: DataFrame, forecasts: list[Column], window: int | None, initial:
         F.struct(F.lit(k).alias("k"), F.lead("y", k).over(w).alias("y"), f.alias("yhat"))
         for k, f in enumerate(forecasts, start=1)
     ])
-    rows = with_length(df).withColumns({**(extra or {})}) if extra else with_length(df)
+    rows = with_length(df).withColumns(extra or {})
     rows = rows.withColumn("_ahead", ahead).filter(is_origin(window, initial, h if full_horizon_only else None))
-    return rows.select("series_id", F.col("idx").alias("origin"), F.inline("_ahead")).withColumn(
+    return rows.select("series_id", F.col("idx").alias("origin"), F.inline_outer("_ahead")).withColumn(
         "error", F.col("y") - F.col("yhat"))
 
 

@@ -6,11 +6,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesforge.operators.series import SEASON, by_series
+from seriesforge.operators.series import SEASON, by_series, whole
 
 
 def _correlations(df: DataFrame, lags: int, column: str) -> DataFrame:
@@ -19,7 +19,7 @@ def _correlations(df: DataFrame, lags: int, column: str) -> DataFrame:
     All lags come from one window pass and one aggregate, both on the same partitioning by series.
     Products with a missing value are left out, and each sum is averaged over its pairs plus its lag.
     """
-    centred = df.withColumn("_c", F.col(column) - F.avg(column).over(Window.partitionBy("series_id")))
+    centred = df.withColumn("_c", F.col(column) - F.avg(column).over(whole()))
     c, w = F.col("_c"), by_series()
     products = centred.select("series_id", "_c", *[(c * F.lag("_c", k).over(w)).alias(f"_p{k}")
                                                   for k in range(1, lags + 1)])
@@ -103,7 +103,7 @@ def auto_lambda(df: DataFrame, lambdas: tuple[float, ...] = AUTO_LAMBDAS, season
     smallest relative variation of that ratio wins (Guerrero 1993). A series that is not positive
     throughout, or has under two whole seasons, gets 1, which is no transform but a shift.
     """
-    n = F.max("idx").over(Window.partitionBy("series_id"))
+    n = F.max("idx").over(whole())
     blocks = (
         df.withColumn("_block", F.floor((n - F.col("idx")) / season))
         .groupBy("series_id", "_block")

@@ -98,6 +98,23 @@ def add_attributes(base: DataFrame, family: Family) -> DataFrame:
     return null_sentinels(base.withColumns(columns))
 
 
+def all_dimensions(raw: DataFrame, families: tuple[Family, ...] = ELECTRICITY_FAMILIES) -> DataFrame:
+    """Every family in one pass over the records: base columns, ``family``, and each attribute any family
+    has, NULL where the series' own family does not have it."""
+    rows = with_family(base_dimension(raw), families)
+    columns: dict[str, Column] = {}
+    for name in dict.fromkeys(a for family in families for a in family.parts):
+        holders = [(f, f.parts.index(name)) for f in families if name in f.parts]
+        value = F.when(F.col("family") == holders[0][0].name, name_part("name", holders[0][1]))
+        for family, position in holders[1:]:
+            value = value.when(F.col("family") == family.name, name_part("name", position))
+        columns[name] = value
+    plants = [f.name for f in families if f.plant_id]
+    if plants:
+        columns["plant_id"] = F.when(F.col("family").isin(*plants), plant_number("series_id"))
+    return null_sentinels(rows.withColumns(columns))
+
+
 def missed_dimension(raw: DataFrame, families: tuple[Family, ...] = ELECTRICITY_FAMILIES) -> DataFrame:
     """Series no family claims: the completeness check of the routing."""
     return null_sentinels(base_dimension(raw.filter(family_of(families) == MISSED)))

@@ -26,8 +26,8 @@ def accuracy(rows: DataFrame, *keys: str, order: str = "idx") -> DataFrame:
     """
     if "series_id" not in keys:
         raise ValueError("accuracy is measured per series; average its result over series instead")
-    cells = Window.partitionBy(*keys)
-    ordered = cells.orderBy(order)
+    ordered = Window.partitionBy(*keys).orderBy(order)
+    cells = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     e, y, yhat = F.col("error"), F.col("y"), F.col("yhat")
     rows = rows.withColumn("error", y - yhat)
     rows = rows.withColumns({

@@ -6,10 +6,10 @@ horizon ``k``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesforge.operators.series import SEASON, by_series
+from seriesforge.operators.series import SEASON, by_series, whole
 
 # Two-sided normal quantiles of the 80% and 95% prediction intervals.
 NORMAL_QUANTILES = {80: 1.2815515655446004, 95: 1.959963984540054}
@@ -20,10 +20,9 @@ def seasonal_naive(df: DataFrame, h: int, season: int = SEASON) -> DataFrame:
 
     Each of the last ``season`` rows is dealt out to the horizons it stands for; there is no join.
     """
-    whole = Window.partitionBy("series_id")
     residual = F.col("y") - F.lag("y", season).over(by_series())
-    rows = df.withColumns({"_n": F.max("idx").over(whole), "_end": F.max("date").over(whole), "_e": residual})
-    rows = rows.withColumn("sigma", F.sqrt(F.avg(F.col("_e") * F.col("_e")).over(whole)))
+    rows = df.withColumns({"_n": F.max("idx").over(whole()), "_end": F.max("date").over(whole()), "_e": residual})
+    rows = rows.withColumn("sigma", F.sqrt(F.avg(F.col("_e") * F.col("_e")).over(whole())))
     first = F.col("idx") - F.col("_n") + season
     rows = rows.filter((F.col("_n") >= season) & (first >= 1) & (first <= h))
     return rows.select(
@@ -71,11 +70,10 @@ def regression(split: DataFrame) -> DataFrame:
     ``split`` comes from ``split_train_test``. Coefficients are a window aggregate over the series, so
     train and test rows are never joined.
     """
-    whole = Window.partitionBy("series_id")
     y, x = (F.when(F.col("part") == "train", F.col(c)) for c in ("y", "x"))
     fitted = split.withColumns({
-        "slope": F.regr_slope(y, x).over(whole),
-        "intercept": F.regr_intercept(y, x).over(whole),
+        "slope": F.regr_slope(y, x).over(whole()),
+        "intercept": F.regr_intercept(y, x).over(whole()),
     })
     return fitted.filter(F.col("part") == "test").select(
         "series_id", "k", "date", "y", "slope", "intercept",

@@ -23,6 +23,11 @@ def trailing(rows: int | None = None, key: str = "series_id", order: str = "idx"
     return by_series(order, key).rowsBetween(start, Window.currentRow)
 
 
+def whole(order: str = "idx", key: str = "series_id") -> WindowSpec:
+    """All rows of the series. It names the order as the other windows do, so that they share a sort."""
+    return by_series(order, key).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
 def monthly(facts: DataFrame, value: str = "value", *others: str) -> DataFrame:
     """One row per series and month: mean of what falls in it. Combined before it is shuffled."""
     month = F.trunc("date", "month").alias("date")
@@ -37,11 +42,10 @@ def regular(months: DataFrame, key: str = "series_id") -> DataFrame:
     series serves this step and every window after it.
     """
     w = by_series("date", key)
-    whole = Window.partitionBy(key)
     others = [c for c in months.columns if c not in (key, "date")]
     step = F.coalesce(_month_number(F.lead("date").over(w)) - _month_number(F.col("date")), F.lit(1))
     spaced = months.withColumns({
-        "_idx": _month_number(F.col("date")) - _month_number(F.min("date").over(whole)) + 1,
+        "_idx": _month_number(F.col("date")) - _month_number(F.min("date").over(whole("date", key))) + 1,
         "_step": step,
     })
     filled = spaced.select("*", F.explode(F.sequence(F.lit(0), F.col("_step") - 1)).alias("_skip"))
@@ -97,7 +101,7 @@ def split_train_test(df: DataFrame, test_length: int, overlap: int = 0) -> DataF
     n = F.col("_n")
     train, test = F.col("idx") <= n - test_length, F.col("idx") > n - test_length - overlap
     parts = F.array_compact(F.array(F.when(train, F.lit("train")), F.when(test, F.lit("test"))))
-    rows = df.withColumn("_n", F.max("idx").over(Window.partitionBy("series_id")))
+    rows = df.withColumn("_n", F.max("idx").over(whole()))
     rows = rows.select(*df.columns, "_n", F.explode(parts).alias("part"))
     return rows.withColumn("k", F.when(F.col("part") == "test", F.col("idx") - (n - test_length))).drop("_n")
 

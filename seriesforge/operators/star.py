@@ -42,12 +42,14 @@ def join_facts(dim: DataFrame, facts: DataFrame, key: str = "series_id", broadca
     """
     if broadcast and fits_broadcast(dim):
         matched = facts.join(F.broadcast(dim), key, "inner")
+        seen = facts.select(key).join(F.broadcast(dim.select(key)), key, "left_semi").distinct()
     else:
         rest = [c for c in facts.columns if c != key]
         salt = F.pmod(F.xxhash64(*rest), F.lit(salts)).cast("int")
         copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         matched = facts.withColumn("_salt", salt).join(copies, [key, "_salt"], "inner").drop("_salt")
-    unmatched = dim.join(facts.select(key).distinct(), key, "left_anti")
+        seen = facts.select(key).distinct()
+    unmatched = dim.join(seen, key, "left_anti")
     columns = [key, *[c for c in dim.columns if c != key], *[c for c in facts.columns if c != key]]
     return matched.select(*columns).unionByName(unmatched, allowMissingColumns=True)
 

@@ -11,12 +11,20 @@ from seriesforge.operators import arima
 from seriesforge.operators.evaluate import accuracy, labelled, leaderboard, seasonal_scale, stack
 from seriesforge.operators.forecast import seasonal_naive
 from seriesforge.operators.series import SEASON, by_series, split_train_test
+from seriesforge.sources.sinks import write_table
 
 # The two models chosen by hand, both with the regressor.
 HYPER = {"p": (2,), "d": (0,), "q": (1,), "ps": (1,), "ds": (0,), "qs": (2,), "dr": (True,)}
 HYPER_NO_DRIFT = {"p": (2,), "d": (0,), "q": (1,), "ps": (2,), "ds": (1,), "qs": (1,), "dr": (False,)}
 
 
+def export_series(df: DataFrame, path: str) -> DataFrame:
+    """Write the prepared series and regressor as a table and read it back: models fitted later, or by
+    another job, start from files instead of from the raw facts."""
+    write_table(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _rows(model: str, fits: DataFrame, split: DataFrame, scale: DataFrame) -> DataFrame:
     """Actual values beside the fitted (training) and forecast (test) values of a model."""
     fitted = arima.fitted_rows(fits).select("series_id", "idx", F.lit("train").alias("part"), "yhat")

@@ -5,12 +5,13 @@ from __future__ import annotations
 import contextlib
 import io
 import logging
+import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesforge.sources.tables import table_exists
+from seriesforge.sources.tables import committed_tables
 
 log = logging.getLogger(__name__)
 
@@ -85,14 +86,16 @@ def explain_to_file(df: DataFrame, folder: str, description: str, stamp: str = "
 
 def append_pending(work: DataFrame, keys: list[str], path: str,
                    evaluate: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Evaluate only the work whose ``keys`` are not yet in the table at ``path``, and append it.
+    """Evaluate only the work whose ``keys`` have no result below ``path`` yet, and keep the result.
 
-    The append is committed as a whole: after a lost job the table holds the earlier work and the next
-    call takes up the rest.
+    Each call writes a folder of its own, and only folders whose job was committed are read. A job lost
+    half-way leaves nothing that counts, and the next call takes up its work.
     """
     spark = work.sparkSession
-    if table_exists(spark, path):
-        done = spark.read.parquet(path).select(*keys).distinct()
+    batches = committed_tables(spark, path)
+    if batches:
+        done = spark.read.parquet(*batches).select(*keys).distinct()
         work = work.join(done, keys, "left_anti")
-    evaluate(work).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    batch = f"{path.rstrip('/')}/batch-{uuid.uuid4().hex}"
+    evaluate(work).write.parquet(batch)
+    return spark.read.parquet(*batches, batch)

@@ -35,11 +35,11 @@ def list_files(spark: SparkSession, path: str, pattern: str = ".*") -> DataFrame
     )
 
 
-def table_exists(spark: SparkSession, path: str) -> bool:
-    """True when ``path`` holds a committed table."""
-    jvm = spark.sparkContext._jvm
-    marker = jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
-    return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
+def committed_tables(spark: SparkSession, path: str) -> list[str]:
+    """Folders directly below ``path`` that a finished job has written."""
+    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "*/_SUCCESS")
+    fs = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(found.getPath().getParent().toString() for found in fs.globStatus(marker) or [])
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -319,11 +319,11 @@ def boxcox_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 , b AS (SELECT series_id, block, avg(y) AS m, stddev_samp(y) AS s
         FROM (SELECT *, (max(idx) OVER (PARTITION BY series_id) - idx) // 12 AS block FROM reg_ser)
         GROUP BY ALL HAVING count(*) = 12),
-v AS (SELECT series_id, lambda, stddev_samp(s / pow(m, 1 - lambda)) / avg(s / pow(m, 1 - lambda)) AS cv
-      FROM b CROSS JOIN (SELECT round(-0.9 + 0.05 * unnest(range(0, 59)), 2) AS lambda) GROUP BY ALL)
-SELECT series_id, arg_min(lambda, cv) AS lambda FROM v GROUP BY 1""", "reg_ser")
+v AS (SELECT series_id, lam, stddev_samp(s / pow(m, 1 - lam)) / avg(s / pow(m, 1 - lam)) AS cv
+      FROM b CROSS JOIN (SELECT round(-0.9 + 0.05 * unnest(range(0, 59)), 2) AS lam) GROUP BY ALL)
+SELECT series_id, arg_min(lam, cv) AS lam FROM v GROUP BY 1""", "reg_ser")
 def boxcox_auto_lambda(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diagnose.auto_lambda(regional_regular(spark, sf_dir))
+    return diagnose.auto_lambda(regional_regular(spark, sf_dir)).withColumnRenamed("lambda", "lam")
 
 
 @query("""

@@ -50,13 +50,15 @@ def regional_months(spark: SparkSession, sf_dir: str) -> DataFrame:
         hundredths("l_discount").alias("disc"), hundredths("l_tax").alias("tax"),
     )
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
-    places = (
-        table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("n_nationkey"))
-        .join(table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").alias("r_regionkey")), "n_nationkey")
+    supplier = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("n_nationkey"))
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").alias("r_regionkey"))
+    # One base table after the other: Spark knows the size of each file, not that of a join.
+    placed = (
+        lines.join(part, "l_partkey").join(supplier, "l_suppkey").join(nation, "n_nationkey")
         .join(table(spark, sf_dir, "region"), "r_regionkey")
-        .select("l_suppkey", "r_name", "r_regionkey")
     )
-    sums = lines.join(part, "l_partkey").join(places, "l_suppkey").groupBy(
+    sums = placed.groupBy(
         "p_type", "r_name", "r_regionkey", "date").agg(
         F.sum("rev").alias("_rev"), F.sum("qty").alias("qty"), F.sum("disc").alias("_disc"),
         F.sum("tax").alias("_tax"), F.count("*").alias("_n"))

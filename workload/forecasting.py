@@ -281,7 +281,7 @@ SELECT series_id, config_id, n, round(mae, 3) AS mae, round(rmse, 3) AS rmse FRO
   FROM ({_cv_snaive("reg_ser", 12, 1)}) CROSS JOIN (VALUES (12), (24), (36)) v(i) WHERE origin >= 1 + i GROUP BY ALL)""", "reg_ser")
 def metrics_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of three settings, run in two calls; the second one finds the first one's work done."""
-    df = regional_regular(spark, sf_dir)
+    df = study.export_series(regional_regular(spark, sf_dir), scratch_path(spark, "resume"))
     path = scratch_path(spark, "metrics")
 
     def evaluate_work(work: DataFrame) -> DataFrame:
@@ -290,7 +290,7 @@ def metrics_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
         return errors.groupBy("series_id", "config_id").agg(
             F.count(e).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"))
 
-    ids = c.regional_series(spark, sf_dir).select("series_id").distinct()
+    ids = df.select("series_id").distinct()
     for initials in ((12, 24), (12, 24, 36)):
         work = grid.add_grid(ids, {"initial": initials}).withColumn(
             "config_id", F.concat(F.lit("initial_"), F.col("initial").cast("string")))
@@ -309,7 +309,7 @@ def arima_grid_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
         orders_regular(spark, sf_dir),
         c.part_series(spark, sf_dir).groupBy("date").agg(F.sum("y").alias("x")))
     df = df.filter(F.col("x").isNotNull())
-    df = df.withColumn("idx", (F.col("idx") - F.min("idx").over(series.Window.partitionBy("series_id")) + 1))
+    df = df.withColumn("idx", (F.col("idx") - F.min("idx").over(series.whole()) + 1))
     errors = arima.arima_cv(arima.work_rows(df, CV_RANGES), 12, initial=12, full_horizon_only=True)
     metrics = backtest.metrics_by_horizon(errors, "config_id")
     best = backtest.horizons_wide(metrics, "config_id", [6, 12])
@@ -341,6 +341,7 @@ def arima_residual_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def study_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hand-made, automatic and naive models on every regional series, ranked on the held-out months."""
     df = with_order_value(spark, sf_dir).filter(F.col("idx") > 1).withColumn("idx", F.col("idx") - 1)
+    df = study.export_series(df, scratch_path(spark, "study"))
     models = {"Hyper": {"p": (1,), "q": (1,), "ps": (1,), "dr": (True,)}, "Hyper No Drift": {"p": (1,), "ds": (1,), "qs": (1,)}}
     table = study.model_accuracy(df, 24, {"p": (0, 1), "d": (0, 1), "q": (0, 1)}, models)
     return study.leaderboard_of_tests(table)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from seriesforge.functions.clean import null_if_sentinel, null_sentinels, to_double
 from seriesforge.functions.names import plant_number
-from seriesforge.operators.dims import base_dimension, family_dimension, missed_dimension, total_dimension, with_family
+from seriesforge.operators.dims import (
+    MISSED, all_dimensions, base_dimension, family_dimension, missed_dimension, total_dimension, with_family,
+)
 from seriesforge.operators.evaluate import stack
 from seriesforge.operators.facts import explode_history
 from seriesforge.operators.star import join_facts
@@ -93,9 +95,8 @@ SELECT series_id,
 FROM regional_dim WHERE measure <> 'TAX'""", "regional_dim")
 def dims_positional_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = keep_frequency(c.regional_records(spark, sf_dir))
-    power, retail, quality = (c.FAMILIES[i] for i in (0, 2, 4))
-    dims = [family_dimension(raw, f).select("series_id", *f.parts) for f in (quality, power, retail)]
-    return stack(dims)
+    dims = all_dimensions(raw, c.FAMILIES).filter(F.col("family") != MISSED)
+    return dims.select("series_id", "value_type", "quality_type", "fuel_type", "region", "sector", "frequency")
 
 
 @query("""
