@@ -147,6 +147,7 @@ def custom_cv(df: DataFrame, forecaster: Forecaster, h: int, ranges: Mapping[str
 def arima_fit(work: DataFrame, h: int, skip: int | None = None, partitions: int | None = None) -> DataFrame:
     """Fit whole series: one row per work row with score, spread, one-step fitted values and forecast.
 
+    A column ``model`` of the work rows, if there is one, names what the configuration belongs to.
     ``fitted``, ``yhat`` and ``sd`` are arrays; ``sd`` is the standard deviation of the forecast from
     its psi weights, on the transformed scale when a lambda is set.
     """
@@ -168,21 +169,27 @@ def arima_fit(work: DataFrame, h: int, skip: int | None = None, partitions: int
                 fitted = np.full(n, np.nan)
                 fitted[n - m["fitted"].shape[1]:] = m["fitted"][0]
                 out.append({
-                    "series_id": row["series_id"], "config_id": row["config_id"], "n": n,
+                    **{key: row[key] for key in keys}, "n": n,
                     "last_date": row["last_date"], "n_obs": int(m["n_obs"][0]),
                     "sigma2": m["sigma2"][0], "aicc": m["aicc"][0],
                     "fitted": _list(fitted), "yhat": _list(m["yhat"][0]), "sd": _list(sd),
                 })
             yield pd.DataFrame(out, columns=columns)
 
-    schema = ("series_id string, config_id string, n int, last_date date, n_obs int, sigma2 double, "
-              "aicc double, fitted array<double>, yhat array<double>, sd array<double>")
+    keys = fit_keys(work)
+    schema = ", ".join(f"{key} string" for key in keys) + (
+        ", n int, last_date date, n_obs int, sigma2 double, aicc double, fitted array<double>, yhat array<double>, "
+        "sd array<double>")
     columns = [c.split()[0] for c in schema.split(", ")]
-    work = _spread_out(work, "series_id", "config_id", partitions=partitions)
+    work = _spread_out(work, *keys, partitions=partitions)
     fits = work.mapInPandas(fit_rows, schema)
     return fits.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("sigma2", "aicc")})
 
 
+def fit_keys(df: DataFrame) -> list[str]:
+    return [c for c in ("series_id", "model", "config_id") if c in df.columns]
+
+
 def _list(values: np.ndarray) -> list:
     return [float(v) if np.isfinite(v) else None for v in values]
 
@@ -202,22 +209,22 @@ def auto_arima(df: DataFrame, ranges: Mapping[str, Sequence], h: int, partitions
 
 
 def best_fits(fits: DataFrame) -> DataFrame:
-    """Per series the fit with the smallest AICc, ties by ``config_id``."""
-    best = F.min_by(F.struct(*[c for c in fits.columns if c != "series_id"]), F.struct("aicc", "config_id"))
-    return fits.filter(F.col("aicc").isNotNull()).groupBy("series_id").agg(best.alias("_best")).select(
-        "series_id", "_best.*")
+    """Per series (and model) the fit with the smallest AICc, ties by ``config_id``."""
+    keys = [key for key in fit_keys(fits) if key != "config_id"]
+    best = F.min_by(F.struct(*[c for c in fits.columns if c not in keys]), F.struct("aicc", "config_id"))
+    return fits.filter(F.col("aicc").isNotNull()).groupBy(*keys).agg(best.alias("_best")).select(*keys, "_best.*")
 
 
 def forecast_rows(fits: DataFrame) -> DataFrame:
     """Forecasts of fitted models as rows with prediction intervals (untransformed models)."""
-    rows = fits.select("series_id", "config_id", "n", "last_date",
-                       F.posexplode(F.arrays_zip("yhat", "sd")).alias("_k", "_f"))
-    rows = rows.select("series_id", "config_id", F.col("n").alias("origin"), (F.col("_k") + 1).alias("k"),
+    keys = fit_keys(fits)
+    rows = fits.select(*keys, "n", "last_date", F.posexplode(F.arrays_zip("yhat", "sd")).alias("_k", "_f"))
+    rows = rows.select(*keys, F.col("n").alias("origin"), (F.col("_k") + 1).alias("k"),
                        F.add_months("last_date", F.col("_k") + 1).alias("date"), "_f.yhat", "_f.sd")
     return with_intervals(rows, F.col("sd"))
 
 
 def fitted_rows(fits: DataFrame) -> DataFrame:
     """One-step fitted values as rows ``(series_id, config_id, idx, yhat)``."""
-    rows = fits.select("series_id", "config_id", F.posexplode("fitted").alias("_i", "yhat"))
-    return rows.select("series_id", "config_id", (F.col("_i") + 1).alias("idx"), "yhat")
+    rows = fits.select(*fit_keys(fits), F.posexplode("fitted").alias("_i", "yhat"))
+    return rows.select(*fit_keys(fits), (F.col("_i") + 1).alias("idx"), "yhat")

@@ -72,7 +72,7 @@ def leaderboard(metrics: DataFrame, measure: str, *ties: str, top: int | None =
     return ranked.limit(top) if top else ranked
 
 
-def labelled(prefix: str, model: Column | str = "model") -> Column:
+def labelled(prefix: str | Column, model: Column | str = "model") -> Column:
     return F.concat_ws(" ", F.lit(prefix), model)
 
 

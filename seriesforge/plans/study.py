@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesforge.operators import arima
 from seriesforge.operators.evaluate import accuracy, labelled, leaderboard, seasonal_scale, stack
 from seriesforge.operators.forecast import seasonal_naive
+from seriesforge.operators.grid import arima_grid
 from seriesforge.operators.series import SEASON, by_series, split_train_test
 from seriesforge.sources.sinks import write_table
 
@@ -25,16 +26,7 @@ def export_series(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _rows(model: str, fits: DataFrame, split: DataFrame, scale: DataFrame) -> DataFrame:
-    """Actual values beside the fitted (training) and forecast (test) values of a model."""
-    fitted = arima.fitted_rows(fits).select("series_id", "idx", F.lit("train").alias("part"), "yhat")
-    ahead = arima.forecast_rows(fits).select(
-        "series_id", (F.col("origin") + F.col("k")).alias("idx"), F.lit("test").alias("part"), "yhat")
-    values = fitted.unionByName(ahead)
-    return _labelled(model, split.join(values, ["series_id", "idx", "part"], "left"), scale)
-
-
-def _labelled(model: str, rows: DataFrame, scale: DataFrame) -> DataFrame:
+def _labelled(rows: DataFrame, model: Column, scale: DataFrame) -> DataFrame:
     set_name = F.when(F.col("part") == "test", "Test set").otherwise("Training set")
     rows = rows.select("series_id", "idx", "part", "y", "yhat", labelled(model, set_name).alias("model"))
     return rows.join(scale, "series_id", "left")
@@ -50,7 +42,7 @@ def seasonal_naive_rows(split: DataFrame, test_length: int, scale: DataFrame,
         "series_id", (F.col("origin") + F.col("k")).alias("idx"), "yhat")
     test = split.filter(F.col("part") == "test").join(ahead, ["series_id", "idx"], "left")
     rows = fitted.unionByName(test.select(*fitted.columns))
-    return _labelled(model, rows, scale)
+    return _labelled(rows, F.lit(model), scale)
 
 
 def model_accuracy(df: DataFrame, test_length: int, auto_ranges: Mapping[str, Sequence],
@@ -64,25 +56,29 @@ def model_accuracy(df: DataFrame, test_length: int, auto_ranges: Mapping[str, Se
     models = models or {"Hyper": HYPER, "Hyper No Drift": HYPER_NO_DRIFT}
     split = split_train_test(df, test_length)
     scale = seasonal_scale(split.filter(F.col("part") == "train"))
-    train = split.filter(F.col("part") == "train").select("series_id", "idx", "date", "y", "x")
-    bare = train.drop("x")
-    # The regressor of the test months is known, as it is lagged; fits take it from the whole series.
-    known = arima.pack(df).select("series_id", F.col("x").alias("_x"))
-    with_x = lambda work: work.join(known, "series_id").withColumn("x", F.col("_x")).drop("_x")
-
-    parts = []
-    for name, ranges in models.items():
-        fits = arima.arima_fit(with_x(arima.work_rows(train, ranges)), test_length, partitions=partitions)
-        parts.append(_rows(name, fits, split, scale))
-    for name, base in (("Auto", train), ("Auto Simple", bare)):
-        work = arima.work_rows(base, auto_ranges)
-        work = with_x(work) if base is train else work
-        fits = arima.best_fits(arima.arima_fit(work, test_length, arima.common_skip(auto_ranges), partitions))
-        parts.append(_rows(name, fits, split, scale))
-    parts.append(seasonal_naive_rows(split, test_length, scale))
+    train = _training_part(df, test_length)
+    bare = train.withColumn("x", F.lit(None).cast("array<double>"))
+    candidates = [(name, train, ranges) for name, ranges in models.items()]
+    candidates += [("Auto", train, auto_ranges), ("Auto Simple", bare, auto_ranges)]
+    # All models are rows of one job.
+    work = stack([arima_grid(base, ranges).withColumn("model", F.lit(name)) for name, base, ranges in candidates])
+    skip = max(arima.common_skip(ranges) for _, _, ranges in candidates)
+    fits = arima.best_fits(arima.arima_fit(work, test_length, skip, partitions))
+    # Fitted values and forecast one after the other, so that the fits are run once.
+    values = fits.select("series_id", "model", F.posexplode(F.concat("fitted", "yhat")).alias("_i", "yhat"))
+    rows = split.join(values.withColumn("idx", F.col("_i") + 1), ["series_id", "idx"])
+    parts = [_labelled(rows, F.col("model"), scale), seasonal_naive_rows(split, test_length, scale)]
     return accuracy(stack(parts), "model", "series_id", "part").drop("part")
 
 
+def _training_part(df: DataFrame, test_length: int) -> DataFrame:
+    """Packed series cut before the test months; the regressor, known beforehand, stays whole."""
+    n = F.col("n") - test_length
+    return arima.pack(df).filter(n > 0).select(
+        "series_id", n.alias("n"), F.add_months("last_date", -test_length).alias("last_date"),
+        F.slice("y", F.lit(1), n).alias("y"), "x")
+
+
 def leaderboard_of_tests(accuracies: DataFrame, top: int | None = None) -> DataFrame:
     """Test rows only, smallest RMSE first."""
     return leaderboard(accuracies, "rmse", "model", "series_id", top=top, models="test")
