@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesforge.operators import css
+from seriesforge.operators.css import fit
 from seriesforge.operators.forecast import with_intervals
 from seriesforge.operators.grid import ARIMA_RANGES, ARIMA_TYPES, add_grid, arima_grid
 from seriesforge.operators.series import SEASON
@@ -66,7 +66,7 @@ def _parameter(value):
 
 
 def _arima_folds(y, x, origins, h, params) -> np.ndarray:
-    return css.fit(y, x, origins, h, **params)["yhat"]
+    return fit(y, x, origins, h, **params)["yhat"]
 
 
 def _each_fold(forecaster: Forecaster):
@@ -164,7 +164,7 @@ def arima_fit(work: DataFrame, h: int, skip: int | None = None, partitions: int
                 n = int(row["n"])
                 if params["w"] is not None and params["w"] > n:
                     params["w"] = n
-                m = css.fit(y, x, np.array([n]), h, skip=skip, **params)
+                m = fit(y, x, np.array([n]), h, skip=skip, **params)
                 sd = np.sqrt(m["sigma2"][0] * np.cumsum(m["psi"][0] ** 2))
                 fitted = np.full(n, np.nan)
                 fitted[n - m["fitted"].shape[1]:] = m["fitted"][0]

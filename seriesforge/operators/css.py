@@ -174,11 +174,11 @@ def fit(y: np.ndarray, x: np.ndarray | None, origins: np.ndarray, h: int, *, w:
     with np.errstate(all="ignore"):
         if n_beta:
             m = np.where(used[:, None, :], dx, 0.0)
-            gram = m @ m.transpose(0, 2, 1) + 1e-10 * np.eye(n_beta)
-            par[:, :n_beta] = np.linalg.solve(gram, (m @ dw[..., None]))[..., 0]
+            inverse = np.linalg.pinv(m.transpose(0, 2, 1), rcond=1e-10)
+            par[:, :n_beta] = (inverse @ dw[..., None])[..., 0]
         e = residuals(par[:, None, :])[:, 0]
         sse, damping, eps = (e * e).sum(axis=1), np.full(folds, 1e-3), 1e-5
-        for _ in range(30 if n_par else 0):
+        for _ in range(30 if n_par > n_beta else 0):  # a plain regression is solved already
             moved = par[:, None, :] + eps * np.eye(n_par)
             jac = (residuals(moved) - e[:, None, :]) / eps
             gram = jac @ jac.transpose(0, 2, 1)

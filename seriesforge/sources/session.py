@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
+import sys
+from types import ModuleType
 
-from pyspark.sql import SparkSession
+from pyspark import cloudpickle
 
-_shipped: set[tuple[str, str]] = set()
 
+def ship_code(*packages: ModuleType) -> None:
+    """Send the functions of these packages along with the tasks that call them.
 
-def ship_package(spark: SparkSession, *folders: str) -> None:
-    """Send package folders to the executors, for a cluster that does not have them installed.
-
-    Spark serves the archive from the driver. Once per application and folder.
+    For clusters whose executors do not have the packages installed. This package always goes along.
     """
-    for folder in folders or (os.path.dirname(os.path.dirname(__file__)),):
-        key = (spark.sparkContext.applicationId, folder)
-        if key in _shipped:
-            continue
-        root, name = os.path.split(os.path.abspath(folder))
-        archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="ship-"), name), "zip", root, name)
-        spark.sparkContext.addPyFile(archive)
-        _shipped.add(key)
+    for package in (sys.modules["seriesforge"], *packages):
+        if package.__name__ not in cloudpickle.list_registry_pickle_by_value():
+            cloudpickle.register_pickle_by_value(package)

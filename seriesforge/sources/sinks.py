@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from seriesforge.sources.tables import committed_tables
 
@@ -88,7 +89,7 @@ def append_pending(work: DataFrame, keys: list[str], path: str,
                    evaluate: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Evaluate only the work whose ``keys`` have no result below ``path`` yet, and keep the result.
 
-    Each call writes a folder of its own, and only folders whose job was committed are read. A job lost
+    ``run_time`` is added to each result. Each call writes a folder of its own, and only folders whose job was committed are read. A job lost
     half-way leaves nothing that counts, and the next call takes up its work.
     """
     spark = work.sparkSession
@@ -97,5 +98,5 @@ def append_pending(work: DataFrame, keys: list[str], path: str,
         done = spark.read.parquet(*batches).select(*keys).distinct()
         work = work.join(done, keys, "left_anti")
     batch = f"{path.rstrip('/')}/batch-{uuid.uuid4().hex}"
-    evaluate(work).write.parquet(batch)
+    evaluate(work).withColumn("run_time", F.current_timestamp()).write.parquet(batch)
     return spark.read.parquet(*batches, batch)

@@ -10,8 +10,10 @@ sys.path.insert(0, ROOT)
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    from seriesforge.sources.session import ship_package
+    import workload
+    from seriesforge.sources.session import ship_code
 
+    ship_code(workload)
     session = (
         SparkSession.builder.master("local[4]").appName("tests")
         .config("spark.sql.shuffle.partitions", "4")
@@ -23,6 +25,5 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    ship_package(session, f"{ROOT}/seriesforge", f"{ROOT}/workload")
     yield session
     session.stop()

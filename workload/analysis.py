@@ -327,6 +327,9 @@ def boxcox_auto_lambda(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT series_id, count(*) AS n_rows FROM part_fact GROUP BY 1 HAVING count(value) = 0""", "part_fact")
+SELECT series_id, CAST(year(date) AS INTEGER) AS year, count(*) AS n_rows
+FROM part_fact GROUP BY 1, 2 HAVING count(value) = 0""", "part_fact")
 def all_missing_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.all_missing(c.part_facts(spark, sf_dir), "value", "series_id")
+    """Part and year without a single value that is not withheld."""
+    facts = c.part_facts(spark, sf_dir).withColumn("year", F.year("date"))
+    return evaluate.all_missing(facts, "value", "series_id", "year")

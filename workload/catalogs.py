@@ -25,8 +25,23 @@ FAMILIES = (
 )
 
 
+# Columns of the driver's tables; a given schema saves the job that infers it on every read.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def hundredths(name: str) -> Column:
@@ -75,6 +90,13 @@ def regional_series(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("rev").cast("double").alias("y"))
 
 
+def type_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean revenue per day of the month, per part type over all regions: ``(series_id, date, y)``."""
+    return regional_months(spark, sf_dir).groupBy("p_type", "date").agg(F.sum("rev").alias("rev")).select(
+        F.concat(F.lit("TPC.TYPE."), "p_type", F.lit(".M")).alias("series_id"), "date",
+        (F.col("rev").cast("double") / F.dayofmonth(F.last_day("date"))).alias("y"))
+
+
 def part_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(l_partkey, date, rev, qty)`` per part and ship month. Aggregated before anything is joined."""
     lines = table(spark, sf_dir, "lineitem").select(

@@ -256,7 +256,8 @@ def param_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mean_of_training(y: np.ndarray, h: int, x: np.ndarray | None, x_future: np.ndarray | None, last: int = 0) -> np.ndarray:
     """A user's forecast function: mean of the last ``last`` months, of all when 0."""
     part = y[-last:] if last else y
-    return np.full(h, np.nanmean(part))
+    known = part[~np.isnan(part)]
+    return np.full(h, known.mean() if len(known) else np.nan)
 
 
 @query("""
@@ -298,6 +299,31 @@ def metrics_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("series_id", "config_id", "n", F.round("mae", 3).alias("mae"), F.round("rmse", 3).alias("rmse"))
 
 
+@query("""
+, o AS (SELECT *, max(idx) OVER (PARTITION BY series_id) AS n, first(y) OVER w AS y1, avg(y) OVER w AS m,
+           regr_slope(y, idx) OVER w AS b, regr_intercept(y, idx) OVER w AS a, avg(y - y12) OVER w AS s
+        FROM (SELECT *, lag(y, 12) OVER (PARTITION BY series_id ORDER BY idx) AS y12 FROM typ_ser)
+        WINDOW w AS (PARTITION BY series_id ORDER BY idx))
+SELECT o.series_id, o.idx AS origin, k, dr, d, ds, round(CASE
+         WHEN d = 0 AND ds = 0 THEN CASE WHEN dr THEN a + b * (o.idx + k) ELSE m END
+         WHEN d = 1 AND ds = 0 THEN o.y + CASE WHEN dr THEN k * (o.y - y1) / (o.idx - 1) ELSE 0 END
+         WHEN d = 0 AND ds = 1 THEN l.y + CASE WHEN dr THEN s ELSE 0 END
+         ELSE o.y + l.y - o.y12 END, 3) AS yhat
+FROM o CROSS JOIN (SELECT CAST(unnest(range(1, 4)) AS INTEGER) AS k)
+CROSS JOIN (VALUES (FALSE), (TRUE)) t(dr) CROSS JOIN (VALUES (0), (1)) u(d) CROSS JOIN (VALUES (0), (1)) v(ds)
+JOIN typ_ser l ON l.series_id = o.series_id AND l.idx = o.idx + k - 12
+WHERE o.idx >= 25 AND o.idx <= n - 3""", "typ_ser")
+def arima_closed_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-validation of the ARIMA configurations whose forecast has a closed form: mean, trend, random
+    walk, seasonal random walk, each with and without drift, and both differences together."""
+    df = series.regular(c.type_series(spark, sf_dir))
+    work = arima.work_rows(df, {"dr": (False, True), "d": (0, 1), "ds": (0, 1)})
+    errors = arima.arima_cv(work, 3, initial=24, full_horizon_only=True)
+    part = lambda name: F.regexp_extract("config_id", f"_{name}_([^_]*)", 1)
+    return errors.select("series_id", "origin", "k", part("dr").cast("boolean").alias("dr"), part("d").cast("int").alias("d"),
+                         part("ds").cast("int").alias("ds"), F.round("yhat", 3).alias("yhat"))
+
+
 CV_RANGES = {"w": (None, 60), "l": (None, "0"), "p": (0, 1), "d": (0, 1), "q": (0, 1), "ps": (0, 1), "dr": (False, True)}
 AUTO_RANGES = {"p": (0, 1), "d": (0, 1), "q": (0, 1), "ps": (0, 1), "ds": (0,), "qs": (0,), "dr": (False, True)}
 

@@ -64,6 +64,10 @@ STEPS: dict[str, tuple] = {
     GROUP BY ALL"""),
     "reg": (("regional",), "SELECT 'TPC.REV.' || p_type || '-' || r_name || '.M' AS series_id, date, CAST(rev AS DOUBLE) AS y FROM regional"),
     "reg_ser": (("reg",), _spine("reg")),
+    "typ": (("regional",), """
+    SELECT 'TPC.TYPE.' || p_type || '.M' AS series_id, date, CAST(SUM(rev) AS DOUBLE) / day(last_day(date)) AS y
+    FROM regional GROUP BY p_type, date"""),
+    "typ_ser": (("typ",), _spine("typ")),
     "regional_long": (("regional",), """
     SELECT m AS measure, p_type, r_name, r_regionkey, strftime(date, '%Y%m') AS period, v AS value
     FROM (SELECT *, unnest(['REV', 'QTY', 'DISC', 'TAX']) AS m, unnest([rev, qty, disc, tax]) AS v FROM regional)"""),
