@@ -14,6 +14,8 @@ from seriesforge.functions.names import matches_any
 # A dimension is broadcast only when a count proves it smaller than both of these.
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
+# A key with more facts than this is split over several tasks.
+HOT_ROWS = 1_000_000
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
@@ -29,7 +31,7 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int
 
 
 def join_facts(dim: DataFrame, facts: DataFrame, key: str = "series_id", broadcast: bool = False,
-               salts: int = 8) -> DataFrame:
+               hot_rows: int = HOT_ROWS) -> DataFrame:
     """Every row of ``dim`` with its facts; a series without facts stays, with NULL fact columns.
 
     This is the outer join that keeps the dimension, written as matched part plus unmatched part. An
@@ -37,23 +39,38 @@ def join_facts(dim: DataFrame, facts: DataFrame, key: str = "series_id", broadca
     large one; the inner join can do both.
 
     * ``broadcast``: the dimension is measured and broadcast if it is small, so facts do not move.
-    * otherwise facts are shuffled on (key, salt). The salt comes from the fact's own columns, so that a
-      recomputed task deals rows out the same way, and one hot series is spread over ``salts`` tasks.
+    * otherwise facts are shuffled by key. A key with more than ``hot_rows`` facts is split into parts
+      of about that size, and only its dimension row is copied to each part.
     """
     if broadcast and fits_broadcast(dim):
         matched = facts.join(F.broadcast(dim), key, "inner")
         seen = facts.select(key).join(F.broadcast(dim.select(key)), key, "left_semi").distinct()
     else:
-        rest = [c for c in facts.columns if c != key]
-        salt = F.pmod(F.xxhash64(*rest), F.lit(salts)).cast("int")
-        copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        matched = facts.withColumn("_salt", salt).join(copies, [key, "_salt"], "inner").drop("_salt")
-        seen = facts.select(key).distinct()
+        counts = facts.groupBy(key).agg(F.count("*").alias("_rows"))
+        matched = _join_by_part(dim, facts, counts, key, hot_rows)
+        seen = counts.filter("_rows > 0")  # with its count, so that both uses share one aggregate
     unmatched = dim.join(seen, key, "left_anti")
     columns = [key, *[c for c in dim.columns if c != key], *[c for c in facts.columns if c != key]]
     return matched.select(*columns).unionByName(unmatched, allowMissingColumns=True)
 
 
+def _join_by_part(dim: DataFrame, facts: DataFrame, counts: DataFrame, key: str, hot_rows: int) -> DataFrame:
+    """Inner join on (key, part); a key is split into as many parts as it has ``hot_rows`` facts.
+
+    At most (number of facts / hot_rows) keys can be hot, which bounds what is broadcast. A fact's part
+    depends on its values and on the task that read it: copies of one row spread too, and a recomputed
+    task deals its rows out as before.
+    """
+    hot = F.broadcast(counts.filter(F.col("_rows") > hot_rows).select(
+        key, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_parts")))
+    rest = [c for c in facts.columns if c != key]
+    part = F.pmod(F.xxhash64(*rest, F.spark_partition_id()), F.col("_parts")).cast("int")
+    parted = facts.join(hot, key, "left").withColumn("_part", F.coalesce(part, F.lit(0))).drop("_parts")
+    last = F.coalesce(F.col("_parts"), F.lit(1)) - 1
+    copies = dim.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), last))).drop("_parts")
+    return parted.join(copies, [key, "_part"], "inner").drop("_part")
+
+
 def filter_series(dim: DataFrame, names: list[str] | None = None, units: list[str] | None = None,
                   name_column: str = "name", unit_column: str = "units") -> DataFrame:
     """Series whose name and unit each match one of the given patterns."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -42,6 +43,11 @@ def committed_tables(spark: SparkSession, path: str) -> list[str]:
     return sorted(found.getPath().getParent().toString() for found in fs.globStatus(marker) or [])
 
 
+@functools.cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="seriesforge-")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name in the shared folder of ``spark.checkpoint.dir``.
 
@@ -51,6 +57,5 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="seriesforge-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_root()
     return f"{root.rstrip('/')}/seriesforge/{name}-{uuid.uuid4().hex}"
