@@ -15,11 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesforge.operators.css import fit
-from seriesforge.operators.forecast import with_intervals
+from seriesforge.operators.forecast import NORMAL_QUANTILES
 from seriesforge.operators.grid import ARIMA_RANGES, ARIMA_TYPES, add_grid, arima_grid
 from seriesforge.operators.series import SEASON
 
 PARAMETERS = ("w", "l", "dr", "p", "d", "q", "ps", "ds", "qs")
+# Interval bounds and their normal quantiles: lo80, hi80, lo95, hi95.
+BOUNDS = {f"{side}{level}": sign * z for level, z in NORMAL_QUANTILES.items() for side, sign in (("lo", -1), ("hi", 1))}
 # forecaster(y, h, x, x_future, **parameters) -> h values; x and x_future are None without regressor.
 Forecaster = Callable[..., Sequence[float]]
 
@@ -57,6 +59,11 @@ def _origin_blocks(work: DataFrame, h: int, initial: int, full_horizon_only: boo
     return work.withColumn("_to", F.least(F.col("_from") + block - 1, last))
 
 
+def _records(batch: pd.DataFrame) -> Iterator[dict]:
+    for values in zip(*(batch[c] for c in batch.columns)):
+        yield dict(zip(batch.columns, values))
+
+
 def _array(values) -> np.ndarray | None:
     return None if values is None else np.array([np.nan if v is None else v for v in values], float)
 
@@ -95,7 +102,7 @@ def _cross_validate(work: DataFrame, names: Sequence[str], h: int, run) -> DataF
 
     def errors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row in batch.to_dict("records"):
+            for row in _records(batch):
                 y, x = _array(row["y"]), _array(row["x"])
                 origins = np.arange(int(row["_from"]), int(row["_to"]) + 1)
                 params = {name: _parameter(row[name]) for name in names}
@@ -148,14 +155,14 @@ def arima_fit(work: DataFrame, h: int, skip: int | None = None, partitions: int
     """Fit whole series: one row per work row with score, spread, one-step fitted values and forecast.
 
     A column ``model`` of the work rows, if there is one, names what the configuration belongs to.
-    ``fitted``, ``yhat`` and ``sd`` are arrays; ``sd`` is the standard deviation of the forecast from
-    its psi weights, on the transformed scale when a lambda is set.
+    ``fitted``, ``yhat`` and the interval bounds ``lo80`` to ``hi95`` are arrays. The intervals come from
+    the psi weights; with a lambda they are built on the transformed scale and transformed back.
     """
 
     def fit_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for row in batch.to_dict("records"):
+            for row in _records(batch):
                 y, x = _array(row["y"]), _array(row["x"])
                 params = {name: _parameter(row[name]) for name in PARAMETERS}
                 for name in ("w", "p", "d", "q", "ps", "ds", "qs"):
@@ -164,22 +171,22 @@ def arima_fit(work: DataFrame, h: int, skip: int | None = None, partitions: int
                 n = int(row["n"])
                 if params["w"] is not None and params["w"] > n:
                     params["w"] = n
-                m = fit(y, x, np.array([n]), h, skip=skip, **params)
-                sd = np.sqrt(m["sigma2"][0] * np.cumsum(m["psi"][0] ** 2))
+                m = fit(y, x, np.array([n]), h, skip=skip, quantiles=tuple(BOUNDS.values()), **params)
                 fitted = np.full(n, np.nan)
                 fitted[n - m["fitted"].shape[1]:] = m["fitted"][0]
                 out.append({
                     **{key: row[key] for key in keys}, "n": n,
                     "last_date": row["last_date"], "n_obs": int(m["n_obs"][0]),
                     "sigma2": m["sigma2"][0], "aicc": m["aicc"][0],
-                    "fitted": _list(fitted), "yhat": _list(m["yhat"][0]), "sd": _list(sd),
+                    "fitted": _list(fitted), "yhat": _list(m["yhat"][0]),
+                    **{name: _list(values) for name, values in zip(BOUNDS, m["bounds"][0])},
                 })
             yield pd.DataFrame(out, columns=columns)
 
     keys = fit_keys(work)
     schema = ", ".join(f"{key} string" for key in keys) + (
-        ", n int, last_date date, n_obs int, sigma2 double, aicc double, fitted array<double>, yhat array<double>, "
-        "sd array<double>")
+        ", n int, last_date date, n_obs int, sigma2 double, aicc double, fitted array<double>, yhat array<double>"
+    ) + "".join(f", {name} array<double>" for name in BOUNDS)
     columns = [c.split()[0] for c in schema.split(", ")]
     work = _spread_out(work, *keys, partitions=partitions)
     fits = work.mapInPandas(fit_rows, schema)
@@ -216,12 +223,11 @@ def best_fits(fits: DataFrame) -> DataFrame:
 
 
 def forecast_rows(fits: DataFrame) -> DataFrame:
-    """Forecasts of fitted models as rows with prediction intervals (untransformed models)."""
+    """Forecasts of fitted models as rows with prediction intervals."""
     keys = fit_keys(fits)
-    rows = fits.select(*keys, "n", "last_date", F.posexplode(F.arrays_zip("yhat", "sd")).alias("_k", "_f"))
-    rows = rows.select(*keys, F.col("n").alias("origin"), (F.col("_k") + 1).alias("k"),
-                       F.add_months("last_date", F.col("_k") + 1).alias("date"), "_f.yhat", "_f.sd")
-    return with_intervals(rows, F.col("sd"))
+    rows = fits.select(*keys, "n", "last_date", F.posexplode(F.arrays_zip("yhat", *BOUNDS)).alias("_k", "_f"))
+    return rows.select(*keys, F.col("n").alias("origin"), (F.col("_k") + 1).alias("k"),
+                       F.add_months("last_date", F.col("_k") + 1).alias("date"), "_f.*")
 
 
 def fitted_rows(fits: DataFrame) -> DataFrame:

@@ -100,13 +100,15 @@ def fill_gaps(y: np.ndarray) -> np.ndarray:
 
 def fit(y: np.ndarray, x: np.ndarray | None, origins: np.ndarray, h: int, *, w: int | None = None,
         l: str | None = None, dr: bool = False, p: int = 0, d: int = 0, q: int = 0,  # noqa: E741
-        ps: int = 0, ds: int = 0, qs: int = 0, skip: int | None = None) -> dict[str, np.ndarray]:
+        ps: int = 0, ds: int = 0, qs: int = 0, skip: int | None = None,
+        quantiles: tuple[float, ...] = ()) -> dict[str, np.ndarray]:
     """Fit each origin's training part and forecast ``h`` months.
 
-    Returns ``yhat`` (folds, h), ``psi`` (folds, h), and per fold ``sigma2``, ``n_obs``, ``aicc`` and
-    the one-step ``fitted`` values aligned at the origin; NaN where a fold cannot be fitted. ``skip``
-    leaves the first months of every fold out of the score, so that configurations with different
-    differencing are scored on the same months.
+    Returns ``yhat`` (folds, h), its ``bounds`` (folds, quantiles, h) at the normal ``quantiles``, the
+    weights ``psi`` (folds, h), and per fold ``sigma2``, ``n_obs``, ``aicc`` and the one-step ``fitted``
+    values aligned at the origin; NaN where a fold cannot be fitted. Forecast and bounds are transformed
+    back. ``skip`` leaves the first months of every fold out of the score, so that configurations with
+    different differencing are scored on the same months.
     """
     n, folds = len(y), len(origins)
     filled = fill_gaps(np.asarray(y, float))
@@ -216,6 +218,8 @@ def fit(y: np.ndarray, x: np.ndarray | None, origins: np.ndarray, h: int, *, w:
         yhat = (level[:, width:] + np.einsum("fhm,fm->fh", design[:, width:], beta)) * scale
         fitted = np.where(used, (rows - e) * scale, np.nan)
         sigma2 = sse / np.maximum(n_obs - n_par, 1) * scale ** 2
+        sd = np.sqrt(sigma2[:, None] * np.cumsum(psi ** 2, axis=1))
+        bounds = yhat[:, None, :] + np.reshape(quantiles, (1, -1, 1)) * sd[:, None, :]
         scored = np.arange(width) >= (first if skip is None else width - lengths + skip)[:, None]
         scored &= used
         m, k = scored.sum(axis=1), n_par + 1
@@ -226,6 +230,7 @@ def fit(y: np.ndarray, x: np.ndarray | None, origins: np.ndarray, h: int, *, w:
             original = filled[np.clip(months[:, :width] - 1, 0, n - 1)]
             aicc = aicc - 2 * (lam[:, 0] - 1) * np.where(scored, np.log(original), 0.0).sum(axis=1)
             yhat, fitted = inverse_boxcox(yhat, lam), inverse_boxcox(fitted, lam)
+            bounds = inverse_boxcox(bounds, lam[:, :, None])
     blank = lambda a: np.where(ok.reshape((-1,) + (1,) * (a.ndim - 1)) & np.isfinite(a), a, np.nan)
-    return {"yhat": blank(yhat), "psi": blank(psi), "sigma2": blank(sigma2), "aicc": blank(aicc),
+    return {"yhat": blank(yhat), "bounds": blank(bounds), "psi": blank(psi), "sigma2": blank(sigma2), "aicc": blank(aicc),
             "fitted": blank(fitted), "n_obs": np.where(ok, n_obs, 0)}

@@ -38,13 +38,15 @@ def monthly(facts: DataFrame, value: str = "value", *others: str) -> DataFrame:
 def regular(months: DataFrame, key: str = "series_id") -> DataFrame:
     """Fill missing months with NULL rows and number the months of each series from 1 (``idx``).
 
+    The input has one row per series and month, as ``monthly`` gives it; rows without a date are left out.
     Each row is repeated up to the month before the next one, so the spine needs no join: one shuffle by
     series serves this step and every window after it.
     """
     w = by_series("date", key)
     others = [c for c in months.columns if c not in (key, "date")]
-    step = F.coalesce(_month_number(F.lead("date").over(w)) - _month_number(F.col("date")), F.lit(1))
-    spaced = months.withColumns({
+    ahead = _month_number(F.lead("date").over(w)) - _month_number(F.col("date"))
+    step = F.greatest(F.coalesce(ahead, F.lit(1)), F.lit(1))
+    spaced = months.filter(F.col("date").isNotNull()).withColumns({
         "_idx": _month_number(F.col("date")) - _month_number(F.min("date").over(whole("date", key))) + 1,
         "_step": step,
     })

@@ -164,6 +164,26 @@ def test_moving_average_and_lambda():
         assert got == pytest.approx(growth[48:], rel=0.1)
 
 
+def test_intervals_are_transformed_back():
+    growth = np.exp(0.03 * np.arange(60) + np.random.default_rng(1).normal(size=60) * 0.1)
+    out = css.fit(growth, None, np.array([60]), 4, l="0", d=1, dr=True, quantiles=(-1.96, 1.96))
+    low, high = out["bounds"][0]
+    sd = np.sqrt(out["sigma2"][0] * np.arange(1, 5))
+    assert np.log(high) - np.log(out["yhat"][0]) == pytest.approx(1.96 * sd)
+    assert (low > 0).all() and (high - out["yhat"][0] > out["yhat"][0] - low).all()
+
+
+def test_folds_are_windows_on_one_partitioning(spark):
+    from seriesforge.operators.series import regular
+    from helpers import series_frame
+
+    errors = backtest.cv_seasonal_naive(regular(series_frame(spark, s=range(30))), 12, window=24)
+    plan = explain_text(errors, "simple")
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "Pandas" not in plan and "Python" not in plan
+    metrics = explain_text(backtest.metrics_by_horizon(errors), "simple")
+    assert metrics.count("Exchange") == 2 and "partial_avg" in metrics
+
+
 def test_unfittable_folds_give_no_forecast_and_no_fold_sees_the_future():
     y = ar_series(40)
     out = css.fit(y, None, np.arange(1, 40), 3, p=2, ds=1)
@@ -204,6 +224,6 @@ def test_forecast_rows_and_residuals(spark):
     fits = arima.arima_fit(arima.work_rows(df, {"p": (1,)}), 3)
     out = arima.forecast_rows(fits).orderBy("k").collect()
     assert [r["k"] for r in out] == [1, 2, 3] and out[0]["date"] == month(80) and out[0]["origin"] == 80
-    assert out[0]["sd"] < out[1]["sd"] and out[0]["lo95"] < out[0]["lo80"] < out[0]["yhat"] < out[0]["hi80"]
+    assert out[0]["hi80"] - out[0]["lo80"] < out[1]["hi80"] - out[1]["lo80"] and out[0]["lo95"] < out[0]["lo80"] < out[0]["yhat"] < out[0]["hi80"]
     fitted = arima.fitted_rows(fits).filter("yhat is not null")
     assert fitted.agg(F.min("idx"), F.max("idx")).first()[:] == (2, 80)

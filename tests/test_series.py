@@ -13,7 +13,7 @@ from seriesforge.sources.sinks import explain_text
 
 def test_regular_fills_gaps_and_numbers_months(spark):
     df = spark.createDataFrame(
-        [("a", month(0), 1.0), ("a", month(3), 4.0), ("a", month(4), 5.0), ("b", month(7), None), ("b", month(8), 2.0)],
+        [("a", month(0), 1.0), ("a", month(3), 4.0), ("a", month(4), 5.0), ("b", month(7), None), ("b", month(8), 2.0), ("b", None, 9.0)],
         "series_id string, date date, y double")
     assert rows(series.regular(df)) == sorted([
         ("a", 1, month(0), 1.0), ("a", 2, month(1), None), ("a", 3, month(2), None), ("a", 4, month(3), 4.0),

@@ -229,12 +229,11 @@ def multi_output_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         c.regional_records, c.part_records, c.return_records, c.order_records)]), "bulk-json")
     root = scratch_path(spark, "processed")
     run_electricity(spark, source, root, c.FAMILIES)
-    counts = []
-    for output, name in ELECTRICITY_TABLES.items():
-        written = read_table(spark, f"{root}/{name}", "series_id")
-        counts.append(written.agg(
-            F.lit(output).alias("output"), F.count("*").alias("n_rows"), F.countDistinct("series_id").alias("n_series")))
-    return stack(counts)
+    written = stack([
+        read_table(spark, f"{root}/{name}", "series_id").withColumn("output", F.lit(output))
+        for output, name in ELECTRICITY_TABLES.items()
+    ])
+    return written.groupBy("output").agg(F.count("*").alias("n_rows"), F.countDistinct("series_id").alias("n_series"))
 
 
 @query("SELECT series_id, date, value FROM part_fact", "part_fact")
