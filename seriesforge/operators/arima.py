@@ -72,8 +72,16 @@ def _parameter(value):
     return None if value is None or (isinstance(value, float) and np.isnan(value)) else value
 
 
+def _fit(y, x, origins, h, **params) -> dict[str, np.ndarray]:
+    """The fit, or one without any value when the numbers defeat the linear algebra."""
+    try:
+        return fit(y, x, origins, h, **params)
+    except np.linalg.LinAlgError:
+        return fit(np.full_like(y, np.nan), x, origins, h, **params)
+
+
 def _arima_folds(y, x, origins, h, params) -> np.ndarray:
-    return fit(y, x, origins, h, **params)["yhat"]
+    return _fit(y, x, origins, h, **params)["yhat"]
 
 
 def _each_fold(forecaster: Forecaster):
@@ -171,7 +179,7 @@ def arima_fit(work: DataFrame, h: int, skip: int | None = None, partitions: int
                 n = int(row["n"])
                 if params["w"] is not None and params["w"] > n:
                     params["w"] = n
-                m = fit(y, x, np.array([n]), h, skip=skip, quantiles=tuple(BOUNDS.values()), **params)
+                m = _fit(y, x, np.array([n]), h, skip=skip, quantiles=tuple(BOUNDS.values()), **params)
                 fitted = np.full(n, np.nan)
                 fitted[n - m["fitted"].shape[1]:] = m["fitted"][0]
                 out.append({

@@ -124,7 +124,8 @@ def fit(y: np.ndarray, x: np.ndarray | None, origins: np.ndarray, h: int, *, w:
     if l is not None:
         lam = (guerrero(raw, lengths) if l == "auto" else np.full(folds, float(l)))[:, None]
         raw = boxcox(raw, lam)
-    scale = np.nanstd(np.where(inside & np.isfinite(raw), raw, np.nan)) or 1.0
+    usable = raw[inside & np.isfinite(raw)]
+    scale = (usable.std() if len(usable) else 0.0) or 1.0
     rows = np.where(inside, raw / scale, 0.0)
 
     columns = []
@@ -134,8 +135,9 @@ def fit(y: np.ndarray, x: np.ndarray | None, origins: np.ndarray, h: int, *, w:
         columns.append(months / n)
     if x is not None:
         known = np.where((months >= 1) & (months <= len(x)), x[np.clip(months - 1, 0, len(x) - 1)], np.nan)
-        spread = np.nanstd(x) or 1.0
-        columns.append((known - np.nanmean(x)) / spread)
+        given = x[~np.isnan(x)]
+        centre, spread = (given.mean(), given.std() or 1.0) if len(given) else (0.0, 1.0)
+        columns.append((known - centre) / spread)
     design = np.stack(columns, axis=2) if columns else np.zeros(months.shape + (0,))
     before = np.where(inside[..., None], design[:, :width], 0.0)
 

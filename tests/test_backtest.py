@@ -198,6 +198,19 @@ def test_unfittable_folds_give_no_forecast_and_no_fold_sees_the_future():
     assert not np.isnan(css.fit(gap, None, np.array([40]), 2, p=1)["yhat"]).any()
 
 
+@pytest.mark.parametrize("y", [[np.nan] * 30, [1.0], [5.0] * 30, [0.0] * 30, [np.nan] * 29 + [1.0]])
+@pytest.mark.parametrize("order", [{"p": 1, "q": 1}, {"d": 1, "ds": 1, "qs": 1}, {"l": "auto", "dr": True}, {"l": "0"}])
+def test_degenerate_series_never_fail(y, order):
+    y = np.array(y)
+    for x in (None, np.ones(len(y)), np.full(len(y), np.nan)):
+        out = css.fit(y, x, np.arange(1, len(y) + 1), 3, quantiles=(1.0,), **order)
+        assert out["yhat"].shape == (len(y), 3)
+        if np.isnan(y).all() or len(y) == 1:
+            assert np.isnan(out["yhat"]).all()
+        if (y == 5).all() and x is None and "q" in order:
+            assert out["yhat"][-1] == pytest.approx([5.0] * 3)
+
+
 def test_arima_cv_blocks_do_not_matter(spark):
     df = indexed(spark, s=list(ar_series(60)), t=list(ar_series(40, seed=8)))
     ranges = {"p": (0, 1), "w": (None, 24)}

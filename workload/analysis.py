@@ -9,7 +9,7 @@ from seriesforge.functions.boxcox import boxcox, inverse_boxcox
 from seriesforge.functions.clean import to_double
 from seriesforge.functions.names import column_name, label_before_comma, matches_any
 from seriesforge.operators import diagnose, evaluate, reshape, series, star
-from seriesforge.operators.dims import family_dimension
+from seriesforge.operators.dims import Family, family_dimension, total_dimension
 from seriesforge.operators.facts import explode_history
 from seriesforge.operators.star import Rule
 from seriesforge.sources.bulk import keep_frequency
@@ -53,8 +53,8 @@ FROM returns""", "returns")
 def fact_dim_right_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part keeps a row, also those with no fact."""
     raw = keep_frequency(c.return_records(spark, sf_dir))
-    plants = c.FAMILIES[1].__class__("returns", ("TPC.PART.RET.",), c.FAMILIES[1].parts)
-    dim = family_dimension(raw, plants).select("series_id", "fuel_type")
+    returns = Family("returns", ("TPC.PART.RET.",), c.FAMILIES[1].parts)
+    dim = family_dimension(raw, returns).select("series_id", "fuel_type")
     return star.join_facts(dim, explode_history(raw)).withColumn("value", to_double("value"))
 
 
@@ -69,11 +69,12 @@ def broadcast_star_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT series_id, name, units, CAST(DATE '2001-08-01' AS DATE) AS as_of
-FROM seg_dim WHERE regexp_matches(name, '(Order Revenue From.*All Segments, Monthly$)')""", "seg_dim")
+SELECT series_id, name, units, max(date) AS updated
+FROM seg_fact WHERE regexp_matches(name, '(Order Revenue From.*All Segments, Monthly$)') GROUP BY ALL""", "seg_fact")
 def name_anchored_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dim = c.segment_dims(spark, sf_dir).filter(matches_any("name", ["(Order Revenue From.*All Segments, Monthly$)"]))
-    return dim.withColumn("as_of", F.lit("2001-08-01").cast("date"))
+    dim = total_dimension(keep_frequency(c.segment_records(spark, sf_dir)))
+    dim = dim.filter(matches_any("name", ["(Order Revenue From.*All Segments, Monthly$)"]))
+    return dim.select("series_id", "name", "units", F.col("last_updated").cast("date").alias("updated"))
 
 
 @query("""
@@ -320,7 +321,7 @@ def boxcox_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM (SELECT *, (max(idx) OVER (PARTITION BY series_id) - idx) // 12 AS block FROM reg_ser)
         GROUP BY ALL HAVING count(*) = 12),
 v AS (SELECT series_id, lam, stddev_samp(s / pow(m, 1 - lam)) / avg(s / pow(m, 1 - lam)) AS cv
-      FROM b CROSS JOIN (SELECT round(-0.9 + 0.05 * unnest(range(0, 59)), 2) AS lam) GROUP BY ALL)
+      FROM b CROSS JOIN (SELECT CAST(round(-0.9 + 0.05 * unnest(range(0, 59)), 2) AS DOUBLE) AS lam) GROUP BY ALL)
 SELECT series_id, arg_min(lam, cv) AS lam FROM v GROUP BY 1""", "reg_ser")
 def boxcox_auto_lambda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnose.auto_lambda(regional_regular(spark, sf_dir)).withColumnRenamed("lambda", "lam")
