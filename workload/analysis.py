@@ -12,6 +12,7 @@ from seriesforge.operators import diagnose, evaluate, reshape, series, star
 from seriesforge.operators.dims import Family, family_dimension, total_dimension
 from seriesforge.operators.facts import explode_history
 from seriesforge.operators.star import Rule
+from seriesforge.plans import tables
 from seriesforge.sources.bulk import keep_frequency
 from workload import catalogs as c
 from workload.registry import query
@@ -89,6 +90,19 @@ def category_rules_theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matched.select("category", "series_id", "name", "units", label_before_comma("name").alias("label"))
 
 
+@query("""
+SELECT r.category, series_id, regexp_extract(name, '^[^,]+') AS label, units, date, CAST(value AS DOUBLE) AS value
+FROM seg_fact JOIN (VALUES ('All Segments', 'order revenue.*all segments, monthly$', 'dollars'),
+                           ('Building', 'order.*building segment, monthly$', 'dollars|orders'),
+                           ('Household', 'order revenue.*household segment, monthly$', 'dollars'),
+                           ('Urgent', 'from 1-urgent', 'orders')) r(category, a, b)
+  ON regexp_matches(lower(name), a) AND regexp_matches(lower(units), b)""", "seg_fact")
+def category_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The observations behind one chart per category, from the tables of the total job."""
+    raw = keep_frequency(c.segment_records(spark, sf_dir))
+    return tables.category_series(total_dimension(raw), explode_history(raw), RULES)
+
+
 @query("""
 SELECT regexp_extract(name, '^[^,]+') AS label, string_agg(DISTINCT units, ', ' ORDER BY units) AS unit_label
 FROM seg_dim GROUP BY 1""", "seg_dim")
@@ -174,6 +188,17 @@ def pivot_mean_other(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshape.pivot_mean(rows, "date", "name", "value", [*KEPT, "rev_other"])
 
 
+@query(f"""
+SELECT date, {", ".join(f"avg(value) FILTER (name = '{n}') AS " + '"' + n + '"' for n in KEPT)},
+       avg(value) FILTER (name NOT IN ('rev_1-urgent', 'rev_2-high', 'rev_5-low')) AS rev_other
+FROM ({_NAMED}) WHERE date >= DATE '1996-01-01' AND date < DATE '2001-01-01' GROUP BY 1""", "seg_fact")
+def wide_study_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table a forecasting study starts from, built from dimension and facts in one chain."""
+    raw = keep_frequency(c.segment_records(spark, sf_dir))
+    return tables.wide_table(total_dimension(raw), explode_history(raw), REDUCED, "rev_$1", KEPT,
+                             since="1996-01-01", before="2001-01-01", other="rev_other")
+
+
 @query(f"""
 SELECT d.date, n.name AS id, v.value AS val
 FROM (SELECT DISTINCT date FROM ({_NAMED})) d CROSS JOIN (SELECT DISTINCT name FROM ({_NAMED})) n
