@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from heapq import heappop, heappush
+from heapq import heapify, heappop, heappush
 from itertools import islice
 from pathlib import Path
 
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from seriesforge.llm.common import whole_text
 
-MEMO = 200_000  # merged pre-tokens that a task remembers at most
-PART = 1 << 16  # pre-tokens resolved together
+MEMO = 250_000  # merged pre-tokens that a task remembers at most
+PART = 1 << 17  # pre-tokens resolved together
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -97,36 +97,31 @@ class PerfectHash:
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token: a heap of candidate merges over linked bytes."""
-    n = len(piece)
-    part = [piece[i:i + 1] for i in range(n)]
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap: list[tuple[int, int, bytes]] = []
-
-    def offer(i: int) -> None:
-        if i >= 0 and after[i] < n:
-            both = part[i] + part[after[i]]
-            rank = ranks.get(both)
-            if rank is not None:
-                heappush(heap, (rank, i, both))
-
-    for i in range(n - 1):
-        offer(i)
+    """Ids of one pre-token: a heap of candidate merges over linked bytes.
+
+    A part is named by its first byte and linked to the next part's; an entry of the heap is one number made of
+    rank, first byte and end, so the lowest rank comes first and the leftmost of equals.
+    """
+    n, get = len(piece), ranks.get
+    after, before = list(range(1, n + 2)), list(range(-1, n))
+    bits = (n + 1).bit_length()
+    low, high = (1 << bits) - 1, 2 * bits
+    heap = [rank << high | i << bits | i + 2 for i in range(n - 1) if (rank := get(piece[i:i + 2])) is not None]
+    heapify(heap)
     while heap:
-        _, i, both = heappop(heap)
+        entry = heappop(heap)
+        i, end = entry >> bits & low, entry & low
         j = after[i]
-        if j >= n or not part[i] or part[i] + part[j] != both:
+        if j < 0 or j >= n or after[j] != end:
             continue  # one of the two has been merged meanwhile
-        part[i], part[j] = both, b""
-        after[i] = after[j]
-        if after[j] < n:
-            before[after[j]] = i
-        after[j] = n
-        offer(i)
-        offer(before[i])
+        after[i], after[j], before[end] = end, -1, i
+        if end < n and (rank := get(piece[i:after[end]])) is not None:
+            heappush(heap, rank << high | i << bits | after[end])
+        if i and (rank := get(piece[before[i]:end])) is not None:
+            heappush(heap, rank << high | before[i] << bits | end)
     out, i = [], 0
     while i < n:
-        out.append(ranks[part[i]])
+        out.append(ranks[piece[i:after[i]]])
         i = after[i]
     return out
 
@@ -141,7 +136,8 @@ class Codec:
         keys = list(ranks)
         self.hash = PerfectHash(keys)
         self.entry = [keys[k] for k in self.hash.order.tolist()]  # slot -> entry
-        self.packed = [np.uint32(ranks[k]).astype("<u4").tobytes() for k in self.entry]
+        self.packed = [ranks[k].to_bytes(4, "little") for k in self.entry]
+        self.by_rank = {ranks[k]: p for k, p in zip(self.entry, self.packed)}
         self.memo: dict[bytes, bytes] = {}
 
     def resolve(self, pieces: list[str]) -> dict[str, bytes]:
@@ -154,7 +150,7 @@ class Codec:
                 continue
             got = self.memo.get(key)
             if got is None:
-                got = np.array(merge(key, self.ranks), "<u4").tobytes()
+                got = b"".join(map(self.by_rank.__getitem__, merge(key, self.ranks)))
                 if len(self.memo) >= MEMO:
                     self.memo.clear()
                 if len(key) <= 256:
