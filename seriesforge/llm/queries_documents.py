@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesforge.llm import quality_gbt, simhash, suffix_dedup
+from seriesforge.llm import hash_ring, quality_gbt, simhash, suffix_dedup
 from seriesforge.llm.common import query, table
 
 
@@ -32,3 +32,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "dedup.n_bytes", "dedup.n_removed", F.size("dedup.spans").cast("long").alias("n_spans"),
                        F.sha2("dedup.kept", 256).alias("kept_sha256"))
+
+
+@query()
+def op6_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its shard of 16 and its place there."""
+    return hash_ring.assign(table(spark, sf_dir, "documents")).withColumns(
+        {"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
