@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesforge.llm import hash_ring, quality_gbt, simhash, suffix_dedup
+from seriesforge.llm import decontaminate, hash_ring, quality_gbt, simhash, suffix_dedup
 from seriesforge.llm.common import query, table
 
 
@@ -39,3 +39,9 @@ def op6_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its shard of 16 and its place there."""
     return hash_ring.assign(table(spark, sf_dir, "documents")).withColumns(
         {"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+
+
+@query()
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item or a part of one, with the items."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
