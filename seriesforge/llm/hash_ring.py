@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from seriesforge.llm.common import cut, whole_text
 
 CELLS = 1 << 14
-SALT = 16
+SALT = 4
 
 
 def _cell(key: Column) -> tuple[Column, Column]:
