@@ -7,8 +7,8 @@ least name, leftmost among equals. Equal strings choose the same position, so ea
 copies there, and about one position in sixteen is left.
 
 * Round 0, inside a task: names of 1, 2, 4, ... bytes, each from the pair of names at the growing offset.
-* Round 1: positions are dealt by the name of ``2/5 length`` bytes and sorted by it. Names held by one document
-  only are unique: their strings end here. A name that a batch of documents repeats sends two of its positions,
+* Round 1: positions are dealt by the name of ``2/5 length`` bytes and sorted by the pairs of that name and the name of the
+  next, or the previous, bytes. Pairs held by one text only are unique (copies of a whole text are found by digest): their strings end here. A pair that a batch of documents repeats sends two of its positions,
   whatever their number, as the others are known to be repeated.
 * Round 2: what is left is dealt by that name again, together with the bytes around it, and ranked by the pairs
   of names that reach ``length`` bytes, past the threshold. A string is repeated where the least key of its rank
@@ -16,7 +16,8 @@ copies there, and about one position in sixteen is left.
   they are shuffled, so no group meets in one task.
 
 Names are hashes; equal strings always have equal names, and strings count as equal when two 64-bit names agree
-among those that share the first one too (hot names compare the bytes themselves). Texts travel compressed. Steps are cut in the shared folder.
+among those that share the first one too (hot names compare the bytes themselves). Texts travel
+compressed; no step is kept beyond the shuffles, so a lost executor costs its own tasks.
 
 Defined cases: null and empty texts have no bytes; keys decide what is smaller, so equal keys never remove each other,
 and a null key neither removes nor loses anything; repeated rows get equal results each; documents shorter than
@@ -34,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesforge.llm.common import cut, whole_text
+from seriesforge.llm.common import whole_text
 
 HOT = 20_000  # positions of one name
 BUCKET_BYTES = 24 << 20  # text whose sampled positions are sorted together
@@ -92,6 +93,30 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     return at, all_names[at], first, np.append(first[1:], len(where)) - 1
 
 
+def _codes(data: np.ndarray, at: np.ndarray, name: np.ndarray, length: int) -> np.ndarray:
+    """48 bits of the name and a byte each for the next and the previous few bytes (0: the text has none there).
+
+    A string that chose a position holds the next or the previous ``(length - 2/5 length) / 2`` bytes whole, so a repeated one
+    shares name and next, or name and previous.
+    """
+    k = max(2 * length // 5, 1)
+    far = np.arange(min(8, (length - k) // 2))
+    code = name & U(0xFFFFFFFFFFFF0000)
+    for shift, start in ((U(8), at + k), (U(0), at - len(far))):
+        there = np.flatnonzero((start >= 0) & (start + len(far) <= len(data)))
+        x = np.zeros(len(there), U)
+        for j in far.tolist():
+            x = (x ^ data[start[there] + j]) * U(0x9E3779B97F4A7C15)
+            x ^= x >> U(29)
+        code[there] |= (U(1) + (x >> U(40)) % U(255)) << shift
+    return code
+
+
+def _keys(name: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and 32 further bits of the name."""
+    return ((name >> U(16)) % U(buckets) << U(32)) | (name >> U(32))
+
+
 def _positions(length: int, buckets: int):
     """Round 1's rows: for each batch and bucket the sampled positions, and those known to be repeated."""
 
@@ -101,76 +126,117 @@ def _positions(length: int, buckets: int):
             texts = batch.column("text")
             order = np.lexsort((doc, tag))
             copy = np.zeros(len(doc), bool)  # of a text of the batch with a smaller key: judged as a copy later
-            copy[order[1:]] = (tag[order[1:]] == tag[order[:-1]]) & (doc[order[1:]] > doc[order[:-1]])
-            found = [(r, *anchors(np.frombuffer(texts[r].as_buffer(), np.uint8), length)[:2]) for r in np.flatnonzero(~copy).tolist()]
-            if not found:
-                continue
-            row = np.repeat([f[0] for f in found], [len(f[1]) for f in found])
-            pos, name = np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found])
-            order = np.lexsort((doc[row], name))
-            row, pos, name = row[order], pos[order], name[order]
+            for a, b in zip(order[:-1].tolist(), order[1:].tolist()):
+                copy[b] = tag[a] == tag[b] and doc[b] > doc[a] and texts[a] == texts[b]
+            found = []
+            for r in np.flatnonzero(~copy).tolist():
+                data = np.frombuffer(texts[r].as_buffer(), np.uint8)
+                at, name = anchors(data, length)[:2]
+                found.append((r, at, _codes(data, at, name, length)))
+            row = np.repeat(np.array([f[0] for f in found], np.int64), [len(f[1]) for f in found])
             if not len(row):
                 continue
-            new = np.append(True, name[1:] != name[:-1])
-            run = np.cumsum(new) - 1
-            start = np.flatnonzero(new)
-            last = np.append(start[1:], len(name)) - 1
-            several = doc[row[start]] != doc[row[last]]
-            known = several[run]
+            pos, code = np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found])
+            order = np.lexsort((tag[row], code))
+            row, pos, code = row[order], pos[order], code[order]
+            start = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+            last = np.append(start[1:], len(code)) - 1
+            size = last - start + 1
+            several = tag[row[start]] != tag[row[last]]
+            known = np.repeat(several, size)
             known[start] = known[last] = False
-            bucket = (name % U(buckets)).astype(np.int64)
-            for direct, chosen in ((True, np.flatnonzero(known)), (False, np.flatnonzero(~known))):
-                chosen = chosen[np.lexsort((pos[chosen], row[chosen], bucket[chosen]))]
-                if not len(chosen):
-                    continue
-                own = bucket[chosen]
-                ends = np.append(np.flatnonzero(own[1:] != own[:-1]) + 1, len(own))
-                offsets = pa.array(np.append(0, ends), pa.int32())
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (
-                    doc[row[chosen]], tag[row[chosen]], pos[chosen].astype(np.int32), name[chosen].view(np.int64))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own[ends - 1].astype(np.int32)), pa.array(np.full(len(ends), direct)), *lists],
-                    ["bucket", "direct", "doc", "tag", "pos", "name"])
+            weight = np.ones(len(code), np.int32)
+            weight[start[several]] = size[several] - 1
+            key = _keys(code, buckets)
+            bucket = (key >> U(32)).astype(np.int32)
+            for direct in (True, False):
+                chosen = np.flatnonzero(known == direct)
+                if len(chosen):
+                    yield _packed(chosen[np.lexsort((pos[chosen], row[chosen], bucket[chosen]))], direct, doc, tag, row, pos, key, code, weight)
 
     return emit
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Positions whose name more than one document holds, as a row for each document."""
-    held: dict[int, list[pa.RecordBatch]] = {}
+POSITIONS = ("bucket int, direct boolean, doc array<long>, tag array<long>, n array<int>, low array<short>, high array<short>, "
+             "name array<int>, near array<short>, weight array<int>")
+
+
+def _packed(chosen, direct, doc, tag, row, pos, key, code, weight) -> pa.RecordBatch:
+    """A row for each bucket; documents once with the number of their positions, numbers in their fewest bytes."""
+    row, pos, key, bucket = row[chosen], pos[chosen], key[chosen], (key[chosen] >> U(32)).astype(np.int32)
+    new = np.append(True, bucket[1:] != bucket[:-1])
+    starts = np.flatnonzero(new)
+    docs = np.flatnonzero(new | np.append(True, row[1:] != row[:-1]))
+    by_doc = pa.array(np.append(np.searchsorted(docs, starts), len(docs)), pa.int32())
+    by_pos = pa.array(np.append(starts, len(pos)), pa.int32())
+    columns = [(by_doc, doc[row[docs]]), (by_doc, tag[row[docs]]), (by_doc, np.diff(np.append(docs, len(pos))).astype(np.int32)),
+               (by_pos, (pos & 0xFFFF).astype(np.uint16).view(np.int16)), (by_pos, (pos >> 16).astype(np.int16)),
+               (by_pos, (key & U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)),
+               (by_pos, (code[chosen] & U(0xFFFF)).astype(np.uint16).view(np.int16)), (by_pos, weight[chosen])]
+    if direct:  # only documents and places are needed
+        empty = pa.array(np.zeros(len(starts) + 1), pa.int32())
+        columns[5:] = [(empty, c[1][:0]) for c in columns[5:]]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket[starts]), pa.array(np.full(len(starts), direct)), *(pa.ListArray.from_arrays(o, pa.array(v)) for o, v in columns)],
+        ["bucket", "direct", "doc", "tag", "n", "low", "high", "name", "near", "weight"])
+
+
+def _shared(hot: int):
+    """Positions that more than one document shares, as a row for each document; names with over ``hot`` positions."""
 
     def flat(parts: list, column: str) -> np.ndarray:
         return np.concatenate([p.column(column).flatten().to_numpy(zero_copy_only=False) for p in parts])
 
+    def places(parts: list) -> tuple[np.ndarray, ...]:
+        n = flat(parts, "n")
+        pos = flat(parts, "low").view(np.uint16).astype(np.int32) | flat(parts, "high").astype(np.int32) << 16
+        return np.repeat(flat(parts, "doc"), n), np.repeat(flat(parts, "tag"), n), pos
+
     def rows(doc, tag, pos):
         order = np.lexsort((pos, tag, doc))
         doc, tag, pos = doc[order], tag[order], pos[order]
         ends = np.append(np.flatnonzero((doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])) + 1, len(doc))
         return pa.RecordBatch.from_arrays(
-            [pa.array(doc[ends - 1]), pa.array(tag[ends - 1]),
-             pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(pos))], ["doc", "tag", "pos"])
-
-    for batch in batches:
-        for r in range(batch.num_rows):
-            row = batch.slice(r, 1)
-            if row.column("direct")[0].as_py():
-                yield rows(*(flat([row], c) for c in ("doc", "tag", "pos")))
-            else:
-                held.setdefault(row.column("bucket")[0].as_py(), []).append(row)
-    for bucket in list(held):
-        parts = held.pop(bucket)
-        doc, tag, pos, name = (flat(parts, c) for c in ("doc", "tag", "pos", "name"))
-        order = np.lexsort((doc, name))
-        name, own = name[order], doc[order]
-        start = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
-        last = np.append(start[1:], len(name)) - 1
-        several = np.repeat(own[start] != own[last], last - start + 1)
-        chosen = order[several]
-        if len(chosen):
-            yield rows(doc[chosen], tag[chosen], pos[chosen])
-
-
-def _contexts(length: int):
+            [pa.array(doc[ends - 1]), pa.array(tag[ends - 1]), pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(pos)),
+             pa.nulls(len(ends), pa.int64())], ["doc", "tag", "pos", "hot"])
+
+    def repeated(key: np.ndarray, tag: np.ndarray) -> np.ndarray:
+        order = np.lexsort((tag, key))
+        start = np.flatnonzero(np.append(True, key[order[1:]] != key[order[:-1]]))
+        last = np.append(start[1:], len(key)) - 1
+        out = np.zeros(len(key), bool)
+        out[order] = np.repeat(tag[order[start]] != tag[order[last]], last - start + 1)
+        return out
+
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[pa.RecordBatch]] = {}
+        for batch in batches:
+            for r in range(batch.num_rows):
+                row = batch.slice(r, 1)
+                if row.column("direct")[0].as_py():
+                    yield rows(*places([row]))
+                else:
+                    held.setdefault(row.column("bucket")[0].as_py(), []).append(row)
+        for bucket in list(held):
+            parts = held.pop(bucket)
+            doc, tag, pos = places(parts)
+            name, near = flat(parts, "name").view(np.uint32).astype(U), flat(parts, "near").view(np.uint16).astype(U)
+            after, before = near >> U(8), near & U(255)
+            keep = (after > 0) & repeated(name << U(8) | after, tag)
+            keep |= (before > 0) & repeated(name << U(8) | before, tag)
+            if not keep.any():
+                continue
+            yield rows(doc[keep], tag[keep], pos[keep])
+            names_, of = np.unique(name[keep], return_inverse=True)
+            many = names_[np.bincount(of, flat(parts, "weight")[keep]) > hot].astype(np.int64) | bucket << 32
+            none = pa.nulls(len(many))
+            yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.list_(pa.int32())), pa.array(many)],
+                                             ["doc", "tag", "pos", "hot"])
+
+    return share
+
+
+def _contexts(length: int, buckets: int):
     """Round 2's rows: the name, the first start and the bytes of all strings that chose a position."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +248,7 @@ def _contexts(length: int):
                 raw = unpack.decompress(packed)
                 at, name, first, last = anchors(np.frombuffer(raw, np.uint8), length)
                 chosen = np.flatnonzero(np.isin(at, np.concatenate(lists)))
-                out[0] += name[chosen].view(np.int64).tolist()
+                out[0] += _keys(name[chosen] & U(0xFFFFFFFFFFFF0000), buckets).view(np.int64).tolist()
                 out[1] += [doc] * len(chosen)
                 out[2] += [tag] * len(chosen)
                 out[3] += first[chosen].tolist()
@@ -249,6 +315,11 @@ def _ranked(length: int):
     return rank
 
 
+def _tag(text):
+    """Tells apart different texts under the same key."""
+    return F.xxhash64(text)
+
+
 def packed_texts(text: str):
     @F.pandas_udf("binary")
     def pack(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -259,22 +330,26 @@ def packed_texts(text: str):
     return pack.asNondeterministic()(text)
 
 
-def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
-    """(doc, tag, lo, hi): byte spans to remove from rows (doc, tag, text) with keys and hashes of texts."""
+def repeated_spans(docs: DataFrame, copies: DataFrame, length: int) -> DataFrame:
+    """(doc, tag, lo, hi): byte spans to remove from rows (doc, tag, text) with keys and hashes of texts.
+
+    ``copies`` (doc, tag) have the text of a smaller key. They go whole, and what they hold starts in that document too, so
+    they need not be ranked.
+    """
     spark = docs.sparkSession
     known = docs.filter("doc IS NOT NULL")
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
-    lists = "doc array<long>, tag array<long>, pos array<int>"
-    shared = (known.mapInArrow(_positions(length, buckets), f"bucket int, direct boolean, {lists}, name array<long>")
-              .repartitionById(buckets, F.col("bucket"))
-              .mapInArrow(_shared, "doc long, tag long, pos array<int>")
-              .groupBy("doc", "tag").agg(F.collect_list("pos").alias("pos")))
+    found = (known.mapInArrow(_positions(length, buckets), POSITIONS)
+             .repartitionById(buckets, F.col("bucket"))
+             .mapInArrow(_shared(HOT), "doc long, tag long, pos array<int>, hot long"))
+    shared = (found.filter("hot IS NULL").groupBy("doc", "tag").agg(F.collect_list("pos").alias("pos"))
+              .join(copies, ["doc", "tag"], "left_anti"))
+    hot = found.filter("hot IS NOT NULL").select(F.col("hot").alias("name"))
     texts = known.select("doc", "tag", packed_texts("text").alias("packed"))
-    rows = cut(texts.join(shared, ["doc", "tag"]).mapInArrow(
-        _contexts(length), "name long, doc long, tag long, start int, bytes binary"))
+    rows = texts.join(shared, ["doc", "tag"]).mapInArrow(
+        _contexts(length, buckets), "name long, doc long, tag long, start int, bytes binary")
 
-    hot = rows.groupBy("name").count().filter(F.col("count") > HOT).select("name")
     cold = (rows.join(hot, "name", "left_anti").repartition("name").sortWithinPartitions("name")
             .mapInArrow(_ranked(length), "doc long, tag long, lo int, hi int"))
     strings = (rows.join(hot, "name", "left_semi")
@@ -295,11 +370,11 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     if length < 2:
         raise ValueError("strings of two bytes at least")
     plain = df.select(F.col(key).alias("doc"), whole_text(text).alias("text")).select(
-        "doc", F.xxhash64("text").alias("tag"), "text")
+        "doc", _tag("text").alias("tag"), "text")
     copies = plain.filter(F.octet_length("text") >= length).select("doc", "tag", F.sha2("text", 256).alias("digest"), F.octet_length("text").alias("hi"))
     first = copies.groupBy("digest").agg(F.min("doc").alias("first"), F.count("*").alias("n")).filter("n > 1")
     copies = copies.join(first, "digest").filter("doc > first").select("doc", "tag", F.lit(0).alias("lo"), "hi").distinct()
-    spans = (repeated_spans(plain, length).unionByName(copies).groupBy("doc", "tag")
+    spans = (repeated_spans(plain, copies.select("doc", "tag"), length).unionByName(copies).groupBy("doc", "tag")
              .agg(F.collect_list(F.struct("lo", "hi")).alias("_found")))
 
     @F.pandas_udf("n_bytes long, n_removed long, spans array<struct<lo int, hi int>>, kept binary")
@@ -309,7 +384,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
             yield pd.DataFrame([_without(unpack.decompress(p), f, whole_characters) for p, f in zip(packed, found)],
                                columns=["n_bytes", "n_removed", "spans", "kept"])
 
-    own = df.drop(out).withColumns({"_doc": F.col(key), "_tag": F.xxhash64(whole_text(text)), "_packed": packed_texts(whole_text(text))}).drop(text)
+    own = df.drop(out).withColumns({"_doc": F.col(key), "_tag": _tag(whole_text(text)), "_packed": packed_texts(whole_text(text))}).drop(text)
     rest = [c for c in df.columns if c not in (text, out)]
     joined = own.join(spans, (F.col("_doc") == F.col("doc")) & (F.col("_tag") == F.col("tag")), "left")
     return joined.select(*[own[c] for c in rest], remove.asNondeterministic()("_packed", "_found").alias(out))
