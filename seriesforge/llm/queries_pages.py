@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesforge.llm import url_tree
+from seriesforge.llm import html_layout, url_tree
 from seriesforge.llm.common import query, table
 
 # Host, path, verdict.
@@ -24,3 +24,11 @@ def op1_url_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url with its rule, or else the verdict of its template."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_tree.judge(pages, page_labels(pages, table(spark, sf_dir, "labels")), RULES)
+
+
+@query()
+def op3_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of every page as it is laid out, with its numbers of characters and lines."""
+    texts = html_layout.extract(table(spark, sf_dir, "pages").select("page_id", "html"))
+    return texts.select("page_id", "text", F.length("text").cast("long").alias("n_chars"),
+                        F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
