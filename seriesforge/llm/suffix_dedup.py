@@ -26,20 +26,25 @@ and a null key neither removes nor loses anything; repeated rows get equal resul
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - pa.compute
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seriesforge.llm.common import whole_text
 
-HOT = 20_000  # positions of one name
+HOT = 100_000  # positions of one name
 BUCKET_BYTES = 24 << 20  # text whose sampled positions are sorted together
-CHUNK_ROWS = 60_000
+CHUNK_ROWS = 30_000
+PART_BYTES = 16 << 20  # text whose positions a task sorts at a time
+SMALL_PART_BYTES = 2 << 20  # compressed text that a task works on at a time
 U = np.uint64
 
 
@@ -82,7 +87,8 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     if len(data) < length:
         return tuple(np.zeros(0, t) for t in (np.int64, U, np.int64, np.int64))
     all_names, wide = least, length - k + 1
-    where, size = np.arange(len(least)), 1
+    least = (least >> U(32)).astype(np.uint32)  # equal strings still choose alike
+    where, size = np.arange(len(least), dtype=np.int32), 1
     while size < wide:
         step = min(size, wide - size)
         later = least[step:] < least[:-step]  # leftmost among equals
@@ -93,6 +99,17 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     return at, all_names[at], first, np.append(first[1:], len(where)) - 1
 
 
+def _parts(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about ``limit`` bytes in a column, one row at least."""
+    for batch in batches:
+        ends = np.cumsum(pa.compute.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            to = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right")), at + 1)
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def _codes(data: np.ndarray, at: np.ndarray, name: np.ndarray, length: int) -> np.ndarray:
     """48 bits of the name and a byte each for the next and the previous few bytes (0: the text has none there).
 
@@ -121,7 +138,7 @@ def _positions(length: int, buckets: int):
     """Round 1's rows: for each batch and bucket the sampled positions, and those known to be repeated."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches, "text", PART_BYTES):
             doc, tag = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "tag"))
             texts = batch.column("text")
             order = np.lexsort((doc, tag))
@@ -137,22 +154,24 @@ def _positions(length: int, buckets: int):
             if not len(row):
                 continue
             pos, code = np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found])
-            order = np.lexsort((tag[row], code))
-            row, pos, code = row[order], pos[order], code[order]
-            start = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
-            last = np.append(start[1:], len(code)) - 1
-            size = last - start + 1
-            several = tag[row[start]] != tag[row[last]]
-            known = np.repeat(several, size)
-            known[start] = known[last] = False
-            weight = np.ones(len(code), np.int32)
-            weight[start[several]] = size[several] - 1
+            order = np.argsort(code)
+            start = np.flatnonzero(np.append(True, code[order[1:]] != code[order[:-1]]))
+            size = np.diff(np.append(start, len(code)))
+            own = tag[row[order]]
+            other = np.flatnonzero(own != np.repeat(own[start], size))  # of another text than the first of the run
+            run, which = np.unique(np.searchsorted(start, other, side="right") - 1, return_index=True)
+            known, weight = np.zeros(len(code), bool), np.ones(len(code), np.int32)
+            several = np.zeros(len(start), bool)
+            several[run] = True
+            known[order[np.repeat(several, size)]] = True
+            known[order[start]] = known[order[other[which]]] = False
+            weight[order[start[run]]] = size[run] - 1
             key = _keys(code, buckets)
             bucket = (key >> U(32)).astype(np.int32)
             for direct in (True, False):
                 chosen = np.flatnonzero(known == direct)
                 if len(chosen):
-                    yield _packed(chosen[np.lexsort((pos[chosen], row[chosen], bucket[chosen]))], direct, doc, tag, row, pos, key, code, weight)
+                    yield _packed(chosen[np.argsort(bucket[chosen], kind="stable")], direct, doc, tag, row, pos, key, code, weight)
 
     return emit
 
@@ -241,13 +260,18 @@ def _contexts(length: int, buckets: int):
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in _parts(batches, "_packed", SMALL_PART_BYTES):
             out: list[list] = [[], [], [], [], []]
             size = 0
-            for doc, tag, lists, packed in zip(*(batch.column(c).to_pylist() for c in ("doc", "tag", "pos", "packed"))):
+            for doc, tag, known, lists, packed in zip(*(batch.column(c).to_pylist() for c in ("doc", "_tag", "_known", "pos", "_packed"))):
+                if not known:
+                    continue
                 raw = unpack.decompress(packed)
                 at, name, first, last = anchors(np.frombuffer(raw, np.uint8), length)
-                chosen = np.flatnonzero(np.isin(at, np.concatenate(lists)))
+                asked = np.zeros(len(raw), bool)
+                for positions in lists:
+                    asked[positions] = True
+                chosen = np.flatnonzero(asked[at])
                 out[0] += _keys(name[chosen] & U(0xFFFFFFFFFFFF0000), buckets).view(np.int64).tolist()
                 out[1] += [doc] * len(chosen)
                 out[2] += [tag] * len(chosen)
@@ -320,6 +344,10 @@ def _tag(text):
     return F.xxhash64(text)
 
 
+def _same(by: list[str]):
+    return functools.reduce(lambda a, b: a & b, [F.col({"doc": "_key", "tag": "_tag"}[c]) == F.col(c) for c in by])
+
+
 def packed_texts(text: str):
     @F.pandas_udf("binary")
     def pack(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -327,14 +355,15 @@ def packed_texts(text: str):
         for batch in batches:
             yield batch.map(lambda t: squeeze.compress(t.encode()))
 
-    return pack.asNondeterministic()(text)
+    return pack(text)
 
 
-def repeated_spans(docs: DataFrame, copies: DataFrame, length: int) -> DataFrame:
+def repeated_spans(docs: DataFrame, texts: DataFrame, copies: DataFrame, length: int, one_text: bool) -> DataFrame:
     """(doc, tag, lo, hi): byte spans to remove from rows (doc, tag, text) with keys and hashes of texts.
 
-    ``copies`` (doc, tag) have the text of a smaller key. They go whole, and what they hold starts in that document too, so
-    they need not be ranked.
+    ``texts`` has the compressed texts (_key, _tag, _packed). ``copies`` (doc, tag) have the text of a smaller key. They go whole, and
+    what they hold starts in that document too, so they need not be ranked. Where each key has ``one_text``, tags are
+    left out of what is shuffled.
     """
     spark = docs.sparkSession
     known = docs.filter("doc IS NOT NULL")
@@ -343,12 +372,14 @@ def repeated_spans(docs: DataFrame, copies: DataFrame, length: int) -> DataFrame
     found = (known.mapInArrow(_positions(length, buckets), POSITIONS)
              .repartitionById(buckets, F.col("bucket"))
              .mapInArrow(_shared(HOT), "doc long, tag long, pos array<int>, hot long"))
-    shared = (found.filter("hot IS NULL").groupBy("doc", "tag").agg(F.collect_list("pos").alias("pos"))
-              .join(copies, ["doc", "tag"], "left_anti"))
+    by = ["doc"] if one_text else ["doc", "tag"]
+    shared = (found.filter("hot IS NULL").groupBy(*by).agg(F.collect_list("pos").alias("pos"))
+              .join(copies, by, "left_anti"))
     hot = found.filter("hot IS NOT NULL").select(F.col("hot").alias("name"))
-    texts = known.select("doc", "tag", packed_texts("text").alias("packed"))
-    rows = texts.join(shared, ["doc", "tag"]).mapInArrow(
-        _contexts(length, buckets), "name long, doc long, tag long, start int, bytes binary")
+    rows = (texts.join(shared, _same(by))
+            .mapInArrow(_contexts(length, buckets), "name long, doc long, tag long, start int, bytes binary"))
+    if one_text:
+        rows = rows.withColumn("tag", F.lit(0).cast("long"))
 
     cold = (rows.join(hot, "name", "left_anti").repartition("name").sortWithinPartitions("name")
             .mapInArrow(_ranked(length), "doc long, tag long, lo int, hi int"))
@@ -371,29 +402,41 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
         raise ValueError("strings of two bytes at least")
     plain = df.select(F.col(key).alias("doc"), whole_text(text).alias("text")).select(
         "doc", _tag("text").alias("tag"), "text")
+    thin = plain.filter("doc IS NOT NULL").select("doc", "tag")
+    one_text = thin.groupBy("doc").agg(F.min("tag").alias("a"), F.max("tag").alias("b")).filter("a <> b").isEmpty()
     copies = plain.filter(F.octet_length("text") >= length).select("doc", "tag", F.sha2("text", 256).alias("digest"), F.octet_length("text").alias("hi"))
     first = copies.groupBy("digest").agg(F.min("doc").alias("first"), F.count("*").alias("n")).filter("n > 1")
     copies = copies.join(first, "digest").filter("doc > first").select("doc", "tag", F.lit(0).alias("lo"), "hi").distinct()
-    spans = (repeated_spans(plain, copies.select("doc", "tag"), length).unionByName(copies).groupBy("doc", "tag")
-             .agg(F.collect_list(F.struct("lo", "hi")).alias("_found")))
+    rest = [c for c in df.columns if c not in (text, out)]
+    # Both joins below take the texts from the same shuffle, so both need the same columns and no filter of their own.
+    own = df.select(*rest, F.coalesce(key, F.lit(0)).alias("_key"), F.col(key).isNotNull().alias("_known"),
+                    _tag(whole_text(text)).alias("_tag"), packed_texts(whole_text(text)).alias("_packed"))
+    spans = repeated_spans(plain, own, copies.select("doc", "tag"), length, one_text)
+    by = ["doc"] if one_text else ["doc", "tag"]
+    spans = spans.unionByName(copies).groupBy(*by).agg(F.collect_list(F.struct("lo", "hi")).alias("_found"))
+    joined = own.join(spans, _same(by), "left")
+
+    result = T.StructType([T.StructField(c, df.schema[c].dataType) for c in rest] + [T.StructField(out, T.StructType.fromDDL(RESULT))])
 
-    @F.pandas_udf("n_bytes long, n_removed long, spans array<struct<lo int, hi int>>, kept binary")
-    def remove(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        for packed, found in batches:
-            yield pd.DataFrame([_without(unpack.decompress(p), f, whole_characters) for p, f in zip(packed, found)],
-                               columns=["n_bytes", "n_removed", "spans", "kept"])
+        for batch in _parts(batches, "_packed", SMALL_PART_BYTES):
+            rows = [_without(unpack.decompress(p), f, whole_characters)
+                    for p, f in zip(batch.column("_packed").to_pylist(), pa.compute.if_else(batch.column("_known"), batch.column("_found"), None).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(rows, RESULT_ARROW)], [*rest, out])
 
-    own = df.drop(out).withColumns({"_doc": F.col(key), "_tag": _tag(whole_text(text)), "_packed": packed_texts(whole_text(text))}).drop(text)
-    rest = [c for c in df.columns if c not in (text, out)]
-    joined = own.join(spans, (F.col("_doc") == F.col("doc")) & (F.col("_tag") == F.col("tag")), "left")
-    return joined.select(*[own[c] for c in rest], remove.asNondeterministic()("_packed", "_found").alias(out))
+    return joined.select(*[own[c] for c in own.columns], "_found").mapInArrow(remove, result)
+
+
+RESULT = "n_bytes long, n_removed long, spans array<struct<lo int, hi int>>, kept binary"
+RESULT_ARROW = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()),
+                          ("spans", pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))), ("kept", pa.binary())])
 
 
-def _without(raw: bytes, found, whole_characters: bool) -> tuple:
+def _without(raw: bytes, found, whole_characters: bool) -> dict:
     n = len(raw)
     if found is None or not len(found):
-        return n, 0, [], raw
+        return {"n_bytes": n, "n_removed": 0, "spans": [], "kept": raw}
     spans = np.array([(s["lo"], s["hi"]) for s in found], np.int64)
     level = np.zeros(n + 1, np.int64)
     np.add.at(level, spans[:, 0], 1)
@@ -406,4 +449,4 @@ def _without(raw: bytes, found, whole_characters: bool) -> tuple:
         gone = np.repeat(whole, np.diff(np.append(starts, n)))
     edges = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
     pairs = [{"lo": int(a), "hi": int(b)} for a, b in zip(edges[::2], edges[1::2])]
-    return n, int(gone.sum()), pairs, data[~gone].tobytes()
+    return {"n_bytes": n, "n_removed": int(gone.sum()), "spans": pairs, "kept": data[~gone].tobytes()}
