@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from seriesforge.llm.common import cut, in_pieces
+
 PACK_TOKENS = 16384
 OPEN, END = "<|im_start|>", "<|im_end|>\n"
 # Strings that chat templates use as controls.
@@ -59,38 +61,57 @@ def _tokenizer(model: str) -> Tokenizer:
     return tokenizer
 
 
-TURNS = "conv_id long, depth int, node binary, parent binary, role string, n_head int, n_text int, n_tokens int, offset long, ids binary"
+NODES = "conv_id long, depth int, node binary, parent binary"
+TURNS = "conv_id long, depth int, node binary, role string, n_head int, n_text int, n_tokens int, offset long, ids binary"
+
+
+def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list, list]]:
+    """Names and depths of the turns of sorted conversations; a conversation may span batches."""
+    conv, name, depth = object(), b"", 0
+    for batch in batches:
+        rows, parents = [], []
+        for c, role, text in zip(batch["conv_id"].astype(object), batch["role"], batch["text"]):
+            c = None if pd.isna(c) else int(c)
+            if c != conv:
+                conv, name, depth = c, b"", 0
+            parents.append(name)
+            role = role.encode()
+            name = hashlib.blake2b(b"".join((name, len(role).to_bytes(8, "little"), role, text.encode())), digest_size=16).digest()
+            rows.append((c, depth, name))
+            depth += 1
+        yield batch, rows, parents
 
 
-def _chained(model: str):
-    """Turns of sorted conversations as nodes with their tokens; a conversation may span batches."""
+def _nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for _, rows, parents in _chain(batches):
+        out = pd.DataFrame(rows, columns=["conv_id", "depth", "node"]).assign(parent=parents)
+        yield out.astype({"conv_id": "Int64"})
 
-    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer, marks = _tokenizer(model), {}
-        conv, name, depth, offset = object(), b"", 0, 0
+
+def _turns(model: str):
+    """Nodes with their tokens and the number of tokens before them."""
+
+    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokenizer, marks, offset = _tokenizer(model), {}, 0
 
         def mark(text: str) -> list[int]:
             if text not in marks:
                 marks[text] = tokenizer.encode(text, add_special_tokens=False).ids
             return marks[text]
 
-        for batch in batches:
+        for batch, rows, _ in _chain(batches):
+            encoded = (e.ids for part in in_pieces(map(escape, batch["text"]), 1 << 17)
+                       for e in tokenizer.encode_batch_fast(part, add_special_tokens=False))
             out = []
-            texts = tokenizer.encode_batch([escape(t) for t in batch["text"]], add_special_tokens=False)
-            for c, role, text, encoded in zip(batch["conv_id"].astype(object), batch["role"], batch["text"], texts):
-                c = None if pd.isna(c) else int(c)
-                if c != conv:
-                    conv, name, depth, offset = c, b"", 0, 0
+            for (c, depth, name), role, text in zip(rows, batch["role"], encoded):
                 head, end = mark(f"{OPEN}{escape(role)}\n"), mark(END)
-                ids = np.array([*head, *encoded.ids, *end], "<u4").tobytes()
-                parent = name
-                name = hashlib.blake2b(b"".join((parent, len(role.encode()).to_bytes(8, "little"), role.encode(), text.encode())), digest_size=16).digest()
-                n = len(ids) // 4
-                out.append((c, depth, name, parent, role, len(head), len(encoded.ids), n, offset, ids))
-                depth, offset = depth + 1, offset + n
+                ids = np.array([*head, *text, *end], "<u4").tobytes()
+                offset = offset if depth else 0
+                out.append((c, depth, name, role, len(head), len(text), len(ids) // 4, offset, ids))
+                offset += len(ids) // 4
             yield pd.DataFrame(out, columns=[x.split()[0] for x in TURNS.split(", ")]).astype({"conv_id": "Int64"})
 
-    return chain
+    return tokens
 
 
 PACKS = ("pack string, ids array<int>, positions array<int>, loss array<boolean>, segments array<struct<node binary, parent int, role string, "
@@ -170,9 +191,9 @@ def format_chats(conversations: DataFrame, tokenizer_json: str, limit: int = PAC
     """Packs (see ``PACKS``) of all conversations (conv_id, turn, role, text), with at most ``limit`` tokens unless one conversation has more."""
     rows = conversations.select(F.col("conv_id").cast("long"), "turn", F.coalesce("role", F.lit("")).alias("role"),
                                 F.coalesce("text", F.lit("")).alias("text"))
-    turns = (rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-             .mapInPandas(_chained(tokenizer_json), TURNS))
-    thin = turns.select("conv_id", "depth", "node", "parent")
+    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    turns = ordered.mapInPandas(_turns(tokenizer_json), TURNS)
+    thin = cut(ordered.mapInPandas(_nodes, NODES))
     edges = thin.groupBy("parent", "node").agg(F.min("depth").alias("depth"))
     branching = edges.filter("depth > 0").groupBy("parent").count().filter("count > 1").select("parent")
     choices = thin.filter("depth > 0").join(branching, "parent", "left_semi").unionByName(thin.filter("depth = 0"))
