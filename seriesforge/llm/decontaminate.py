@@ -127,40 +127,48 @@ class Segments:
         return cost.min(axis=1), cost.argmin(axis=1)
 
 
-def _matches(segments: Segments, table: np.ndarray):
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out: list[tuple] = []
-            waiting: list[tuple] = []
-
-            def verify() -> None:
-                for m in sorted({len(segments.code[s]) for _, s, *_ in waiting}):
-                    own = [w for w in waiting if len(segments.code[w[1]]) == m]
-                    segment = np.array([w[1] for w in own])
-                    width = int(max(2 * segments.step[segment[0]], 1))
-                    edits, last = segments.align(segment, np.stack([w[3] for w in own]), m, width)
-                    for (key, s, first, _, keep), e, d in zip(own, edits.tolist(), last.tolist()):
-                        if e <= segments.e[s]:
-                            to = min(first + d + m, len(keep))
-                            out.append((key, segments.item[s], s, e, int(keep[max(to - m, 0)]), int(keep[to - 1]) + 1))
-                waiting.clear()
-
-            for key, text in zip(batch["key"], batch["text"]):
-                code, keep = plain(text, table)
-                if len(code) < Q:
-                    continue
-                for s, first in zip(*(x.tolist() for x in segments.bands(code))):
-                    m, width = len(segments.code[s]), int(max(2 * segments.step[s], 1))
-                    window = np.zeros(m + width, np.uint32)
-                    lo, hi = max(first, 0), min(first + m + width, len(code))
-                    window[lo - first:max(hi - first, lo - first)] = code[lo:hi]
-                    waiting.append((key, s, first, window, keep))
-                if len(waiting) >= VERIFIED:
-                    verify()
+def found_in(segments: Segments, table: np.ndarray, rows: Iterator[tuple]) -> list[tuple]:
+    """(key, item, segment, edits, lo, hi) of all matches in rows (key, text)."""
+    out: list[tuple] = []
+    waiting: list[tuple] = []
+
+    def verify() -> None:
+        for m in sorted({len(segments.code[s]) for _, s, *_ in waiting}):
+            own = [w for w in waiting if len(segments.code[w[1]]) == m]
+            segment = np.array([w[1] for w in own])
+            width = int(max(2 * segments.step[segment[0]], 1))
+            edits, last = segments.align(segment, np.stack([w[3] for w in own]), m, width)
+            for (key, s, first, _, keep), e, d in zip(own, edits.tolist(), last.tolist()):
+                if e <= segments.e[s]:
+                    to = min(max(first + d + m, 1), len(keep))
+                    out.append((key, segments.item[s], s, e, int(keep[max(to - m, 0)]), int(keep[to - 1]) + 1))
+        waiting.clear()
+
+    for key, text in rows:
+        code, keep = plain(text, table)
+        if len(code) < Q:
+            continue
+        for s, first in zip(*(x.tolist() for x in segments.bands(code))):
+            m, width = len(segments.code[s]), int(max(2 * segments.step[s], 1))
+            window = np.zeros(m + width, np.uint32)
+            lo, hi = max(first, 0), min(first + m + width, len(code))
+            window[lo - first:max(hi - first, lo - first)] = code[lo:hi]
+            waiting.append((key, s, first, window, keep))
+        if len(waiting) >= VERIFIED:
             verify()
-            yield pd.DataFrame(out, columns=["key", "item", "segment", "edits", "lo", "hi"]).astype({"key": "Int64", "item": "Int64"})
+    verify()
+    return out
 
-    return find
+
+def _blocks(benchmark: DataFrame, item: str, item_text: str, budget: float, table: np.ndarray) -> Iterator[Segments]:
+    if not 0 <= budget < 1:
+        raise ValueError("the budget is a share of a segment's characters")
+    size = benchmark.agg(F.sum(F.length(item_text))).first()[0] or 0
+    blocks = -(-size // BLOCK_CHARS) or 1
+    for b in range(blocks):
+        block = benchmark.filter(F.pmod(F.xxhash64(item, item_text), F.lit(blocks)) == b)
+        items = block.select(F.col(item).cast("long"), whole_text(item_text)).collect()  # bounded by the number of blocks
+        yield Segments([(r[0], r[1]) for r in items], table, budget)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
@@ -170,18 +178,38 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     n_segments: the item's segments found; edits: those of the best of them; lo, hi: characters of the text from the first match
     to the end of the last.
     """
-    if not 0 <= budget < 1:
-        raise ValueError("the budget is a share of a segment's characters")
-    size = benchmark.agg(F.sum(F.length(item_text))).first()[0] or 0
-    blocks = -(-size // BLOCK_CHARS) or 1
     table = lower_table()
     texts = docs.select(F.col(key).cast("long").alias("key"), whole_text(text).alias("text"))
-    passes = []
-    for b in range(blocks):
-        block = benchmark.filter(F.pmod(F.xxhash64(item, item_text), F.lit(blocks)) == b)
-        items = [(r[0], r[1]) for r in block.select(F.col(item).cast("long"), whole_text(item_text)).collect()]  # bounded by the number of blocks
-        passes.append(texts.mapInPandas(_matches(Segments(items, table, budget), table),
-                                        "key long, item long, segment int, edits int, lo int, hi int"))
+
+    def find(segments: Segments):
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                rows = found_in(segments, table, zip(batch["key"].astype("Int64"), batch["text"]))
+                yield pd.DataFrame(rows, columns=["key", "item", "segment", "edits", "lo", "hi"]).astype({"key": "Int64", "item": "Int64"})
+
+        return each
+
+    passes = [texts.mapInPandas(find(segments), "key long, item long, segment int, edits int, lo int, hi int")
+              for segments in _blocks(benchmark, item, item_text, budget, table)]
     return (functools.reduce(DataFrame.unionByName, passes).groupBy("key", "item")
             .agg(F.countDistinct("segment").alias("n_segments"), F.min("edits").alias("edits"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
             .withColumnsRenamed({"key": key, "item": item}))
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id",
+                         item_text: str = "text", budget: float = BUDGET) -> DataFrame:
+    """The rows of ``docs`` in which no item is found. Each row is judged where it stands; nothing is shuffled."""
+    table = lower_table()
+
+    def found(segments: Segments):
+        @F.pandas_udf("boolean")
+        def hit(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for batch in batches:
+                rows = {r[0] for r in found_in(segments, table, enumerate(batch))}
+                yield pd.Series([k in rows for k in range(len(batch))])
+
+        return hit.asNondeterministic()
+
+    for segments in _blocks(benchmark, item, item_text, budget, table):
+        docs = docs.withColumn("_hit", found(segments)(whole_text(text))).filter("NOT _hit").drop("_hit")
+    return docs

@@ -27,9 +27,13 @@ def op5_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None = N
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def default_codec(ranks: str | None = None) -> byte_bpe.Codec:
+    return codec(ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def encoded_documents(docs: DataFrame, ranks: str | None = None) -> DataFrame:
     """Documents encoded and decoded again, as digests."""
-    own = codec(ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    own = default_codec(ranks)
     both = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "text"), own), own)
     return both.select("doc_id", byte_bpe.n_ids().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
