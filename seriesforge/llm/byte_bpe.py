@@ -20,13 +20,12 @@ from itertools import islice
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesforge.llm.common import whole_text
+from seriesforge.llm.common import map_column
 
 MEMO = 250_000  # merged pre-tokens that a task remembers at most
 PART = 1 << 17  # pre-tokens resolved together
@@ -195,25 +194,20 @@ class Codec:
 def encode(df: DataFrame, codec: Codec, text: str = "text", out: str = "ids") -> DataFrame:
     """Adds ``out``: the ids of each whole text, packed."""
 
-    @F.pandas_udf("binary")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series(list(codec.encode_all(iter(batch))), dtype=object)
+    def make():
+        return lambda texts: list(codec.encode_all(t or "" for t in texts))
 
-    return df.withColumn(out, ids.asNondeterministic()(whole_text(text)))
+    return map_column(df, text, out, "binary", make)
 
 
 def decode(df: DataFrame, codec: Codec, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds ``out``: the bytes that the packed ids stand for; an unknown id stops the job, null stays null."""
     words = codec.decoder()
 
-    @F.pandas_udf("binary")
-    def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([None if x is None else b"".join(map(words.__getitem__, np.frombuffer(x, "<u4").tolist()))
-                             for x in batch], dtype=object)
+    def make():
+        return lambda packed: [None if x is None else b"".join(map(words.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in packed]
 
-    return df.withColumn(out, decoded.asNondeterministic()(F.col(ids)))
+    return map_column(df, ids, out, "binary", make)
 
 
 def n_ids(ids: str = "ids"):

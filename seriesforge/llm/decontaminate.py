@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesforge.llm.common import whole_text
+from seriesforge.llm.common import unused, whole_text
 
 Q = 8
 SEGMENT = 80
@@ -211,5 +211,6 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "tex
         return hit.asNondeterministic()
 
     for segments in _blocks(benchmark, item, item_text, budget, table):
-        docs = docs.withColumn("_hit", found(segments)(whole_text(text))).filter("NOT _hit").drop("_hit")
+        hit = unused(docs, "_hit")
+        docs = docs.withColumn(hit, found(segments)(whole_text(text))).filter(~F.col(hit)).drop(hit)
     return docs

@@ -409,23 +409,23 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     copies = copies.join(first, "digest").filter("doc > first").select("doc", "tag", F.lit(0).alias("lo"), "hi").distinct()
     rest = [c for c in df.columns if c not in (text, out)]
     # Both joins below take the texts from the same shuffle, so both need the same columns and no filter of their own.
-    own = df.select(*rest, F.coalesce(key, F.lit(0)).alias("_key"), F.col(key).isNotNull().alias("_known"),
+    own = df.select(F.struct(*rest).alias("_row"), F.coalesce(key, F.lit(0)).alias("_key"), F.col(key).isNotNull().alias("_known"),
                     _tag(whole_text(text)).alias("_tag"), packed_texts(whole_text(text)).alias("_packed"))
     spans = repeated_spans(plain, own, copies.select("doc", "tag"), length, one_text)
     by = ["doc"] if one_text else ["doc", "tag"]
     spans = spans.unionByName(copies).groupBy(*by).agg(F.collect_list(F.struct("lo", "hi")).alias("_found"))
     joined = own.join(spans, _same(by), "left")
 
-    result = T.StructType([T.StructField(c, df.schema[c].dataType) for c in rest] + [T.StructField(out, T.StructType.fromDDL(RESULT))])
+    result = T.StructType([own.schema["_row"], T.StructField(out, T.StructType.fromDDL(RESULT))])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in _parts(batches, "_packed", SMALL_PART_BYTES):
             rows = [_without(unpack.decompress(p), f, whole_characters)
                     for p, f in zip(batch.column("_packed").to_pylist(), pa.compute.if_else(batch.column("_known"), batch.column("_found"), None).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(rows, RESULT_ARROW)], [*rest, out])
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(rows, RESULT_ARROW)], ["_row", out])
 
-    return joined.select(*[own[c] for c in own.columns], "_found").mapInArrow(remove, result)
+    return joined.select(*own.columns, "_found").mapInArrow(remove, result).select("_row.*", out)
 
 
 RESULT = "n_bytes long, n_removed long, spans array<struct<lo int, hi int>>, kept binary"

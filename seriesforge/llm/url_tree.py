@@ -69,9 +69,9 @@ def grown(paths: DataFrame) -> DataFrame:
         siblings = named.groupBy("host", "template").agg(F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
         labelled, bad = F.col("labelled"), F.col("bad")
         others, others_bad = F.col("all_labelled") - labelled, F.col("all_bad") - bad
-        pooled = F.col("all_bad") / F.col("all_labelled")
-        error = F.sqrt(pooled * (1 - pooled) * (1 / labelled + 1 / others))
-        differs = F.coalesce((labelled > 0) & (others > 0) & (F.abs(bad / labelled - others_bad / others) > Z * error), F.lit(False))
+        pooled = F.try_divide("all_bad", "all_labelled")
+        error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), labelled) + F.try_divide(F.lit(1), others)))
+        differs = F.coalesce((labelled > 0) & (others > 0) & (F.abs(F.try_divide(bad, labelled) - F.try_divide(others_bad, others)) > Z * error), F.lit(False))
         tested = named.join(siblings, ["host", "template"]).select("host", "template", "segment", differs.alias("differs"))
         merged = (tested.filter(~F.col("differs")).groupBy("host", "template")
                   .agg(F.array_sort(F.collect_list("segment")).alias("alike")))  # at most 1 / MIN_SHARE
@@ -91,7 +91,7 @@ def templates(tree: DataFrame) -> DataFrame:
     by_template = tree.groupBy("host", "template").agg(*sums)
     by_host = tree.groupBy("host").agg(F.sum("labelled").alias("host_labelled"), F.sum("bad").alias("host_bad"))
     everywhere = tree.agg(F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))  # one row
-    share = F.coalesce(F.col("all_bad") / F.col("all_labelled"), F.lit(0.0))
+    share = F.coalesce(F.try_divide("all_bad", "all_labelled"), F.lit(0.0))
     host_share = (F.col("host_bad") + PRIOR * share) / (F.col("host_labelled") + PRIOR)
     return (by_template.join(by_host, "host").crossJoin(F.broadcast(everywhere))
             .select("host", "template", "n", "labelled", "bad",
