@@ -25,6 +25,7 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,10 +77,10 @@ def fingerprint(text: str, width: int = 3) -> int:
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
     """(key, fp) with the fingerprint as a signed long."""
 
-    @F.pandas_udf("long")
-    def fp(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def fp(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pd.Series(np.array([fingerprint(t, width) for t in batch], np.uint64).view(np.int64))
+            yield pa.array(np.array([fingerprint(t.as_py(), width) for t in batch], np.uint64).view(np.int64))
 
     return df.select(F.col(key).alias("key"), fp.asNondeterministic()(whole_text(text)).alias("fp"))
 

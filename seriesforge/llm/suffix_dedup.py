@@ -30,7 +30,6 @@ import functools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401 - pa.compute
 import zstandard
@@ -349,11 +348,11 @@ def _same(by: list[str]):
 
 
 def packed_texts(text: str):
-    @F.pandas_udf("binary")
-    def pack(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def pack(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            yield batch.map(lambda t: squeeze.compress(t.encode()))
+            yield pa.array([squeeze.compress(t.as_buffer()) for t in batch], pa.binary())
 
     return pack(text)
 
@@ -380,8 +379,11 @@ def repeated_spans(docs: DataFrame, texts: DataFrame, copies: DataFrame, length:
             .mapInArrow(_contexts(length, buckets), "name long, doc long, tag long, start int, bytes binary"))
     if one_text:
         rows = rows.withColumn("tag", F.lit(0).cast("long"))
+    # Both joins below read this shuffle; without nulls neither has a filter of its own to push below it. Its partitions hold
+    # whole names whatever becomes of the joins, as adaptive execution only merges what a program has dealt out.
+    rows = rows.withColumn("name", F.coalesce("name", F.lit(0))).repartition("name")
 
-    cold = (rows.join(hot, "name", "left_anti").repartition("name").sortWithinPartitions("name")
+    cold = (rows.join(hot, "name", "left_anti").sortWithinPartitions("name")
             .mapInArrow(_ranked(length), "doc long, tag long, lo int, hi int"))
     strings = (rows.join(hot, "name", "left_semi")
                .select("doc", "tag", "start", "bytes", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - length)).alias("i"))
