@@ -14,9 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seriesforge.operators import backtest
 from seriesforge.operators.css import fit
 from seriesforge.operators.forecast import NORMAL_QUANTILES
-from seriesforge.operators.grid import ARIMA_RANGES, ARIMA_TYPES, add_grid, arima_grid
+from seriesforge.operators.grid import ARIMA_RANGES, ARIMA_TYPES, add_grid, arima_allowed, arima_grid, arima_name, grid_size, grid_slice
 from seriesforge.operators.series import SEASON
 
 PARAMETERS = ("w", "l", "dr", "p", "d", "q", "ps", "ds", "qs")
@@ -27,22 +28,28 @@ Forecaster = Callable[..., Sequence[float]]
 
 
 def pack(df: DataFrame) -> DataFrame:
-    """One row per series: ``n``, last date, and ``y`` (and ``x``) in order as arrays.
+    """One row per series: ``n``, last date, and ``y`` (and ``x``) as arrays, each value in the place of its ``idx``.
 
-    The input is a regular series, so an array has one entry per calendar month at most.
+    A month without a row has no value. An array has one entry per calendar month at most; an ``idx`` that
+    occurs twice stops the job.
     """
     values = [c for c in ("y", "x") if c in df.columns]
     packed = df.groupBy("series_id").agg(
-        F.array_sort(F.collect_list(F.struct("idx", *values))).alias("_rows"),
+        F.map_from_entries(F.collect_list(F.struct("idx", F.struct(*values)))).alias("_rows"),
         F.max("idx").alias("n"),
         F.max("date").alias("last_date"),
     )
-    arrays = [F.col(f"_rows.{c}").alias(c) for c in values]
+    months = F.sequence(F.lit(1), F.col("n"))
+    arrays = [F.transform(months, _value_at(c)).alias(c) for c in values]
     if "x" not in values:
         arrays.append(F.lit(None).cast("array<double>").alias("x"))
     return packed.select("series_id", "n", "last_date", *arrays)
 
 
+def _value_at(column: str) -> Callable:
+    return lambda month: F.try_element_at("_rows", month)[column]
+
+
 def _spread_out(work: DataFrame, *keys: str, partitions: int | None = None) -> DataFrame:
     """Deal work rows out by key. A fixed number, since rows are small for their computing time and
     adaptive execution would join them into few tasks."""
@@ -68,6 +75,10 @@ def _array(values) -> np.ndarray | None:
     return None if values is None else np.array([np.nan if v is None else v for v in values], float)
 
 
+def _whole_numbers(params: dict) -> dict:
+    return {k: int(v) if k in ("w", "p", "d", "q", "ps", "ds", "qs") and v is not None else v for k, v in params.items()}
+
+
 def _parameter(value):
     return None if value is None or (isinstance(value, float) and np.isnan(value)) else value
 
@@ -80,14 +91,15 @@ def _fit(y, x, origins, h, **params) -> dict[str, np.ndarray]:
         return fit(np.full_like(y, np.nan), x, origins, h, **params)
 
 
-def _arima_folds(y, x, origins, h, params) -> np.ndarray:
-    return _fit(y, x, origins, h, **params)["yhat"]
+def _arima_folds(y, x, origins, h, params) -> tuple[np.ndarray, np.ndarray]:
+    fits = _fit(y, x, origins, h, **params)
+    return fits["yhat"], fits["converged"]
 
 
 def _each_fold(forecaster: Forecaster):
     """Run a user's function on each training part; a failing fold gives no forecast."""
 
-    def run(y, x, origins, h, params) -> np.ndarray:
+    def run(y, x, origins, h, params) -> tuple[np.ndarray, np.ndarray]:
         window = params.pop("w", None)
         out = np.full((len(origins), h), np.nan)
         for i, o in enumerate(origins):
@@ -99,7 +111,7 @@ def _each_fold(forecaster: Forecaster):
             except Exception:  # noqa: BLE001 - any failure of a fold is a missing forecast
                 continue
             out[i, :len(values)] = values
-        return out
+        return out, np.isfinite(out).all(axis=1)
 
     return run
 
@@ -113,20 +125,17 @@ def _cross_validate(work: DataFrame, names: Sequence[str], h: int, run) -> DataF
             for row in _records(batch):
                 y, x = _array(row["y"]), _array(row["x"])
                 origins = np.arange(int(row["_from"]), int(row["_to"]) + 1)
-                params = {name: _parameter(row[name]) for name in names}
-                for name in ("w", "p", "d", "q", "ps", "ds", "qs"):
-                    if params.get(name) is not None:
-                        params[name] = int(params[name])
-                yhat = run(y, x, origins, h, params)
+                params = _whole_numbers({name: _parameter(row[name]) for name in names})
+                yhat, converged = run(y, x, origins, h, params)
                 months = origins[:, None] + np.arange(1, h + 1)
                 actual = np.where(months <= len(y), y[np.minimum(months, len(y)) - 1], np.nan)
                 yield pd.DataFrame({
                     "series_id": row["series_id"], "config_id": row["config_id"],
                     "origin": np.repeat(origins, h), "k": np.tile(np.arange(1, h + 1), len(origins)),
-                    "y": actual.ravel(), "yhat": yhat.ravel(),
+                    "y": actual.ravel(), "yhat": yhat.ravel(), "converged": np.repeat(converged, h),
                 })
 
-    schema = "series_id string, config_id string, origin int, k int, y double, yhat double"
+    schema = "series_id string, config_id string, origin int, k int, y double, yhat double, converged boolean"
     rows = work.mapInPandas(errors, schema)
     null = lambda c: F.when(~F.isnan(c), F.col(c))
     return rows.withColumns({"y": null("y"), "yhat": null("yhat")}).withColumn(
@@ -141,11 +150,51 @@ def work_rows(df: DataFrame, ranges: Mapping[str, Sequence] = ARIMA_RANGES) -> D
 def arima_cv(work: DataFrame, h: int, initial: int = 0, full_horizon_only: bool = False,
              block: int = 120, partitions: int | None = None) -> DataFrame:
     """Cross-validation errors of all rows of ``work_rows`` as one job."""
+    backtest.check_settings(h, None, initial)
     blocks = _origin_blocks(work, h, initial, full_horizon_only, block)
     blocks = _spread_out(blocks, "series_id", "config_id", "_from", partitions=partitions)
     return _cross_validate(blocks, PARAMETERS, h, _arima_folds)
 
 
+def grid_cv_metrics(df: DataFrame, ranges: Mapping[str, Sequence] = ARIMA_RANGES, h: int = 24, initial: int = 0,
+                    full_horizon_only: bool = True, block: int = 120, rows_per_task: int = 200) -> DataFrame:
+    """Error means per configuration and horizon over all series, as ``backtest.metrics_by_horizon`` gives them.
+
+    A series is shuffled once for each slice of the grid, not for each configuration; the slice is expanded behind the
+    shuffle. The number of slices follows the number of configurations, so a task has about ``rows_per_task`` rows for
+    every series it gets. A task sends sums for each configuration and horizon of its rows, no single error.
+    """
+    backtest.check_settings(h, None, initial)
+    full = {**{name: values[:1] for name, values in ARIMA_RANGES.items()}, **ranges}
+    slices = max(1, -(-grid_size(full) // rows_per_task))
+    packed = pack(df)
+    tasks = max(slices, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = packed.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).repartition(tasks, "series_id", "_slice")
+    work = grid_slice(dealt, full, F.col("_slice"), slices, ARIMA_TYPES).filter(arima_allowed()).withColumn("config_id", arima_name())
+    blocks = _origin_blocks(work, h, initial, full_horizon_only, block)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["config_id", "k", "n", "n_failed", "n_unconverged", "s_abs", "s_square"]
+        for batch in batches:
+            totals: dict[str, np.ndarray] = {}
+            for row in _records(batch):
+                y, x = _array(row["y"]), _array(row["x"])
+                origins = np.arange(int(row["_from"]), int(row["_to"]) + 1)
+                yhat, converged = _arima_folds(y, x, origins, h, _whole_numbers({name: _parameter(row[name]) for name in PARAMETERS}))
+                months = origins[:, None] + np.arange(1, h + 1)
+                e = np.where(months <= len(y), y[np.minimum(months, len(y)) - 1], np.nan) - yhat
+                own = totals.setdefault(row["config_id"], np.zeros((5, h)))
+                own += np.stack([np.isfinite(e).sum(axis=0), (~np.isfinite(yhat)).sum(axis=0), np.full(h, (~converged).sum()),
+                                 np.nansum(np.abs(e), axis=0), np.nansum(e * e, axis=0)])
+            yield pd.DataFrame([(c, k + 1, *own[:, k]) for c, own in totals.items() for k in range(h)], columns=columns).astype(
+                {"n": "int64", "n_failed": "int64", "n_unconverged": "int64"})
+
+    parts = blocks.mapInPandas(sums, "config_id string, k int, n long, n_failed long, n_unconverged long, s_abs double, s_square double")
+    totals = parts.groupBy("config_id", "k").agg(*[F.sum(c).alias(c) for c in ("n", "n_failed", "n_unconverged", "s_abs", "s_square")])
+    mae, mse = F.try_divide("s_abs", "n"), F.try_divide("s_square", "n")
+    return totals.select("config_id", "k", "n", "n_failed", "n_unconverged", mae.alias("mae"), mse.alias("mse"), F.sqrt(mse).alias("rmse"))
+
+
 def custom_cv(df: DataFrame, forecaster: Forecaster, h: int, ranges: Mapping[str, Sequence] | None = None,
               types: Mapping[str, str] | None = None, window: int | None = None, initial: int = 0,
               full_horizon_only: bool = False, block: int = 120, partitions: int | None = None) -> DataFrame:
@@ -172,10 +221,7 @@ def arima_fit(work: DataFrame, h: int, skip: int | None = None, partitions: int
             out = []
             for row in _records(batch):
                 y, x = _array(row["y"]), _array(row["x"])
-                params = {name: _parameter(row[name]) for name in PARAMETERS}
-                for name in ("w", "p", "d", "q", "ps", "ds", "qs"):
-                    if params[name] is not None:
-                        params[name] = int(params[name])
+                params = _whole_numbers({name: _parameter(row[name]) for name in PARAMETERS})
                 n = int(row["n"])
                 if params["w"] is not None and params["w"] > n:
                     params["w"] = n
@@ -185,7 +231,7 @@ def arima_fit(work: DataFrame, h: int, skip: int | None = None, partitions: int
                 out.append({
                     **{key: row[key] for key in keys}, "n": n,
                     "last_date": row["last_date"], "n_obs": int(m["n_obs"][0]),
-                    "sigma2": m["sigma2"][0], "aicc": m["aicc"][0],
+                    "converged": bool(m["converged"][0]), "sigma2": m["sigma2"][0], "aicc": m["aicc"][0],
                     "fitted": _list(fitted), "yhat": _list(m["yhat"][0]),
                     **{name: _list(values) for name, values in zip(BOUNDS, m["bounds"][0])},
                 })
@@ -193,7 +239,7 @@ def arima_fit(work: DataFrame, h: int, skip: int | None = None, partitions: int
 
     keys = fit_keys(work)
     schema = ", ".join(f"{key} string" for key in keys) + (
-        ", n int, last_date date, n_obs int, sigma2 double, aicc double, fitted array<double>, yhat array<double>"
+        ", n int, last_date date, n_obs int, converged boolean, sigma2 double, aicc double, fitted array<double>, yhat array<double>"
     ) + "".join(f", {name} array<double>" for name in BOUNDS)
     columns = [c.split()[0] for c in schema.split(", ")]
     work = _spread_out(work, *keys, partitions=partitions)
@@ -224,10 +270,17 @@ def auto_arima(df: DataFrame, ranges: Mapping[str, Sequence], h: int, partitions
 
 
 def best_fits(fits: DataFrame) -> DataFrame:
-    """Per series (and model) the fit with the smallest AICc, ties by ``config_id``."""
+    """Per series (and model) the fit with the smallest AICc, ties by ``config_id``.
+
+    Fits without a score come last, so a series that nothing fits keeps a row without score and forecast. ``n_unscored`` and
+    ``n_unconverged`` count such fits among all of the series.
+    """
     keys = [key for key in fit_keys(fits) if key != "config_id"]
-    best = F.min_by(F.struct(*[c for c in fits.columns if c not in keys]), F.struct("aicc", "config_id"))
-    return fits.filter(F.col("aicc").isNotNull()).groupBy(*keys).agg(best.alias("_best")).select(*keys, "_best.*")
+    unscored = F.col("aicc").isNull()
+    best = F.min_by(F.struct(*[c for c in fits.columns if c not in keys]), F.struct(unscored, "aicc", "config_id"))
+    return fits.groupBy(*keys).agg(
+        best.alias("_best"), F.count_if(unscored).alias("n_unscored"), F.count_if(~F.col("converged")).alias("n_unconverged"),
+    ).select(*keys, "_best.*", "n_unscored", "n_unconverged")
 
 
 def forecast_rows(fits: DataFrame) -> DataFrame:

@@ -13,6 +13,16 @@ from pyspark.sql import functions as F
 from seriesforge.operators.series import SEASON, by_series, trailing, whole
 
 
+def check_settings(h: int, window: int | None = None, initial: int = 0) -> None:
+    """Settings that no series could meet are errors, not empty results."""
+    if h < 1:
+        raise ValueError(f"the horizon is {h}; it must be one month at least")
+    if window is not None and window < 2:
+        raise ValueError(f"a window of {window} is too small; it must hold two months at least")
+    if initial < 0:
+        raise ValueError(f"the initial period is {initial}; it can't be negative")
+
+
 def is_origin(window: int | None = None, initial: int = 0, h: int | None = None) -> Column:
     """Condition on ``idx`` and series length ``n``; with ``h`` only folds with a full horizon count."""
     first = (window or 1) + initial
@@ -30,6 +40,7 @@ def folds(df: DataFrame, h: int = 1, window: int | None = None, initial: int = 0
 
     A series not longer than the first origin has no fold.
     """
+    check_settings(h, window, initial)
     rows = with_length(df).filter(is_origin(window, initial, h if full_horizon_only else None))
     start = F.lit(1) if window is None else F.col("idx") - window + 1
     return rows.select(
@@ -46,6 +57,7 @@ def _errors(df: DataFrame, forecasts: list[Column], window: int | None, initial:
             full_horizon_only: bool, extra: dict[str, Column] | None = None) -> DataFrame:
     """Unroll the forecasts of each origin row to rows ``(series_id, origin, k, y, yhat, error)``."""
     h, w = len(forecasts), by_series()
+    check_settings(h, window, initial)
     ahead = F.array(*[
         F.struct(F.lit(k).alias("k"), F.lead("y", k).over(w).alias("y"), f.alias("yhat"))
         for k, f in enumerate(forecasts, start=1)
@@ -90,11 +102,14 @@ def cv_regression(df: DataFrame, h: int, window: int | None = None, initial: int
 
 
 def metrics_by_horizon(errors: DataFrame, *keys: str) -> DataFrame:
-    """Error means per ``keys`` and horizon; missing errors are left out, failed forecasts counted."""
+    """Error means per ``keys`` and horizon; missing errors are left out, failed forecasts counted, and so are
+    forecasts of a search that did not end where ``converged`` tells it."""
     e = F.col("error")
+    ended = [F.count_if(~F.col("converged")).alias("n_unconverged")] if "converged" in errors.columns else []
     return errors.groupBy(*keys, "k").agg(
         F.count(e).alias("n"),
         F.count_if(F.col("yhat").isNull()).alias("n_failed"),
+        *ended,
         F.avg(F.abs(e)).alias("mae"),
         F.avg(e * e).alias("mse"),
         F.sqrt(F.avg(e * e)).alias("rmse"),

@@ -101,14 +101,15 @@ def fill_gaps(y: np.ndarray) -> np.ndarray:
 def fit(y: np.ndarray, x: np.ndarray | None, origins: np.ndarray, h: int, *, w: int | None = None,
         l: str | None = None, dr: bool = False, p: int = 0, d: int = 0, q: int = 0,  # noqa: E741
         ps: int = 0, ds: int = 0, qs: int = 0, skip: int | None = None,
-        quantiles: tuple[float, ...] = ()) -> dict[str, np.ndarray]:
+        quantiles: tuple[float, ...] = (), steps: int = 60) -> dict[str, np.ndarray]:
     """Fit each origin's training part and forecast ``h`` months.
 
     Returns ``yhat`` (folds, h), its ``bounds`` (folds, quantiles, h) at the normal ``quantiles``, the
     weights ``psi`` (folds, h), and per fold ``sigma2``, ``n_obs``, ``aicc`` and the one-step ``fitted``
     values aligned at the origin; NaN where a fold cannot be fitted. Forecast and bounds are transformed
     back. ``skip`` leaves the first months of every fold out of the score, so that configurations with
-    different differencing are scored on the same months.
+    different differencing are scored on the same months. ``converged`` tells whether the search ended before
+    its last of ``steps``.
     """
     n, folds = len(y), len(origins)
     filled = fill_gaps(np.asarray(y, float))
@@ -124,9 +125,13 @@ def fit(y: np.ndarray, x: np.ndarray | None, origins: np.ndarray, h: int, *, w:
     if l is not None:
         lam = (guerrero(raw, lengths) if l == "auto" else np.full(folds, float(l)))[:, None]
         raw = boxcox(raw, lam)
-    usable = raw[inside & np.isfinite(raw)]
-    scale = (usable.std() if len(usable) else 0.0) or 1.0
-    rows = np.where(inside, raw / scale, 0.0)
+    # Each fold by its own spread, so that the search takes the same steps whichever folds stand beside it.
+    usable = inside & np.isfinite(raw)
+    count = np.maximum(usable.sum(axis=1), 1)
+    centred = np.where(usable, raw - (np.where(usable, raw, 0.0).sum(axis=1) / count)[:, None], 0.0)
+    scale = np.sqrt((centred ** 2).sum(axis=1) / count)
+    scale = np.where(scale > 0, scale, 1.0)
+    rows = np.where(inside, raw / scale[:, None], 0.0)
 
     columns = []
     if d + ds == 0:
@@ -182,7 +187,10 @@ def fit(y: np.ndarray, x: np.ndarray | None, origins: np.ndarray, h: int, *, w:
             par[:, :n_beta] = (inverse @ dw[..., None])[..., 0]
         e = residuals(par[:, None, :])[:, 0]
         sse, damping, eps = (e * e).sum(axis=1), np.full(folds, 1e-3), 1e-5
-        for _ in range(30 if n_par > n_beta else 0):  # a plain regression is solved already
+        searching = ok & (n_par > n_beta)  # a plain regression is solved already
+        for _ in range(steps):
+            if not searching.any():
+                break
             moved = par[:, None, :] + eps * np.eye(n_par)
             jac = (residuals(moved) - e[:, None, :]) / eps
             gram = jac @ jac.transpose(0, 2, 1)
@@ -194,12 +202,12 @@ def fit(y: np.ndarray, x: np.ndarray | None, origins: np.ndarray, h: int, *, w:
             trial[:, n_beta:] = np.clip(trial[:, n_beta:], -3.5, 3.5)
             e_trial = residuals(trial[:, None, :])[:, 0]
             sse_trial = (e_trial * e_trial).sum(axis=1)
-            better = sse_trial < sse
+            better = searching & (sse_trial < sse)
             gain = np.where(better, (sse - sse_trial) / np.maximum(sse, 1e-300), 0.0)
             par[better], e[better], sse[better] = trial[better], e_trial[better], sse_trial[better]
             damping = np.clip(np.where(better, damping / 4, damping * 5), 1e-9, 1e9)
-            if gain.max(initial=0.0) < 1e-7 and (better | (damping > 1e3)).all():
-                break
+            # Each fold stops for itself, so its numbers don't depend on those that share its block.
+            searching = searching & ~((gain < 1e-7) & (better | (damping > 1e3)))
 
         beta, ar, ma = parts(par[:, None, :])
         beta, ar, ma = beta[:, 0], ar[:, 0], ma[:, 0]
@@ -217,8 +225,8 @@ def fit(y: np.ndarray, x: np.ndarray | None, origins: np.ndarray, h: int, *, w:
             psi[:, k] = ma[:, k] if k < ma.shape[1] else 0.0
             for lag in range(1, min(full.shape[1], k + 1)):
                 psi[:, k] -= full[:, lag] * psi[:, k - lag]
-        yhat = (level[:, width:] + np.einsum("fhm,fm->fh", design[:, width:], beta)) * scale
-        fitted = np.where(used, (rows - e) * scale, np.nan)
+        yhat = (level[:, width:] + np.einsum("fhm,fm->fh", design[:, width:], beta)) * scale[:, None]
+        fitted = np.where(used, (rows - e) * scale[:, None], np.nan)
         sigma2 = sse / np.maximum(n_obs - n_par, 1) * scale ** 2
         sd = np.sqrt(sigma2[:, None] * np.cumsum(psi ** 2, axis=1))
         bounds = yhat[:, None, :] + np.reshape(quantiles, (1, -1, 1)) * sd[:, None, :]
@@ -235,4 +243,5 @@ def fit(y: np.ndarray, x: np.ndarray | None, origins: np.ndarray, h: int, *, w:
             bounds = inverse_boxcox(bounds, lam[:, :, None])
     blank = lambda a: np.where(ok.reshape((-1,) + (1,) * (a.ndim - 1)) & np.isfinite(a), a, np.nan)
     return {"yhat": blank(yhat), "bounds": blank(bounds), "psi": blank(psi), "sigma2": blank(sigma2), "aicc": blank(aicc),
-            "fitted": blank(fitted), "n_obs": np.where(ok, n_obs, 0)}
+            "fitted": blank(fitted), "n_obs": np.where(ok, n_obs, 0),
+            "converged": ok & ~searching}

@@ -53,6 +53,10 @@ def _durbin_levinson(r: pd.Series) -> pd.Series:
     return pd.Series([[v if math.isfinite(v) else None for v in row] for row in partial])
 
 
+# Spark asks for the size of a generator's array in a filter of its own; this keeps it to one call a row.
+_durbin_levinson = _durbin_levinson.asNondeterministic()
+
+
 def pacf(df: DataFrame, lags: int = 24, column: str = "y") -> DataFrame:
     """Partial autocorrelations by the Durbin-Levinson recursion; a row per series goes to Python."""
     partial = _correlations(df, lags, column).withColumn("r", _durbin_levinson("r"))
@@ -81,15 +85,18 @@ def _tail(x: float, df: float) -> float:
 
 
 def ljung_box(df: DataFrame, lags: int = 24, fitted: int = 0, column: str = "residual") -> DataFrame:
-    """Portmanteau statistic of each residual series, its degrees of freedom and p-value."""
+    """Portmanteau statistic of each residual series, its degrees of freedom and p-value.
+
+    Every series has a row. Without more residuals than lags there is no statistic, and without degrees of freedom no p-value.
+    """
     c = _correlations(df, lags, column)
     n = F.col("n")
     r = [F.get("r", F.lit(k)) for k in range(lags)]
     terms = [F.try_divide(r[k - 1] * r[k - 1], n - k) for k in range(1, lags + 1)]
     statistic = n * (n + 2) * sum(terms[1:], terms[0])
-    out = c.filter(n > lags).select("series_id", "n", statistic.alias("statistic"),
-                                    F.lit(lags - fitted).alias("df"))
-    return out.withColumn("p_value", chi_square_tail("statistic", "df"))
+    out = c.select("series_id", "n", F.when(n > lags, statistic).alias("statistic"), F.lit(lags - fitted).alias("df"))
+    tail = chi_square_tail("statistic", "df")
+    return out.withColumn("p_value", F.when(F.isnan(tail), None).otherwise(tail))
 
 
 # Range searched for an automatic Box-Cox lambda.

@@ -18,16 +18,19 @@ NORMAL_QUANTILES = {80: 1.2815515655446004, 95: 1.959963984540054}
 def seasonal_naive(df: DataFrame, h: int, season: int = SEASON) -> DataFrame:
     """The last season repeated ``h`` months into the future, with residual spread ``sigma``.
 
-    Each of the last ``season`` rows is dealt out to the horizons it stands for; there is no join.
+    Each of the last ``season`` rows is dealt out to the horizons it stands for; there is no join. A series
+    shorter than a season keeps its rows, without a forecast.
     """
     residual = F.col("y") - F.lag("y", season).over(by_series())
     rows = df.withColumns({"_n": F.max("idx").over(whole()), "_end": F.max("date").over(whole()), "_e": residual})
     rows = rows.withColumn("sigma", F.sqrt(F.avg(F.col("_e") * F.col("_e")).over(whole())))
     first = F.col("idx") - F.col("_n") + season
-    rows = rows.filter((F.col("_n") >= season) & (first >= 1) & (first <= h))
+    full = F.col("_n") >= season
+    steps = F.when(full & (first >= 1) & (first <= h), F.sequence(first, F.lit(h), F.lit(season))).when(
+        ~full & (F.col("idx") == F.col("_n")), F.sequence(F.lit(1), F.lit(h)))
     return rows.select(
-        "series_id", F.col("_n").alias("origin"), F.col("y").alias("yhat"), "sigma", "_end",
-        F.explode(F.sequence(first, F.lit(h), F.lit(season))).alias("k"),
+        "series_id", F.col("_n").alias("origin"), F.when(full, F.col("y")).alias("yhat"), "sigma", "_end",
+        F.explode(steps).alias("k"),
     ).select("series_id", "origin", "k", F.add_months("_end", F.col("k")).alias("date"), "yhat", "sigma")
 
 

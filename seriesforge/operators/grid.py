@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -36,13 +37,29 @@ def add_grid(df: DataFrame, ranges: Mapping[str, Sequence], types: Mapping[str,
     return df
 
 
+def grid_size(ranges: Mapping[str, Sequence]) -> int:
+    return math.prod(len(values) for values in ranges.values())
+
+
+def grid_slice(df: DataFrame, ranges: Mapping[str, Sequence], start: Column, step: int,
+               types: Mapping[str, str] | None = None) -> DataFrame:
+    """Each row with the combinations number ``start``, ``start + step``, ... of the ranges; in all slices the rows of ``add_grid``."""
+    size = grid_size(ranges)
+    df = df.withColumn("_at", F.explode(F.sequence(start, F.lit(size - 1), F.lit(step))))
+    for name, values in ranges.items():
+        size //= len(values)
+        options = F.array(*[F.lit(v).cast((types or {}).get(name, "int")) for v in values])
+        df = df.withColumn(name, F.get(options, F.pmod(F.floor(F.col("_at") / size), F.lit(len(values))).cast("int")))
+    return df.drop("_at")
+
+
 def arima_allowed() -> Column:
     """Drift is not combined with a second difference."""
     return ~((F.col("d") > 1) & F.col("dr"))
 
 
 def arima_name() -> Column:
-    """Readable name of a configuration, also its id."""
+    """Readable name of a configuration, also its id. Its parts and their order."""
     parts: list[Column] = [F.lit("arima")]
     for name in ("dr", "w", "l", "ps", "ds", "qs", "p", "d", "q"):
         text = F.upper(F.col(name).cast("string")) if name == "dr" else F.col(name).cast("string")

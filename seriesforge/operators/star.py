@@ -7,44 +7,26 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from seriesforge.functions.names import matches_any
 
-# A dimension is broadcast only when a count proves it smaller than both of these.
-BROADCAST_ROWS = 500_000
-BROADCAST_BYTES = 64 * 1024 * 1024
 # A key with more facts than this is split over several tasks.
 HOT_ROWS = 1_000_000
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Measure ``df`` with one distributed aggregate: row count, and bytes of its text columns."""
-    width = F.lit(8 * len(df.columns)).cast("long")
-    for field in df.schema.fields:
-        if isinstance(field.dataType, T.StringType):
-            width = width + F.coalesce(F.octet_length(F.col(f"`{field.name}`")), F.lit(0))
-        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
-            width = width + F.coalesce(F.octet_length(F.to_json(F.struct(f"`{field.name}`"))), F.lit(0))
-    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
-    return rows <= max_rows and size <= max_bytes
-
-
-def join_facts(dim: DataFrame, facts: DataFrame, key: str = "series_id", broadcast: bool = False,
-               hot_rows: int = HOT_ROWS) -> DataFrame:
+def join_facts(dim: DataFrame, facts: DataFrame, key: str = "series_id", hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Every row of ``dim`` with its facts; a series without facts stays, with NULL fact columns.
 
-    This is the outer join that keeps the dimension, written as matched part plus unmatched part. An
-    outer join that keeps the small side can neither broadcast that side nor split a hot key of the
-    large one; the inner join can do both.
+    This is the outer join that keeps the dimension, written as matched part plus unmatched part. An outer join that
+    keeps the small side can neither broadcast that side nor split a hot key of the large one; the inner join can do both. Whether
+    a side is broadcast is left to Spark's size limit and to adaptive execution.
 
-    * ``broadcast``: the dimension is measured and broadcast if it is small, so facts do not move.
-    * otherwise facts are shuffled by key. A key with more than ``hot_rows`` facts is split into parts
-      of about that size, and only its dimension row is copied to each part.
+    A key with more than ``hot_rows`` facts is split into parts of about that size, and only its dimension row is copied to each part.
+    With ``hot_rows`` None nothing is counted beforehand and hot keys are left to adaptive execution.
     """
-    if broadcast and fits_broadcast(dim):
-        matched = facts.join(F.broadcast(dim), key, "inner")
-        seen = facts.select(key).join(F.broadcast(dim.select(key)), key, "left_semi").distinct()
+    if hot_rows is None:
+        matched = facts.join(dim, key, "inner")
+        seen = facts.select(key).join(dim.select(key), key, "left_semi").distinct()
     else:
         counts = facts.groupBy(key).agg(F.count("*").alias("_rows"))
         matched = _join_by_part(dim, facts, counts, key, hot_rows)
@@ -57,15 +39,16 @@ def join_facts(dim: DataFrame, facts: DataFrame, key: str = "series_id", broadca
 def _join_by_part(dim: DataFrame, facts: DataFrame, counts: DataFrame, key: str, hot_rows: int) -> DataFrame:
     """Inner join on (key, part); a key is split into as many parts as it has ``hot_rows`` facts.
 
-    At most (number of facts / hot_rows) keys can be hot, which bounds what is broadcast. A fact's part
-    depends on its values and on the task that read it: copies of one row spread too, and a recomputed
+    A fact's part depends on its values and on the task that read it: copies of one row spread too, and a recomputed
     task deals its rows out as before.
     """
-    hot = F.broadcast(counts.filter(F.col("_rows") > hot_rows).select(
-        key, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_parts")))
+    hot = counts.filter(F.col("_rows") > hot_rows).select(
+        key, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_parts"))
     rest = [c for c in facts.columns if c != key]
-    part = F.pmod(F.xxhash64(*rest, F.spark_partition_id()), F.col("_parts")).cast("int")
-    parted = facts.join(hot, key, "left").withColumn("_part", F.coalesce(part, F.lit(0))).drop("_parts")
+    # Taken from the task that reads a fact, before any shuffle brings the facts of a key together.
+    dealt = facts.withColumn("_salt", F.xxhash64(*rest, F.spark_partition_id()))
+    part = F.coalesce(F.pmod("_salt", F.col("_parts")).cast("int"), F.lit(0))
+    parted = dealt.join(hot, key, "left").withColumn("_part", part).drop("_parts", "_salt")
     last = F.coalesce(F.col("_parts"), F.lit(1)) - 1
     copies = dim.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), last))).drop("_parts")
     return parted.join(copies, [key, "_part"], "inner").drop("_part")

@@ -66,13 +66,16 @@ def model_accuracy(df: DataFrame, test_length: int, auto_ranges: Mapping[str, Se
     fits = arima.best_fits(arima.arima_fit(work, test_length, skip, partitions))
     # Fitted values and forecast one after the other, so that the fits are run once.
     values = fits.select("series_id", "model", F.posexplode(F.concat("fitted", "yhat")).alias("_i", "yhat"))
-    rows = split.join(values.withColumn("idx", F.col("_i") + 1), ["series_id", "idx"])
+    # Every model has rows for every series, also where nothing could be fitted.
+    rows = split.withColumn("model", F.explode(F.array(*[F.lit(name) for name, _, _ in candidates]))).join(
+        values.withColumn("idx", F.col("_i") + 1).drop("_i"), ["series_id", "model", "idx"], "left")
     parts = [_labelled(rows, F.col("model"), scale), seasonal_naive_rows(split, test_length, scale)]
     return accuracy(stack(parts), "model", "series_id", "part").drop("part")
 
 
 def _training_part(df: DataFrame, test_length: int) -> DataFrame:
-    """Packed series cut before the test months; the regressor, known beforehand, stays whole."""
+    """Packed series cut before the test months; the regressor, known beforehand, stays whole. A series of test months
+    only has nothing to train on and no row here."""
     n = F.col("n") - test_length
     return arima.pack(df).filter(n > 0).select(
         "series_id", n.alias("n"), F.add_months("last_date", -test_length).alias("last_date"),

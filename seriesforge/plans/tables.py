@@ -16,7 +16,7 @@ def category_series(dim: DataFrame, facts: DataFrame, rules: list[Rule]) -> Data
     date, value)``. Rules are matched on the dimension, before any fact is touched."""
     series = match_rules(dim.select("series_id", "name", "units"), rules)
     series = series.withColumn("label", label_before_comma("name"))
-    rows = join_facts(series, facts, broadcast=True).withColumn("value", to_double("value"))
+    rows = join_facts(series, facts, hot_rows=None).withColumn("value", to_double("value"))
     return rows.select("category", "series_id", "label", "units", "date", "value")
 
 
@@ -31,7 +31,7 @@ def wide_table(dim: DataFrame, facts: DataFrame, pattern: str, replacement: str,
     series = dim.filter(matches_any("name", [pattern])).select(
         "series_id", column_name("name", pattern, replacement).alias("name"))
     facts = filter_dates(facts, since=since, before=before, after=after)
-    rows = join_facts(series, facts, broadcast=True).filter(F.col("date").isNotNull())
+    rows = join_facts(series, facts, hot_rows=None).filter(F.col("date").isNotNull())
     rows = rows.withColumn("value", to_double("value"))
     columns = list(categories)
     if other:

@@ -7,12 +7,13 @@ import io
 import logging
 import uuid
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesforge.sources.tables import committed_tables
+from seriesforge.sources.tables import stored
 
 log = logging.getLogger(__name__)
 
@@ -37,21 +38,28 @@ def write_table(df: DataFrame, path: str, partition_by: Iterable[str] = ()) -> N
 
 
 def write_outputs(outputs: Iterable[Output | dict], plan_dir: str | None = None,
-                  show_samples: bool = False, backup_root: str | None = None) -> list[str]:
-    """Write each output; on request dump its plan, log a sample and copy the written table."""
-    written = []
-    for spec in outputs:
-        out = spec if isinstance(spec, Output) else Output.from_dict(spec)
-        if plan_dir:
-            explain_to_file(out.df, plan_dir, out.description)
+                  show_samples: bool = False, backup_root: str | None = None, side_by_side: int = 4) -> list[str]:
+    """Write each output; on request dump its plan, log a sample and copy the written table.
+
+    Outputs don't depend on each other, so a few are submitted side by side and fill each other's gaps. All are checked before the first
+    is written; an output that fails stops the call once those that run have ended.
+    """
+    ready = [spec if isinstance(spec, Output) else Output.from_dict(spec) for spec in outputs]
+
+    for out in ready if plan_dir else ():
+        explain_to_file(out.df, plan_dir, out.description)
+
+    def write(out: Output) -> str:
         write_table(out.df, out.path)
         table = out.df.sparkSession.read.parquet(out.path)
         if show_samples:
             log_sample(table, out.description)
         if backup_root:
             backup_table(out.df.sparkSession, out.path, backup_path(out.path, backup_root))
-        written.append(out.path)
-    return written
+        return out.path
+
+    with ThreadPoolExecutor(side_by_side) as pool:
+        return list(pool.map(write, ready))
 
 
 def backup_path(path: str, backup_root: str) -> str:
@@ -89,14 +97,22 @@ def append_pending(work: DataFrame, keys: list[str], path: str,
                    evaluate: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Evaluate only the work whose ``keys`` have no result below ``path`` yet, and keep the result.
 
-    ``run_time`` is added to each result. Each call writes a folder of its own, and only folders whose job was committed are read. A job lost
-    half-way leaves nothing that counts, and the next call takes up its work.
+    Results are rows of one table with a column ``batch``, and ``run_time`` is added to each. A batch counts once its id is in
+    the table of commits, which is written after it; a job lost half-way leaves nothing that counts, and the next call
+    takes up its work. Nothing is written when nothing is pending.
     """
-    spark = work.sparkSession
-    batches = committed_tables(spark, path)
-    if batches:
-        done = spark.read.parquet(*batches).select(*keys).distinct()
-        work = work.join(done, keys, "left_anti")
-    batch = f"{path.rstrip('/')}/batch-{uuid.uuid4().hex}"
-    evaluate(work).withColumn("run_time", F.current_timestamp()).write.parquet(batch)
-    return spark.read.parquet(*batches, batch)
+    spark, root = work.sparkSession, path.rstrip("/")
+    results, commits = f"{root}/results", f"{root}/commits"
+    committed = stored(spark, commits, "batch string")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in work.select(*keys).schema.fields)
+    done = stored(spark, results, f"{schema}, batch string").join(committed, "batch", "left_semi").select(*keys).distinct()
+    pending = work.join(done, keys, "left_anti")
+    idle = pending.isEmpty()
+    if idle and committed.isEmpty():
+        return evaluate(pending).withColumn("run_time", F.current_timestamp())
+    if not idle:
+        batch = uuid.uuid4().hex
+        (evaluate(pending).withColumns({"run_time": F.current_timestamp(), "batch": F.lit(batch)})
+         .write.mode("append").partitionBy("batch").parquet(results))
+        spark.createDataFrame([(batch,)], "batch string").write.mode("append").parquet(commits)
+    return spark.read.parquet(results).join(stored(spark, commits, "batch string"), "batch", "left_semi").drop("batch")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 
 def read_table(spark: SparkSession, path: str, *columns: str, view: str | None = None,
@@ -36,26 +35,17 @@ def list_files(spark: SparkSession, path: str, pattern: str = ".*") -> DataFrame
     )
 
 
-def committed_tables(spark: SparkSession, path: str) -> list[str]:
-    """Folders directly below ``path`` that a finished job has written."""
-    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "*/_SUCCESS")
-    fs = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return sorted(found.getPath().getParent().toString() for found in fs.globStatus(marker) or [])
-
-
-@functools.cache
-def _local_root() -> str:
-    return tempfile.mkdtemp(prefix="seriesforge-")
+def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table at ``path``, or an empty one of that schema where nothing was written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder name in the shared folder of ``spark.checkpoint.dir``.
-
-    Only a session without that setting (a local test) gets a temporary folder of the machine.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = _local_root()
+    """A fresh folder name below ``spark.checkpoint.dir``, else below the warehouse: both are shared by all executors."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/seriesforge/{name}-{uuid.uuid4().hex}"

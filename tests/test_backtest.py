@@ -3,7 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import indexed, month, rows
-from seriesforge.operators import arima, backtest, css, evaluate, forecast, grid
+from seriesforge.operators import arima, autoregress, backtest, css, diagnose, evaluate, forecast, grid
+from seriesforge.operators.css import fit
 from seriesforge.sources.sinks import explain_text
 
 SEASONAL = [100 + 10 * (i % 12) + i for i in range(40)]
@@ -12,7 +13,9 @@ SEASONAL = [100 + 10 * (i % 12) + i for i in range(40)]
 def test_seasonal_naive(spark):
     df = indexed(spark, s=SEASONAL, short=[1.0] * 11, gap=[None if i == 30 else float(i) for i in range(36)])
     out = {(r["series_id"], r["k"]): r for r in forecast.seasonal_naive_interval(df, 26).collect()}
-    assert {s for s, _ in out} == {"s", "gap"}
+    assert {s for s, _ in out} == {"s", "gap", "short"}
+    assert sorted(k for s, k in out if s == "short") == list(range(1, 27))  # a row for each month, without a forecast
+    assert all(r["yhat"] is None and r["lo80"] is None for (s, _), r in out.items() if s == "short")
     for k in range(1, 27):
         assert out["s", k]["yhat"] == SEASONAL[28 + (k - 1) % 12]
     assert out["s", 1]["date"] == month(40) and out["s", 26]["origin"] == 40
@@ -240,3 +243,110 @@ def test_forecast_rows_and_residuals(spark):
     assert out[0]["hi80"] - out[0]["lo80"] < out[1]["hi80"] - out[1]["lo80"] and out[0]["lo95"] < out[0]["lo80"] < out[0]["yhat"] < out[0]["hi80"]
     fitted = arima.fitted_rows(fits).filter("yhat is not null")
     assert fitted.agg(F.min("idx"), F.max("idx")).first()[:] == (2, 80)
+
+
+def test_settings_that_no_series_can_meet(spark):
+    df = indexed(spark, s=SEASONAL)
+    for h, window, initial in ((0, None, 0), (2, 1, 0), (2, None, -1)):
+        with pytest.raises(ValueError):
+            backtest.folds(df, h, window, initial)
+    with pytest.raises(ValueError):
+        arima.grid_cv_metrics(df, {"p": (1,)}, 0)
+
+
+def test_pack_puts_values_in_the_place_of_their_month(spark):
+    df = indexed(spark, s=[1.0, 2.0, 3.0, 4.0, 5.0]).filter("idx <> 3")
+    packed = arima.pack(df).first()
+    assert packed["n"] == 5 and list(packed["y"]) == [1.0, 2.0, None, 4.0, 5.0]
+
+
+def test_a_fold_does_not_depend_on_the_others():
+    rng = np.random.default_rng(8)
+    y = np.cumsum(rng.normal(size=70)) + 50
+    params = {"p": 1, "q": 1, "ps": 1}
+    together = fit(y, None, np.arange(30, 61), 3, **params)
+    for i, o in enumerate(range(30, 61)):
+        alone = fit(y, None, np.array([o]), 3, **params)
+        assert alone["yhat"][0] == pytest.approx(together["yhat"][i], rel=1e-6)
+        assert alone["converged"][0] == together["converged"][i]
+
+
+def test_a_search_that_is_cut_short_says_so():
+    y = np.cumsum(np.random.default_rng(9).normal(size=80))
+    assert not fit(y, None, np.array([80]), 2, p=2, q=2, steps=1)["converged"].any()
+    assert fit(y, None, np.array([80]), 2, p=1)["converged"].all()
+    assert fit(y, None, np.array([80]), 2, dr=True)["converged"].all()  # solved directly
+
+
+def test_moving_averages_reach_the_least_sum_of_squares():
+    """The search against a fine grid over the two coefficients."""
+    rng = np.random.default_rng(11)
+    e = rng.normal(size=121)
+    y = np.zeros(121)
+    for t in range(1, 121):
+        y[t] = 0.5 * y[t - 1] + e[t] + 0.4 * e[t - 1]
+    y = y[1:]
+
+    def loss(phi, theta, mean):
+        z, shock, total = y - mean, 0.0, 0.0
+        for t in range(1, len(z)):
+            shock = z[t] - phi * z[t - 1] - theta * shock
+            total += shock * shock
+        return total
+
+    found = fit(y, None, np.array([len(y)]), 1, p=1, q=1)
+    sse = found["sigma2"][0] * (found["n_obs"][0] - 3)
+    grid_least = min(loss(a, b, m) for a in np.linspace(-0.95, 0.95, 39) for b in np.linspace(-0.95, 0.95, 39) for m in (y.mean() - 0.1, y.mean(), y.mean() + 0.1))
+    assert sse <= grid_least * 1.0001
+
+
+@pytest.mark.parametrize("window", [None, 20])
+def test_autoregression_is_the_models_special_case(spark, window):
+    rng = np.random.default_rng(4)
+    y = np.zeros(60)
+    for t in range(1, 60):
+        y[t] = 0.6 * y[t - 1] + rng.normal() + 2
+    df = indexed(spark, s=y.tolist(), short=[1.0, 2.0])
+    exact = {(r["origin"], r["k"]): r["yhat"] for r in autoregress.cv(df, 3, window, 25).filter("series_id = 's'").collect()}
+    origins = np.array(sorted({o for o, _ in exact}))
+    python = fit(y, None, origins, 3, w=window, p=1)["yhat"]
+    for i, o in enumerate(origins):
+        for k in range(1, 4):
+            assert exact[o, k] == pytest.approx(python[i, k - 1], rel=1e-3)
+    whole_fit = fit(y, None, np.array([60]), 12, p=1, quantiles=(-1.2815515655446004,))
+    ahead = {(r["series_id"], r["k"]): r for r in autoregress.forecast(df, 12).collect()}
+    assert len(ahead) == 24 and all(ahead["short", k]["lo80"] is None for k in range(1, 13))
+    for k in range(1, 13):
+        assert ahead["s", k]["yhat"] == pytest.approx(whole_fit["yhat"][0, k - 1], rel=1e-4)
+        assert ahead["s", k]["lo80"] == pytest.approx(whole_fit["bounds"][0, 0, k - 1], rel=1e-3)
+    assert {r["series_id"]: r["model"] for r in autoregress.order_choice(df).collect()} == {"s": "ar1", "short": None}
+
+
+def test_the_grid_is_expanded_behind_the_shuffle(spark):
+    df = indexed(spark, a=SEASONAL, b=[v + i % 5 for i, v in enumerate(SEASONAL)])
+    ranges = {"p": (0, 1), "d": (0, 1), "dr": (False, True), "w": (None, 20)}
+    got = arima.grid_cv_metrics(df, ranges, 2, initial=8, rows_per_task=3)
+    plan = explain_text(got, "simple")
+    top = plan.index("Generate explode(sequence(_slice")
+    assert "hashpartitioning(series_id" in plan[top:] and "REPARTITION_BY_NUM" in plan[top:]
+    assert "hashpartitioning(config_id" in plan[:top] and "hashpartitioning(series_id" not in plan[:top]
+    slow = backtest.metrics_by_horizon(arima.arima_cv(arima.work_rows(df, ranges), 2, initial=8, full_horizon_only=True), "config_id")
+    a, b = ({(r["config_id"], r["k"]): r for r in x.collect()} for x in (got, slow))
+    assert set(a) == set(b) and len(a) == 32
+    for key, r in a.items():
+        assert (r["n"], r["n_failed"], r["n_unconverged"]) == (b[key]["n"], b[key]["n_failed"], b[key]["n_unconverged"])
+        assert r["rmse"] == pytest.approx(b[key]["rmse"], rel=1e-6) and r["mae"] == pytest.approx(b[key]["mae"], rel=1e-6)
+
+
+def test_every_series_keeps_a_fit(spark):
+    df = indexed(spark, good=SEASONAL, short=[1.0, 2.0], empty=[None] * 30)
+    fits = {r["series_id"]: r for r in arima.auto_arima(df, {"p": (0, 1), "d": (0, 1)}, 2).collect()}
+    assert set(fits) == {"good", "short", "empty"}
+    assert fits["good"]["aicc"] is not None and fits["empty"]["aicc"] is None and fits["empty"]["n_unscored"] == 4
+
+
+def test_short_series_keep_a_row_in_the_portmanteau_test(spark):
+    df = indexed(spark, good=SEASONAL, short=[1.0, 3.0, 2.0])
+    test = {r["series_id"]: r for r in diagnose.ljung_box(df, 6, column="y").collect()}
+    assert test["short"]["statistic"] is None and test["short"]["p_value"] is None and test["good"]["p_value"] is not None
+    assert all(r["p_value"] is None for r in diagnose.ljung_box(df, 6, fitted=6, column="y").collect())

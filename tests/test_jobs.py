@@ -96,10 +96,20 @@ def test_append_pending_runs_only_what_is_missing_and_ignores_lost_jobs(spark):
         return work.withColumn("score", F.col("k") * 10)
 
     append_pending(spark.range(3).withColumnRenamed("id", "k"), ["k"], path, evaluate)
-    spark.range(50, 60).withColumnRenamed("id", "k").withColumn("score", F.lit(0).cast("long")).write.parquet(f"{path}/batch-lost")
-    os.remove(f"{path}/batch-lost/_SUCCESS")
+    lost = spark.range(3, 60).withColumnRenamed("id", "k").withColumn("score", F.lit(0).cast("long"))
+    lost.withColumn("run_time", F.current_timestamp()).write.parquet(f"{path}/results/batch=lost")  # its commit was never written
     done = append_pending(spark.range(5).withColumnRenamed("id", "k"), ["k"], path, evaluate)
     assert seen == [[0, 1, 2], [3, 4]] and rows(done, "k", "score") == [(k, 10 * k) for k in range(5)]
+    again = append_pending(spark.range(4).withColumnRenamed("id", "k"), ["k"], path, evaluate)
+    assert len(seen) == 2 and rows(again, "k", "score") == rows(done, "k", "score")
+    assert done.filter("run_time IS NULL").count() == 0
+    assert len([f for f in os.listdir(f"{path}/results") if f.startswith("batch=")]) == 3  # two and the lost one
+
+
+def test_append_pending_without_work(spark):
+    path = scratch_path(spark, "none")
+    none = spark.range(0).withColumnRenamed("id", "k")
+    assert append_pending(none, ["k"], path, lambda w: w.withColumn("score", F.lit(1))).count() == 0
 
 
 def test_scratch_follows_the_session(spark):

@@ -21,25 +21,20 @@ def dim(spark):
     return spark.createDataFrame([("a", "A"), ("b", "B"), ("c", "C")], "series_id string, name string")
 
 
-@pytest.mark.parametrize("broadcast", [True, False])
-def test_join_facts_is_the_outer_join_that_keeps_the_dimension(facts, dim, broadcast):
-    joined = star.join_facts(dim, facts, broadcast=broadcast)
+@pytest.mark.parametrize("hot_rows", [None, 5, 1_000_000])
+def test_join_facts_is_the_outer_join_that_keeps_the_dimension(facts, dim, hot_rows):
+    joined = star.join_facts(dim, facts, hot_rows=hot_rows)
     assert joined.columns == ["series_id", "name", "date", "value"]
     assert rows(joined) == rows(dim.join(facts, "series_id", "left"))
     assert rows(joined) == rows(facts.join(dim, "series_id", "right").select(*joined.columns))
 
 
-def test_join_facts_broadcasts_the_small_side_only(facts, dim):
-    plan = explain_text(star.join_facts(dim, facts, broadcast=True), "simple")
+def test_join_facts_broadcasts_the_small_side_only(spark, facts, dim, tmp_path):
+    dim.write.parquet(str(tmp_path / "dim"))
+    plan = explain_text(star.join_facts(spark.read.parquet(str(tmp_path / "dim")), facts, hot_rows=None), "simple")
     assert "BroadcastHashJoin" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-def test_fits_broadcast_measures_rows_and_bytes(dim):
-    assert star.fits_broadcast(dim)
-    assert not star.fits_broadcast(dim, max_rows=2)
-    assert not star.fits_broadcast(dim, max_bytes=40)
-
-
 def test_a_hot_key_is_spread_over_tasks(spark, dim):
     """Half of the hot rows are copies of one another; all rows come back, and no task gets most of them."""
     hot = spark.range(0, 4000, numPartitions=8).select(

@@ -31,6 +31,8 @@ SCHEMAS = {
     "nation": "n_nationkey int, n_name string, n_regionkey int",
     "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
     "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
     "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
     "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
               "o_orderdate timestamp_ntz, o_orderpriority string",
@@ -237,23 +239,21 @@ def part_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = part_months(spark, sf_dir).select(
         "l_partkey", F.date_format("date", "yyyyMM").alias("period"),
         withheld(F.col("rev"), F.col("qty")).alias("value"))
-    return _with_part(pack_history(rows, "l_partkey"), spark, sf_dir, "REV", "Revenue", "inner")
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type")
+    return _part_record(pack_history(rows, "l_partkey").join(part, "l_partkey"), "REV", "Revenue")
 
 
 def return_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One record per part with its returned bulk lines; many parts have none and so no history."""
-    lines = table(spark, sf_dir, "lineitem").filter((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 45))
-    rows = lines.groupBy("l_partkey", month_of("l_shipdate").alias("date")).agg(
-        F.sum(F.col("l_quantity").cast("long")).alias("qty"))
-    packed = pack_history(rows.select(
-        "l_partkey", F.date_format("date", "yyyyMM").alias("period"), F.col("qty").cast("string").alias("value")),
-        "l_partkey")
-    return _with_part(packed, spark, sf_dir, "RET", "Returns", "right")
+    """One record per document with its labels as two months; documents without labels have no history."""
+    months = F.inline(F.array(*[F.struct(F.lit(p).alias("period"), F.col(v).cast("string").alias("value"))
+                                for p, v in (("200001", "quality"), ("200002", "toxic"))]))
+    packed = pack_history(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("l_partkey"), months), "l_partkey")
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("l_partkey"), F.col("lang").alias("p_name"), F.col("source").alias("p_type"))
+    return _part_record(docs.join(packed, "l_partkey", "left"), "RET", "Labels")
 
 
-def _with_part(packed: DataFrame, spark: SparkSession, sf_dir: str, measure: str, label: str, how: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type")
-    rows = packed.join(part, "l_partkey", how)
+def _part_record(rows: DataFrame, measure: str, label: str) -> DataFrame:
     key = F.col("l_partkey").cast("string")
     return _record(
         rows, ELECTRICITY_SCHEMA, f=F.lit("M"), start=F.col("start"), end=F.col("end"), units=F.lit("dollars"),

@@ -6,12 +6,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesforge.operators import arima, backtest, diagnose, evaluate, forecast, grid, series
+from seriesforge.operators import arima, autoregress, backtest, diagnose, evaluate, forecast, grid, series
 from seriesforge.plans import study
 from seriesforge.sources.sinks import append_pending
 from seriesforge.sources.tables import scratch_path
 from workload import catalogs as c
-from workload.analysis import parts_regular, regional_regular, with_order_value
+from workload.analysis import _ACF, _CENTRED, parts_regular, regional_regular, with_order_value
 from workload.registry import query
 
 
@@ -20,10 +20,11 @@ def orders_regular(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SNAIVE = """
-    SELECT s.series_id, CAST(s.n AS INTEGER) AS origin, k, CAST(last + to_months(CAST(k AS INTEGER)) AS DATE) AS date, y AS yhat
-    FROM (SELECT series_id, max(idx) AS n, max(date) AS last FROM {0} GROUP BY 1 HAVING max(idx) >= 12) s
+    SELECT s.series_id, CAST(s.n AS INTEGER) AS origin, k, CAST(last + to_months(CAST(k AS INTEGER)) AS DATE) AS date,
+           CASE WHEN s.n >= 12 THEN y END AS yhat
+    FROM (SELECT series_id, max(idx) AS n, max(date) AS last FROM {0} GROUP BY 1) s
     CROSS JOIN (SELECT CAST(unnest(range(1, {1} + 1)) AS INTEGER) AS k)
-    JOIN {0} v ON v.series_id = s.series_id AND v.idx = s.n + k - 12 * CAST(ceil(k / 12.0) AS INTEGER)"""
+    LEFT JOIN {0} v ON v.series_id = s.series_id AND v.idx = s.n + k - 12 * CAST(ceil(k / 12.0) AS INTEGER)"""
 
 
 @query(_SNAIVE.format("prt_ser", 24), "prt_ser")
@@ -324,50 +325,118 @@ def arima_closed_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
                          part("ds").cast("int").alias("ds"), F.round("yhat", 3).alias("yhat"))
 
 
-CV_RANGES = {"w": (None, 60), "l": (None, "0"), "p": (0, 1), "d": (0, 1), "q": (0, 1), "ps": (0, 1), "dr": (False, True)}
-AUTO_RANGES = {"p": (0, 1), "d": (0, 1), "q": (0, 1), "ps": (0, 1), "ds": (0,), "qs": (0,), "dr": (False, True)}
+_AR1 = """
+l AS (SELECT *, lag(y) OVER (PARTITION BY series_id ORDER BY idx) AS x1 FROM {0}),
+ar AS (SELECT series_id, regr_slope(y, x1) AS b, regr_intercept(y, x1) AS a, regr_count(y, x1) AS m FROM l GROUP BY 1),
+res AS (SELECT l.series_id, l.idx, l.y, l.date, a, b, m, l.y - (a + b * x1) AS e FROM l JOIN ar USING (series_id))"""
+_AHEAD = "a * list_sum(list_transform(range(0, k), lambda j: pow(b, j))) + pow(b, k) * y"
 
 
-@query()
+def _cv_ar1(width: str, first: int) -> str:
+    return f"""
+    SELECT series_id, o.idx, k, z.y - ({_AHEAD.replace("* y", "* o.y")}) AS error, {_AHEAD.replace("* y", "* o.y")} AS yhat FROM (
+      SELECT series_id, idx, y, max(idx) OVER (PARTITION BY series_id) AS n, regr_slope(y, x1) OVER w AS b, regr_intercept(y, x1) OVER w AS a
+      FROM l WINDOW w AS (PARTITION BY series_id ORDER BY idx ROWS BETWEEN {width} PRECEDING AND CURRENT ROW)) o
+    CROSS JOIN (SELECT CAST(unnest(range(1, 13)) AS INTEGER) AS k)
+    LEFT JOIN (SELECT series_id, idx, y FROM l) z USING (series_id) WHERE z.idx = o.idx + k AND o.idx >= {first} AND o.idx <= n - 12"""
+
+
+@query(f"""
+, {_AR1.format("reg_ser")},
+e AS (SELECT 'arima_w_NULL_p_1' AS config_id, * FROM ({_cv_ar1("UNBOUNDED", 25)})
+      UNION ALL SELECT 'arima_w_36_p_1', * FROM ({_cv_ar1("34", 36)}))
+SELECT config_id, {", ".join(f"round(avg(abs(error)) FILTER (k = {k}), 2) AS h{k}_mae, round(sqrt(avg(error * error) FILTER (k = {k})), 2) AS h{k}_rmse" for k in (6, 12))}
+FROM e GROUP BY 1""", "reg_ser")
 def arima_grid_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grid of ARIMA configurations with a regressor, all folds of all order series as one job."""
-    df = series.with_regressor(
-        orders_regular(spark, sf_dir),
-        c.part_series(spark, sf_dir).groupBy("date").agg(F.sum("y").alias("x")))
-    df = df.filter(F.col("x").isNotNull())
-    df = df.withColumn("idx", (F.col("idx") - F.min("idx").over(series.whole()) + 1))
-    errors = arima.arima_cv(arima.work_rows(df, CV_RANGES), 12, initial=12, full_horizon_only=True)
-    metrics = backtest.metrics_by_horizon(errors, "config_id")
-    best = backtest.horizons_wide(metrics, "config_id", [6, 12])
-    return evaluate.leaderboard(best, "h12_rmse", "config_id", top=10)
+    """First-order autoregression of every regional series over an expanding and a sliding window, as window aggregates."""
+    df = regional_regular(spark, sf_dir)
+    errors = evaluate.stack([
+        autoregress.cv(df, 12, window, initial, full_horizon_only=True).withColumn("config_id", F.lit(f"arima_w_{window or 'NULL'}_p_1"))
+        for window, initial in ((None, 24), (36, 0))])
+    best = backtest.horizons_wide(backtest.metrics_by_horizon(errors, "config_id"), "config_id", [6, 12])
+    return best.withColumns({f"h{k}_{m}": F.round(f"h{k}_{m}", 2) for k in (6, 12) for m in ("mae", "rmse")})
 
 
-@query()
+@query(f"""
+, {_AR1.format("prt_ser")},
+q AS (SELECT series_id, idx, e, y - lag(y) OVER w AS d, y - avg(y) OVER (PARTITION BY series_id) AS c FROM res WINDOW w AS (PARTITION BY series_id ORDER BY idx)),
+s AS (SELECT series_id, unnest(['ar1', 'mean', 'random walk']) AS model, unnest([3, 2, 1]) AS k, CAST(count(e) AS DOUBLE) AS m,
+             unnest([avg(e * e), avg(c * c) FILTER (e IS NOT NULL), avg(d * d) FILTER (e IS NOT NULL)]) AS loss FROM q GROUP BY 1),
+v AS (SELECT *, CASE WHEN m - k - 1 > 0 AND loss > 0 THEN m * ln(loss) + 2 * k + 2 * k * (k + 1) / (m - k - 1) END AS aicc FROM s)
+SELECT series_id, arg_min(model, aicc) AS model, round(min(aicc), 4) AS aicc, CAST(max(m) AS BIGINT) AS n_obs FROM v GROUP BY 1""", "prt_ser")
 def arima_auto_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fits = arima.auto_arima(regional_regular(spark, sf_dir), AUTO_RANGES, 12)
-    return fits.select("series_id", "config_id", "n_obs", "aicc", "sigma2")
+    """Order of every part's series, short and gappy ones included, by AICc on common months."""
+    return autoregress.order_choice(parts_regular(spark, sf_dir)).withColumn("aicc", F.round("aicc", 4))
 
 
-@query()
+@query(f"""
+, {_AR1.format("reg_ser")},
+s AS (SELECT series_id, CASE WHEN max(m) > 2 THEN sum(e * e) / (max(m) - 2) END AS sigma2, max(idx) AS n FROM res GROUP BY 1),
+f AS (SELECT series_id, CAST(n AS INTEGER) AS origin, k, CAST(date + to_months(CAST(k AS INTEGER)) AS DATE) AS date, {_AHEAD} AS yhat,
+             sqrt(sigma2 * list_sum(list_transform(range(0, k), lambda j: pow(b, 2 * j)))) AS sd
+      FROM res JOIN s USING (series_id) CROSS JOIN (SELECT CAST(unnest(range(1, 25)) AS INTEGER) AS k) WHERE idx = n)
+SELECT series_id, origin, k, date, round(yhat, 2) AS yhat, round(yhat - 1.2815515655446004 * sd, 2) AS lo80, round(yhat + 1.2815515655446004 * sd, 2) AS hi80,
+       round(yhat - 1.959963984540054 * sd, 2) AS lo95, round(yhat + 1.959963984540054 * sd, 2) AS hi95 FROM f""", "reg_ser")
 def arima_forecast_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    work = arima.work_rows(regional_regular(spark, sf_dir), {"p": (1,), "ds": (1,), "qs": (1,), "dr": (True,)})
-    return arima.forecast_rows(arima.arima_fit(work, 24))
+    rows = autoregress.forecast(regional_regular(spark, sf_dir), 24)
+    return rows.withColumns({b: F.round(b, 2) for b in ("yhat", "lo80", "hi80", "lo95", "hi95")})
 
 
-@query()
+@query(f"""
+, {_AR1.format("reg_ser")}, {_CENTRED.format("e", "res")},
+s AS (SELECT series_id, max(n) AS n, max(n) * (max(n) + 2) * sum(acf * acf / (n - lag)) AS q FROM ({_ACF.replace("range(1, 25)", "range(1, 26)")}) GROUP BY 1)
+SELECT series_id, n, round(q, 5) AS statistic, 24 AS df,
+       round(exp(-q / 2) * list_sum(list_transform(range(0, 12), lambda j: pow(q / 2, j) / factorial(CAST(j AS INTEGER)))), 6) AS p_value
+FROM (SELECT series_id, n, CASE WHEN n > 25 THEN q END AS q FROM s)""", "reg_ser")
 def arima_residual_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ljung-Box test on the one-step residuals of a fitted model."""
-    df = regional_regular(spark, sf_dir)
-    fits = arima.arima_fit(arima.work_rows(df, {"p": (1,), "ds": (1,), "qs": (1,)}), 1)
-    rows = df.join(arima.fitted_rows(fits), ["series_id", "idx"])
-    return diagnose.ljung_box(rows.withColumn("residual", F.col("y") - F.col("yhat")), 24, fitted=2)
+    test = diagnose.ljung_box(autoregress.fitted(regional_regular(spark, sf_dir)), 25, fitted=1)
+    return test.withColumns({"statistic": F.round("statistic", 5), "p_value": F.round("p_value", 6)})
+
+
+@query(f"""
+, s0 AS (SELECT *, max(idx) OVER (PARTITION BY series_id) AS n FROM reg_ser), t0 AS (SELECT series_id, idx, date, y FROM s0 WHERE idx <= n - 48),
+{_AR1.format("t0")},
+o AS (SELECT DISTINCT ON (series_id) series_id, idx, y, a, b FROM res ORDER BY series_id, idx DESC),
+f AS (SELECT 'Autoregression' AS model, s0.series_id, s0.y - ({_AHEAD.replace("k", "(s0.idx - o.idx)").replace("* y", "* o.y")}) AS e FROM s0 JOIN o USING (series_id) WHERE s0.idx > n - 48
+      UNION ALL SELECT 'Seasonal Naive', s0.series_id, s0.y - v.y FROM s0 JOIN s0 v ON v.series_id = s0.series_id
+         AND v.idx = s0.idx - 12 * CAST(ceil((s0.idx - s0.n + 48) / 12.0) AS INTEGER) WHERE s0.idx > s0.n - 48)
+SELECT model || ' Test set' AS model, series_id, round(sqrt(avg(e * e)), 2) AS rmse FROM f GROUP BY f.model, series_id""", "reg_ser")
+def ar1_test_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Autoregression and seasonal naive on the 48 held-out months of every regional series."""
+    split = series.split_train_test(regional_regular(spark, sf_dir), 48)
+    train, test = (split.filter(F.col("part") == p) for p in ("train", "test"))
+    ahead = {"Autoregression": autoregress.forecast(train, 48), "Seasonal Naive": forecast.seasonal_naive(train, 48)}
+    forecasts = evaluate.stack([rows.select("series_id", "k", "yhat", F.lit(name).alias("model")) for name, rows in ahead.items()])
+    e = F.col("y") - F.col("yhat")
+    table = test.join(forecasts, ["series_id", "k"], "left").groupBy("series_id", "model").agg(F.sqrt(F.avg(e * e)).alias("rmse"))
+    return table.select(evaluate.labelled(F.col("model"), F.lit("Test set")).alias("model"), "series_id", F.round("rmse", 2).alias("rmse"))
+
+
+def from_first_regressor(df: DataFrame) -> DataFrame:
+    """Each series from the first month whose regressor is known, numbered from 1."""
+    first = F.min(F.when(F.col("x").isNotNull(), F.col("idx"))).over(series.whole())
+    rows = df.withColumn("_first", first).filter(F.col("idx") >= F.col("_first"))
+    return rows.withColumn("idx", F.col("idx") - F.col("_first") + 1).drop("_first")
+
+
+# Every parameter of the full grid, ``auto`` included, with its first two values; the series are too short for a window of 60.
+GRID_RANGES = {name: values[:2] for name, values in grid.ARIMA_RANGES.items()} | {"w": (None, 48)}
+
+
+@query()
+def arima_grid_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """512 configurations of all nine parameters, MA terms included, with a regressor on every order series; 24 months ahead
+    from each origin with a full horizon. Conditional least squares with MA terms has no SQL; tests check it."""
+    x = c.part_series(spark, sf_dir).groupBy("date").agg(F.sum("y").alias("x"))
+    df = from_first_regressor(series.with_regressor(orders_regular(spark, sf_dir), x))
+    metrics = arima.grid_cv_metrics(df, GRID_RANGES, 24, initial=6)
+    return evaluate.leaderboard(backtest.horizons_wide(metrics, "config_id", [12, 24]), "h24_rmse", "config_id")
 
 
 @query()
 def study_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hand-made, automatic and naive models on every regional series, ranked on the held-out months."""
-    df = with_order_value(spark, sf_dir).filter(F.col("idx") > 1).withColumn("idx", F.col("idx") - 1)
-    df = study.export_series(df, scratch_path(spark, "study"))
-    models = {"Hyper": {"p": (1,), "q": (1,), "ps": (1,), "dr": (True,)}, "Hyper No Drift": {"p": (1,), "ds": (1,), "qs": (1,)}}
-    table = study.model_accuracy(df, 24, {"p": (0, 1), "d": (0, 1), "q": (0, 1)}, models)
+    """The two models chosen by hand, automatic ones and seasonal naive on every regional series, ranked on 48 held-out months."""
+    df = study.export_series(from_first_regressor(with_order_value(spark, sf_dir)), scratch_path(spark, "study"))
+    table = study.model_accuracy(df, 48, {"p": (0, 1), "d": (0, 1), "q": (0, 1)})
     return study.leaderboard_of_tests(table)

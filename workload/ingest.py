@@ -196,7 +196,7 @@ FROM regional_dim WHERE measure = 'TAX'
 UNION ALL
 SELECT 'TPC.PART.RET.' || p_partkey || '-ALL.M', CAST(strftime(min(date), '%Y%m') AS INTEGER),
        CAST(strftime(max(date), '%Y%m') AS INTEGER), 'dollars',
-       'Returns : ' || p_name || ' (' || p_partkey || ') : ' || p_type || ' : all : monthly'
+       'Labels : ' || p_name || ' (' || p_partkey || ') : ' || p_type || ' : all : monthly'
 FROM returns GROUP BY p_partkey, p_name, p_type""", "regional_dim", "returns")
 def family_missed(spark: SparkSession, sf_dir: str) -> DataFrame:
     dim = missed_dimension(every_record(spark, sf_dir), c.FAMILIES)

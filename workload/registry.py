@@ -85,10 +85,9 @@ STEPS: dict[str, tuple] = {
     SELECT 'TPC.PART.REV.' || l_partkey || '-ALL.M' AS series_id, l_partkey, date,
            CASE WHEN qty % 10 > 1 THEN CAST(rev AS VARCHAR) END AS value FROM parts"""),
     "returns": ((), """
-    SELECT p_partkey, p_name, p_type, date, qty FROM part LEFT JOIN (
-        SELECT l_partkey, CAST(date_trunc('month', l_shipdate) AS DATE) AS date,
-               CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS qty
-        FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 45 GROUP BY ALL) ON l_partkey = p_partkey"""),
+    SELECT d.doc_id AS p_partkey, lang AS p_name, source AS p_type, date, qty FROM documents d LEFT JOIN (
+        SELECT doc_id, unnest([DATE '2000-01-01', DATE '2000-02-01']) AS date, CAST(unnest([quality, toxic]) AS BIGINT) AS qty
+        FROM labels) USING (doc_id)"""),
     "order_month": ((), """
     SELECT o_orderpriority, CAST(date_trunc('month', o_orderdate) AS DATE) AS date,
            SUM(CAST(ROUND(o_totalprice * 100) AS BIGINT)) AS cents
