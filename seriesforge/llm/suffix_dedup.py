@@ -34,6 +34,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401 - pa.compute
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -254,7 +255,7 @@ def _shared(hot: int):
     return share
 
 
-def _contexts(length: int, buckets: int):
+def _contexts(length: int, buckets: int, one_text: bool):
     """Round 2's rows: the name, the first start and the bytes of all strings that chose a position."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +274,7 @@ def _contexts(length: int, buckets: int):
                 chosen = np.flatnonzero(asked[at])
                 out[0] += _keys(name[chosen] & U(0xFFFFFFFFFFFF0000), buckets).view(np.int64).tolist()
                 out[1] += [doc] * len(chosen)
-                out[2] += [tag] * len(chosen)
+                out[2] += [0 if one_text else tag] * len(chosen)
                 out[3] += first[chosen].tolist()
                 out[4] += [raw[a:b + length] for a, b in zip(first[chosen].tolist(), last[chosen].tolist())]
                 size += len(chosen)
@@ -338,6 +339,24 @@ def _ranked(length: int):
     return rank
 
 
+def _strings(length: int):
+    """Each string of rows with a hot name as a row of its own."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                raw = part.column("bytes").to_pylist()
+                count = np.array([len(x) - length + 1 for x in raw])
+                row = np.repeat(np.arange(len(raw)), count)
+                lo = np.concatenate([s + np.arange(n) for s, n in zip(part.column("start").to_pylist(), count.tolist())]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc").take(pa.array(row)), part.column("tag").take(pa.array(row)), pa.array(lo),
+                     pa.array([x[k:k + length] for x in raw for k in range(len(x) - length + 1)], pa.binary())], ["doc", "tag", "lo", "string"])
+
+    return emit
+
+
 def _tag(text):
     """Tells apart different texts under the same key."""
     return F.xxhash64(text)
@@ -376,18 +395,16 @@ def repeated_spans(docs: DataFrame, texts: DataFrame, copies: DataFrame, length:
               .join(copies, by, "left_anti"))
     hot = found.filter("hot IS NOT NULL").select(F.col("hot").alias("name"))
     rows = (texts.join(shared, _same(by))
-            .mapInArrow(_contexts(length, buckets), "name long, doc long, tag long, start int, bytes binary"))
-    if one_text:
-        rows = rows.withColumn("tag", F.lit(0).cast("long"))
-    # Both joins below read this shuffle; without nulls neither has a filter of its own to push below it. Its partitions hold
-    # whole names whatever becomes of the joins, as adaptive execution only merges what a program has dealt out.
+            .mapInArrow(_contexts(length, buckets, one_text), "name long, doc long, tag long, start int, bytes binary"))
+    # All that follows reads this one shuffle: without nulls no join has a filter of its own to push below it, and the functions
+    # take all columns.
     rows = rows.withColumn("name", F.coalesce("name", F.lit(0))).repartition("name")
 
-    cold = (rows.join(hot, "name", "left_anti").sortWithinPartitions("name")
+    # The window sorts by name, and demands that a name's rows stay together: adaptive execution may not split them for the join.
+    in_order = F.row_number().over(W.partitionBy("name").orderBy("start"))
+    cold = (rows.join(hot, "name", "left_anti").withColumn("nth", in_order)
             .mapInArrow(_ranked(length), "doc long, tag long, lo int, hi int"))
-    strings = (rows.join(hot, "name", "left_semi")
-               .select("doc", "tag", "start", "bytes", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - length)).alias("i"))
-               .select("doc", "tag", (F.col("start") + F.col("i")).alias("lo"), F.substring("bytes", F.col("i") + 1, F.lit(length)).alias("string")))
+    strings = rows.join(hot, "name", "left_semi").mapInArrow(_strings(length), "doc long, tag long, lo int, string binary")
     least = strings.groupBy("string").agg(F.min("doc").alias("least"))
     warm = (strings.join(least, "string").filter("doc > least")
             .select("doc", "tag", "lo", (F.col("lo") + length).cast("int").alias("hi")))
