@@ -210,5 +210,19 @@ def decode(df: DataFrame, codec: Codec, ids: str = "ids", out: str = "decoded")
     return map_column(df, ids, out, "binary", make)
 
 
+def encode_and_decode(df: DataFrame, codec: Codec, text: str = "text", out: str = "bpe") -> DataFrame:
+    """Adds a struct of ``ids``, packed, and ``decoded``, the bytes that these ids stand for; both in one pass over the texts."""
+    words = codec.decoder()
+
+    def make():
+        def both(texts: list) -> list[dict]:
+            ids = list(codec.encode_all(t or "" for t in texts))
+            return [{"ids": x, "decoded": b"".join(map(words.__getitem__, np.frombuffer(x, "<u4").tolist()))} for x in ids]
+
+        return both
+
+    return map_column(df, text, out, "struct<ids: binary, decoded: binary>", make)
+
+
 def n_ids(ids: str = "ids"):
     return (F.octet_length(ids) / 4).cast("long")

@@ -34,9 +34,9 @@ def default_codec(ranks: str | None = None) -> byte_bpe.Codec:
 def encoded_documents(docs: DataFrame, ranks: str | None = None) -> DataFrame:
     """Documents encoded and decoded again, as digests."""
     own = default_codec(ranks)
-    both = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "text"), own).drop("text"), own)
-    return both.select("doc_id", byte_bpe.n_ids().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
-                       F.sha2("decoded", 256).alias("decoded_sha256"))
+    both = byte_bpe.encode_and_decode(docs.select("doc_id", "text"), own)
+    return both.select("doc_id", byte_bpe.n_ids("bpe.ids").alias("n_tokens"), F.sha2("bpe.ids", 256).alias("ids_sha256"),
+                       F.sha2("bpe.decoded", 256).alias("decoded_sha256"))
 
 
 @query()

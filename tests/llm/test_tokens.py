@@ -50,6 +50,8 @@ def test_encode_and_decode(docs, texts, library):
     codec = default_codec()
     both = byte_bpe.decode(byte_bpe.encode(docs.drop("key").withColumnRenamed("lang", "ids"), codec), codec)
     got = both.collect()
+    at_once = byte_bpe.encode_and_decode(docs, codec).collect()
+    assert sorted((bytes(r.bpe.ids), bytes(r.bpe.decoded)) for r in at_once) == sorted((bytes(r.ids), bytes(r.decoded)) for r in got)
     assert len(got) == len(texts) and {"doc", "tag", "source"} <= set(both.columns)
     for r in got:
         text = r.text or ""
