@@ -27,13 +27,20 @@ BOUNDS = {f"{side}{level}": sign * z for level, z in NORMAL_QUANTILES.items() fo
 Forecaster = Callable[..., Sequence[float]]
 
 
-def pack(df: DataFrame) -> DataFrame:
-    """One row per series: ``n``, last date, and ``y`` (and ``x``) as arrays, each value in the place of its ``idx``.
+def pack(df: DataFrame, regressors: Sequence[str] = ("x",)) -> DataFrame:
+    """One row per series: ``n``, last date, and ``y`` and ``x`` as arrays, each value in the place of its ``idx``.
+
+    ``x`` has the values of the regressor, or with several an array of their values for each month; without any it is NULL.
 
     A month without a row has no value. An array has one entry per calendar month at most; an ``idx`` that
     occurs twice stops the job.
     """
-    values = [c for c in ("y", "x") if c in df.columns]
+    given = [c for c in regressors if c in df.columns]
+    if len(given) < len(regressors) and tuple(regressors) != ("x",):
+        raise ValueError(f"no such regressors: {sorted(set(regressors) - set(given))}")
+    if len(given) > 1 or given not in ([], ["x"]):
+        df = df.withColumn("x", F.array(*given))
+    values = ["y", "x"] if given else ["y"]
     packed = df.groupBy("series_id").agg(
         F.map_from_entries(F.collect_list(F.struct("idx", F.struct(*values)))).alias("_rows"),
         F.max("idx").alias("n"),
@@ -72,7 +79,13 @@ def _records(batch: pd.DataFrame) -> Iterator[dict]:
 
 
 def _array(values) -> np.ndarray | None:
-    return None if values is None else np.array([np.nan if v is None else v for v in values], float)
+    """Values of a series, or of several regressors as rows; what is missing is NaN."""
+    if values is None:
+        return None
+    width = next((len(v) for v in values if isinstance(v, (list, np.ndarray))), None)
+    if width is None:
+        return np.array([np.nan if v is None else v for v in values], float)
+    return np.array([[np.nan] * width if v is None else [np.nan if u is None else u for u in v] for v in values], float)
 
 
 def _whole_numbers(params: dict) -> dict:
@@ -142,9 +155,9 @@ def _cross_validate(work: DataFrame, names: Sequence[str], h: int, run) -> DataF
         "error", F.col("y") - F.col("yhat"))
 
 
-def work_rows(df: DataFrame, ranges: Mapping[str, Sequence] = ARIMA_RANGES) -> DataFrame:
+def work_rows(df: DataFrame, ranges: Mapping[str, Sequence] = ARIMA_RANGES, regressors: Sequence[str] = ("x",)) -> DataFrame:
     """Each packed series with each allowed configuration; drop finished ones before fitting."""
-    return arima_grid(pack(df), ranges)
+    return arima_grid(pack(df, regressors), ranges)
 
 
 def arima_cv(work: DataFrame, h: int, initial: int = 0, full_horizon_only: bool = False,
@@ -157,7 +170,8 @@ def arima_cv(work: DataFrame, h: int, initial: int = 0, full_horizon_only: bool
 
 
 def grid_cv_metrics(df: DataFrame, ranges: Mapping[str, Sequence] = ARIMA_RANGES, h: int = 24, initial: int = 0,
-                    full_horizon_only: bool = True, block: int = 120, rows_per_task: int = 200) -> DataFrame:
+                    full_horizon_only: bool = True, block: int = 120, rows_per_task: int = 200,
+                    regressors: Sequence[str] = ("x",)) -> DataFrame:
     """Error means per configuration and horizon over all series, as ``backtest.metrics_by_horizon`` gives them.
 
     A series is shuffled once for each slice of the grid, not for each configuration; the slice is expanded behind the
@@ -167,7 +181,7 @@ def grid_cv_metrics(df: DataFrame, ranges: Mapping[str, Sequence] = ARIMA_RANGES
     backtest.check_settings(h, None, initial)
     full = {**{name: values[:1] for name, values in ARIMA_RANGES.items()}, **ranges}
     slices = max(1, -(-grid_size(full) // rows_per_task))
-    packed = pack(df)
+    packed = pack(df, regressors)
     tasks = max(slices, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = packed.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).repartition(tasks, "series_id", "_slice")
     work = grid_slice(dealt, full, F.col("_slice"), slices, ARIMA_TYPES).filter(arima_allowed()).withColumn("config_id", arima_name())
@@ -197,10 +211,13 @@ def grid_cv_metrics(df: DataFrame, ranges: Mapping[str, Sequence] = ARIMA_RANGES
 
 def custom_cv(df: DataFrame, forecaster: Forecaster, h: int, ranges: Mapping[str, Sequence] | None = None,
               types: Mapping[str, str] | None = None, window: int | None = None, initial: int = 0,
-              full_horizon_only: bool = False, block: int = 120, partitions: int | None = None) -> DataFrame:
-    """Cross-validation errors of a user's forecast function over a grid of its parameters."""
+              full_horizon_only: bool = False, block: int = 120, partitions: int | None = None,
+              regressors: Sequence[str] = ("x",)) -> DataFrame:
+    """Cross-validation errors of a user's forecast function over a grid of its parameters. With several regressors it
+    gets them as the columns of a matrix."""
+    backtest.check_settings(h, window, initial)
     ranges = dict(ranges or {})
-    work = add_grid(pack(df), ranges, types).withColumn("w", F.lit(window).cast("int"))
+    work = add_grid(pack(df, regressors), ranges, types).withColumn("w", F.lit(window).cast("int"))
     texts = [F.coalesce(F.col(name).cast("string"), F.lit("NULL")) for name in ranges]
     label = F.concat_ws("_", *itertools.chain(*zip(map(F.lit, ranges), texts))) if ranges else F.lit("custom")
     work = _origin_blocks(work.withColumn("config_id", label), h, initial, full_horizon_only, block)

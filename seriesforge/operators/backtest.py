@@ -101,6 +101,24 @@ def cv_regression(df: DataFrame, h: int, window: int | None = None, initial: int
     return _errors(df, forecasts, window, initial, full_horizon_only, line)
 
 
+def cv_two_regressors(df: DataFrame, h: int, regressors: tuple[str, str] = ("x", "z"), window: int | None = None, initial: int = 0,
+                      full_horizon_only: bool = False) -> DataFrame:
+    """Regression on two columns over the training part, by the covariances of its complete rows; horizon ``k`` uses both of its own month."""
+    w, ahead = trailing(window), by_series()
+    complete = F.col("y").isNotNull() & F.col(regressors[0]).isNotNull() & F.col(regressors[1]).isNotNull()
+    y, a, b = (F.when(complete, F.col(c)) for c in ("y", *regressors))
+    moments = {"_ab": F.covar_pop(a, b).over(w), "_aa": F.var_pop(a).over(w), "_bb": F.var_pop(b).over(w),
+               "_ya": F.covar_pop(y, a).over(w), "_yb": F.covar_pop(y, b).over(w),
+               "_y": F.avg(y).over(w), "_a": F.avg(a).over(w), "_b": F.avg(b).over(w)}
+    m = {name: F.col(name) for name in moments}
+    shared = m["_aa"] * m["_bb"] - m["_ab"] * m["_ab"]
+    slope_a = F.try_divide(m["_ya"] * m["_bb"] - m["_yb"] * m["_ab"], shared)
+    slope_b = F.try_divide(m["_yb"] * m["_aa"] - m["_ya"] * m["_ab"], shared)
+    forecasts = [m["_y"] + slope_a * (F.lead(regressors[0], k).over(ahead) - m["_a"]) + slope_b * (F.lead(regressors[1], k).over(ahead) - m["_b"])
+                 for k in range(1, h + 1)]
+    return _errors(df, forecasts, window, initial, full_horizon_only, moments)
+
+
 def metrics_by_horizon(errors: DataFrame, *keys: str) -> DataFrame:
     """Error means per ``keys`` and horizon; missing errors are left out, failed forecasts counted, and so are
     forecasts of a search that did not end where ``converged`` tells it."""

@@ -138,9 +138,9 @@ def fit(y: np.ndarray, x: np.ndarray | None, origins: np.ndarray, h: int, *, w:
         columns.append(np.ones(months.shape))
     if dr and d + ds <= 1:
         columns.append(months / n)
-    if x is not None:
-        known = np.where((months >= 1) & (months <= len(x)), x[np.clip(months - 1, 0, len(x) - 1)], np.nan)
-        given = x[~np.isnan(x)]
+    for one in () if x is None else np.reshape(x, (len(x), -1)).T:  # a column for each regressor
+        known = np.where((months >= 1) & (months <= len(one)), one[np.clip(months - 1, 0, len(one) - 1)], np.nan)
+        given = one[~np.isnan(one)]
         centre, spread = (given.mean(), given.std() or 1.0) if len(given) else (0.0, 1.0)
         columns.append((known - centre) / spread)
     design = np.stack(columns, axis=2) if columns else np.zeros(months.shape + (0,))

@@ -7,15 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesforge.operators.series import SEASON, by_series
+from seriesforge.operators.series import SEASON, by_series, whole
 
 MEASURES = ("me", "rmse", "mae", "mpe", "mape", "mase", "acf1", "theils_u")
 
 
-def seasonal_scale(train: DataFrame, season: int = SEASON) -> DataFrame:
-    """Mean absolute seasonal difference of each training series: the unit of MASE."""
-    step = F.abs(F.col("y") - F.lag("y", season).over(by_series()))
-    return train.select("series_id", step.alias("_step")).groupBy("series_id").agg(F.avg("_step").alias("scale"))
+def with_seasonal_scale(split: DataFrame, season: int = SEASON) -> DataFrame:
+    """Adds ``scale``, the unit of MASE: the mean absolute seasonal difference of the training part of each series."""
+    step = F.when(F.col("part") == "train", F.abs(F.col("y") - F.lag("y", season).over(by_series())))
+    return split.withColumn("_step", step).withColumn("scale", F.avg("_step").over(whole())).drop("_step")
 
 
 def accuracy(rows: DataFrame, *keys: str, order: str = "idx") -> DataFrame:

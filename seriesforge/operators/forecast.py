@@ -82,3 +82,28 @@ def regression(split: DataFrame) -> DataFrame:
         "series_id", "k", "date", "y", "slope", "intercept",
         (F.col("intercept") + F.col("slope") * F.col("x")).alias("yhat"),
     )
+
+
+def seasonal_naive_test(test_length: int, season: int = SEASON) -> Column:
+    """Seasonal naive forecast of the test rows of a split as lags on the windows of the series; NULL where
+    the training part is shorter than a season. Horizon ``k`` takes the last training value of its own month."""
+    k, choice = F.col("k"), F.lit(None).cast("double")
+    for back in range(-(-test_length // season), 0, -1):
+        choice = F.when(k <= back * season, F.lag("y", back * season).over(by_series())).otherwise(choice)
+    return F.when((F.col("part") == "test") & (F.col("idx") - k >= season), choice)
+
+
+def of_test_months(split: DataFrame, test_length: int) -> DataFrame:
+    """Test rows with the forecasts of three models side by side: trend, regression on ``x``, seasonal naive.
+
+    All are windows on the same partitioning and sort, so the split is read once and nothing is joined.
+    """
+    train = {c: F.when(F.col("part") == "train", F.col(c)) for c in ("y", "x", "idx")}
+    rows = split.withColumns({
+        "_b": F.regr_slope(train["y"], train["idx"]).over(whole()), "_a": F.regr_intercept(train["y"], train["idx"]).over(whole()),
+        "_bx": F.regr_slope(train["y"], train["x"]).over(whole()), "_ax": F.regr_intercept(train["y"], train["x"]).over(whole()),
+        "_naive": seasonal_naive_test(test_length),
+    })
+    return rows.filter(F.col("part") == "test").select(
+        "series_id", "k", "y", (F.col("_a") + F.col("_b") * F.col("idx")).alias("Trend"),
+        (F.col("_ax") + F.col("_bx") * F.col("x")).alias("Regression"), F.col("_naive").alias("Seasonal Naive"))

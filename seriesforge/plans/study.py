@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesforge.operators import arima
-from seriesforge.operators.evaluate import accuracy, labelled, leaderboard, seasonal_scale, stack
-from seriesforge.operators.forecast import seasonal_naive
+from seriesforge.operators.evaluate import accuracy, labelled, leaderboard, stack, with_seasonal_scale
+from seriesforge.operators.forecast import seasonal_naive_test
 from seriesforge.operators.grid import arima_grid
 from seriesforge.operators.series import SEASON, by_series, split_train_test
 from seriesforge.sources.sinks import write_table
@@ -26,23 +26,16 @@ def export_series(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _labelled(rows: DataFrame, model: Column, scale: DataFrame) -> DataFrame:
+def _labelled(rows: DataFrame, model: Column) -> DataFrame:
     set_name = F.when(F.col("part") == "test", "Test set").otherwise("Training set")
-    rows = rows.select("series_id", "idx", "part", "y", "yhat", labelled(model, set_name).alias("model"))
-    return rows.join(scale, "series_id", "left")
+    return rows.select("series_id", "idx", "part", "y", "yhat", "scale", labelled(model, set_name).alias("model"))
 
 
-def seasonal_naive_rows(split: DataFrame, test_length: int, scale: DataFrame,
-                        model: str = "Seasonal Naive") -> DataFrame:
-    """Seasonal naive fit of the training part and its forecast of the test part."""
-    train = split.filter(F.col("part") == "train")
-    fitted = train.withColumn("yhat", F.lag("y", SEASON).over(by_series())).select(
-        "series_id", "idx", "part", "y", "yhat")
-    ahead = seasonal_naive(train, test_length).select(
-        "series_id", (F.col("origin") + F.col("k")).alias("idx"), "yhat")
-    test = split.filter(F.col("part") == "test").join(ahead, ["series_id", "idx"], "left")
-    rows = fitted.unionByName(test.select(*fitted.columns))
-    return _labelled(rows, F.lit(model), scale)
+def seasonal_naive_rows(split: DataFrame, test_length: int, model: str = "Seasonal Naive") -> DataFrame:
+    """Seasonal naive fit of the training part and its forecast of the test part, as one window pass over the split."""
+    fit = F.when(F.col("part") == "train", F.lag("y", SEASON).over(by_series()))
+    rows = with_seasonal_scale(split).withColumn("yhat", F.coalesce(fit, seasonal_naive_test(test_length)))
+    return _labelled(rows, F.lit(model))
 
 
 def model_accuracy(df: DataFrame, test_length: int, auto_ranges: Mapping[str, Sequence],
@@ -54,8 +47,7 @@ def model_accuracy(df: DataFrame, test_length: int, auto_ranges: Mapping[str, Se
     the regressor, and seasonal naive.
     """
     models = models or {"Hyper": HYPER, "Hyper No Drift": HYPER_NO_DRIFT}
-    split = split_train_test(df, test_length)
-    scale = seasonal_scale(split.filter(F.col("part") == "train"))
+    split = with_seasonal_scale(split_train_test(df, test_length))
     train = _training_part(df, test_length)
     bare = train.withColumn("x", F.lit(None).cast("array<double>"))
     candidates = [(name, train, ranges) for name, ranges in models.items()]
@@ -69,7 +61,7 @@ def model_accuracy(df: DataFrame, test_length: int, auto_ranges: Mapping[str, Se
     # Every model has rows for every series, also where nothing could be fitted.
     rows = split.withColumn("model", F.explode(F.array(*[F.lit(name) for name, _, _ in candidates]))).join(
         values.withColumn("idx", F.col("_i") + 1).drop("_i"), ["series_id", "model", "idx"], "left")
-    parts = [_labelled(rows, F.col("model"), scale), seasonal_naive_rows(split, test_length, scale)]
+    parts = [_labelled(rows, F.col("model")), seasonal_naive_rows(split, test_length)]
     return accuracy(stack(parts), "model", "series_id", "part").drop("part")
 
 

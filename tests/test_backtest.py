@@ -350,3 +350,17 @@ def test_short_series_keep_a_row_in_the_portmanteau_test(spark):
     test = {r["series_id"]: r for r in diagnose.ljung_box(df, 6, column="y").collect()}
     assert test["short"]["statistic"] is None and test["short"]["p_value"] is None and test["good"]["p_value"] is not None
     assert all(r["p_value"] is None for r in diagnose.ljung_box(df, 6, fitted=6, column="y").collect())
+
+
+def test_several_regressors(spark):
+    rng = np.random.default_rng(12)
+    x, z = rng.normal(size=(2, 60))
+    y = 3 + 2 * x - 5 * z
+    df = indexed(spark, x=x.tolist(), s=y.tolist()).join(
+        spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(z)], "idx int, z double"), "idx")
+    for errors in (backtest.cv_two_regressors(df, 2, initial=10), arima.arima_cv(arima.work_rows(df, {}, ("x", "z")), 2, initial=10),
+                   arima.custom_cv(df, lambda y, h, x, x_future: 3 + x_future @ [2.0, -5.0], 2, initial=10, regressors=("x", "z"))):
+        got = [r for r in errors.collect() if r["y"] is not None]
+        assert len(got) == 49 + 48 and all(r["yhat"] == pytest.approx(r["y"], abs=1e-6) for r in got)
+    with pytest.raises(ValueError):
+        arima.pack(df, ("x", "nothing"))

@@ -15,7 +15,7 @@ from seriesforge.operators.facts import explode_history
 from seriesforge.operators.star import join_facts
 from seriesforge.plans.etl import ELECTRICITY_TABLES, TOTAL_TABLES, run_electricity, run_total
 from seriesforge.sources.bulk import ELECTRICITY_SCHEMA, TOTAL_SCHEMA, keep_frequency, read_bulk
-from seriesforge.sources.sinks import backup_table, write_table
+from seriesforge.sources.sinks import backup_table, log_sample, write_table
 from seriesforge.sources.tables import list_files, read_table, scratch_path
 from workload import catalogs as c
 from workload.registry import query
@@ -245,6 +245,26 @@ def backup_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, copy, "series_id", "date", "value")
 
 
+@query("""
+SELECT year(date) AS year, count(*) AS n_rows, count(value) AS n_values FROM part_fact GROUP BY 1""", "part_fact")
+def view_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQL over a written table that is registered and cached as a view; the result is taken before the cache is given back."""
+    path = scratch_path(spark, "viewed")
+    write_table(c.part_facts(spark, sf_dir), path)
+    read_table(spark, path, "date", "value", view="part_fact_view", cache=True)
+    result = scratch_path(spark, "view-result")
+    write_table(spark.sql("SELECT year(date) AS year, count(*) AS n_rows, count(value) AS n_values FROM part_fact_view GROUP BY 1"), result)
+    spark.catalog.uncacheTable("part_fact_view")
+    return read_table(spark, result)
+
+
+@query("SELECT least(count(*), 10) AS n_rows, least(count(*), 5) AS n_shown FROM part_fact", "part_fact")
+def sample_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample that a written output logs; its size is the feature."""
+    sample = log_sample(c.part_facts(spark, sf_dir), "part facts", rows=10, shown=5)
+    return spark.createDataFrame([(len(sample), len(sample[:5]))], "n_rows long, n_shown long")
+
+
 @query("""
 SELECT 'TotalEnergyDimDF' AS table_name, count(*) AS n_rows FROM seg_dim
 UNION ALL SELECT 'TotalEnergyFactDF', count(*) FROM seg_fact""", "seg_dim", "seg_fact")
