@@ -90,14 +90,14 @@ def placed(counts: DataFrame, shards: int, virtual: int) -> DataFrame:
     marks = (begins.unionByName(cells.filter("over > 0").select((F.col("overs") - F.col("over")).alias("number"), F.struct(
                  (F.col("overs") - F.col("over")).alias("since"), "cell", "stay").alias("source")), allowMissingColumns=True)
              .unionByName(cells.filter("room > 0").select((F.col("rooms") - F.col("room")).alias("number"), F.col("shard").alias("target")), allowMissingColumns=True)
+             .unionByName(cells.agg(F.sum("over").alias("number")), allowMissingColumns=True)  # where the last of them ends
              .groupBy("number").agg(F.max("source").alias("source"), F.max("target").alias("target")))
     line = W.orderBy("number")
     until = F.lead("number").over(line)
     source = F.last("source", True).over(line.rowsBetween(W.unboundedPreceding, 0))
     moves = (marks.select("number", source.alias("source"),
                           F.last("target", True).over(line.rowsBetween(W.unboundedPreceding, 0)).alias("shard"), until.alias("until"))
-             .crossJoin(F.broadcast(cells.agg(F.sum("over").alias("all"))))  # one row
-             .withColumn("until", F.coalesce("until", "all")).filter("number < until")
+             .filter("number < until")
              .select("source.cell", (F.col("source.stay") + F.col("number") - F.col("source.since")).alias("lo"),
                      (F.col("source.stay") + F.col("until") - F.col("source.since")).alias("hi"), "shard"))
     parts = stays.unionByName(moves)

@@ -56,9 +56,12 @@ def _table(seed: int) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+TABLES = (_table(0), _table(1))
+
+
 def names(data: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
     """The name of the ``length`` bytes from each position on, doubled from pairs at growing offsets."""
-    power, size = _table(seed)[data], 1
+    power, size = TABLES[seed][data], 1
     out, have = None, 0
     while True:
         if length & size:
@@ -117,14 +120,14 @@ def _codes(data: np.ndarray, at: np.ndarray, name: np.ndarray, length: int) -> n
     shares name and next, or name and previous.
     """
     k = max(2 * length // 5, 1)
-    far = np.arange(min(8, (length - k) // 2))
+    far = min(8, (length - k) // 2)
     code = name & U(0xFFFFFFFFFFFF0000)
-    for shift, start in ((U(8), at + k), (U(0), at - len(far))):
-        there = np.flatnonzero((start >= 0) & (start + len(far) <= len(data)))
-        x = np.zeros(len(there), U)
-        for j in far.tolist():
-            x = (x ^ data[start[there] + j]) * U(0x9E3779B97F4A7C15)
-            x ^= x >> U(29)
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the 8 bytes from each position on
+    for shift, start in ((U(8), at + k), (U(0), at - far)):
+        there = np.flatnonzero((start >= 0) & (start + far <= len(data)))
+        x = (eight[start[there]] & U((1 << 8 * far) - 1)) * U(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> U(32))) * U(0xD6E8FEB86659FD93)
         code[there] |= (U(1) + (x >> U(40)) % U(255)) << shift
     return code
 

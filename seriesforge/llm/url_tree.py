@@ -90,10 +90,9 @@ def templates(tree: DataFrame) -> DataFrame:
     sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad")]
     by_template = tree.groupBy("host", "template").agg(*sums)
     by_host = tree.groupBy("host").agg(F.sum("labelled").alias("host_labelled"), F.sum("bad").alias("host_bad"))
-    everywhere = tree.agg(F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))  # one row
-    share = F.coalesce(F.try_divide("all_bad", "all_labelled"), F.lit(0.0))
+    share = F.lit(tree.agg(F.try_divide(F.sum("bad"), F.sum("labelled"))).first()[0] or 0.0)
     host_share = (F.col("host_bad") + PRIOR * share) / (F.col("host_labelled") + PRIOR)
-    return (by_template.join(by_host, "host").crossJoin(F.broadcast(everywhere))
+    return (by_template.join(by_host, "host")
             .select("host", "template", "n", "labelled", "bad",
                     (1 - (F.col("bad") + PRIOR * host_share) / (F.col("labelled") + PRIOR)).alias("purity")))
 
