@@ -10,8 +10,8 @@ copies there, and about one position in sixteen is left.
 * Round 1: positions are dealt by the name of ``2/5 length`` bytes and sorted by the pairs of that name and the name of the
   next, or the previous, bytes. Pairs held by one text only are unique (copies of a whole text are found by digest): their strings end here. A pair that a batch of documents repeats sends two of its positions,
   whatever their number, as the others are known to be repeated.
-* Round 2: what is left is dealt by that name again, together with the bytes around it, and ranked by the pairs
-  of names that reach ``length`` bytes, past the threshold. A string is repeated where the least key of its rank
+* Round 2: what is left is dealt by that name again, together with the bytes around it, equal bytes of a task once, and ranked by
+  the pairs of names that reach ``length`` bytes, past the threshold. A string is repeated where the least key of its rank
   is smaller than its own. Names with over ``HOT`` positions are ranked by the strings themselves instead, whose minima are combined before
   they are shuffled, so no group meets in one task.
 
@@ -258,55 +258,80 @@ def _shared(hot: int):
     return share
 
 
+ROWS = "name long, doc long, tag long, starts array<int>, size int, bytes binary"
+ROWS_ARROW = pa.schema([("name", pa.int64()), ("doc", pa.int64()), ("tag", pa.int64()), ("starts", pa.list_(pa.int32())),
+                        ("size", pa.int32()), ("bytes", pa.binary())])
+SPANS = "doc long, tag long, lo int, hi int"
+
+
 def _contexts(length: int, buckets: int, one_text: bool):
-    """Round 2's rows: the name, the first start and the bytes of all strings that chose a position."""
+    """Round 2's rows: the name, the first starts and the bytes of all strings that chose a position.
+
+    Equal bytes meet in the task already: the least document of a part sends them once, with all its starts. For the others it
+    is settled that all these strings are repeated; their spans go along without bytes, under negative names that no bytes have.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in _parts(batches, "_packed", SMALL_PART_BYTES):
-            out: list[list] = [[], [], [], [], []]
-            size = 0
+            least: dict[tuple, list] = {}  # (bytes, tag) -> name, document, starts
+            settled: list[tuple] = []
             for doc, tag, known, lists, packed in zip(*(batch.column(c).to_pylist() for c in ("doc", "_tag", "_known", "pos", "_packed"))):
                 if not known:
                     continue
-                raw = unpack.decompress(packed)
+                tag, raw = 0 if one_text else tag, unpack.decompress(packed)
                 at, name, first, last = anchors(np.frombuffer(raw, np.uint8), length)
                 asked = np.zeros(len(raw), bool)
                 for positions in lists:
                     asked[positions] = True
                 chosen = np.flatnonzero(asked[at])
-                out[0] += _keys(name[chosen] & U(0xFFFFFFFFFFFF0000), buckets).view(np.int64).tolist()
-                out[1] += [doc] * len(chosen)
-                out[2] += [0 if one_text else tag] * len(chosen)
-                out[3] += first[chosen].tolist()
-                out[4] += [raw[a:b + length] for a, b in zip(first[chosen].tolist(), last[chosen].tolist())]
-                size += len(chosen)
-                if size >= CHUNK_ROWS:
-                    yield _batch(out)
-                    out, size = [[], [], [], [], []], 0
-            if size:
-                yield _batch(out)
+                keys = _keys(name[chosen] & U(0xFFFFFFFFFFFF0000), buckets).tolist()
+                for key, a, b in zip(keys, first[chosen].tolist(), (last[chosen] + length).tolist()):
+                    own = least.setdefault((raw[a:b], tag), [key, doc, []])
+                    if doc < own[1]:
+                        settled += [(~own[1] if own[1] >= 0 else own[1], own[1], tag, [start], b - a, None) for start in own[2]]
+                        own[1:] = [doc, [a]]
+                    elif doc > own[1]:
+                        settled.append((~doc if doc >= 0 else doc, doc, tag, [a], b - a, None))
+                    else:
+                        own[2].append(a)
+            rows = settled + [(key, doc, tag, starts, len(text), text) for (text, tag), (key, doc, starts) in least.items()]
+            for k in range(0, len(rows), CHUNK_ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[k:k + CHUNK_ROWS]), ROWS_ARROW)], schema=ROWS_ARROW)
 
     return emit
 
 
-def _batch(columns: list) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["name", "doc", "tag", "start", "bytes"])
+def _spans(doc, tag, starts: pa.Array, of: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+    """Spans (row, first byte, end) of rows' bytes as spans of documents, for each of the row's starts."""
+    ends = starts.value_lengths().to_numpy()
+    begin = np.cumsum(ends) - ends
+    n = ends[of]
+    which = np.repeat(begin[of], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    at, row = starts.flatten().to_numpy()[which], np.repeat(of, n)
+    return pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(tag[row]), pa.array((at + np.repeat(lo, n)).astype(np.int32)),
+                                       pa.array((at + np.repeat(hi, n)).astype(np.int32))], ["doc", "tag", "lo", "hi"])
 
 
 def _ranked(length: int):
     """Spans to remove among rows sorted by name; a name's rows are never cut."""
 
-    def spans(table: pa.Table) -> pa.RecordBatch:
-        doc, tag, start = (table.column(c).to_numpy() for c in ("doc", "tag", "start"))
-        parts = table.column("bytes").to_pylist()
-        size = np.fromiter(map(len, parts), np.int64, len(parts))
-        data = np.frombuffer(b"".join(parts), np.uint8)
-        count = size - length + 1
-        row = np.repeat(np.arange(len(parts)), count)
+    def spans(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        table = table.combine_chunks()
+        settled = table.filter(pa.compute.is_null(table.column("bytes")))
+        if settled.num_rows:
+            size = settled.column("size").to_numpy()
+            yield _spans(settled.column("doc").to_numpy(), settled.column("tag").to_numpy(), settled.column("starts").combine_chunks(),
+                         np.arange(len(size)), np.zeros(len(size), np.int64), size)
+        table = table.filter(pa.compute.is_valid(table.column("bytes")))
+        if not table.num_rows:
+            return
+        doc, tag, size = (table.column(c).to_numpy() for c in ("doc", "tag", "size"))
+        data = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8)
+        count = size.astype(np.int64) - length + 1
+        row = np.repeat(np.arange(len(size)), count)
         inside = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        at = np.repeat(np.cumsum(size) - size, count) + inside
+        at = np.repeat(np.cumsum(size, dtype=np.int64) - size, count) + inside
         one, two, own = names(data, length)[at], names(data, length, 1)[at], doc[row]
         order = np.lexsort((own, one))
         new = np.append(True, one[order[1:]] != one[order[:-1]])
@@ -319,10 +344,7 @@ def _ranked(length: int):
         edge = np.append(True, row[1:] != row[:-1])
         lo = np.flatnonzero(gone & (edge | ~np.append(False, gone[:-1])))
         hi = np.flatnonzero(gone & np.append(edge[1:] | ~gone[1:], True))
-        r = row[lo]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(doc[r]), pa.array(tag[r]), pa.array((start[r] + inside[lo]).astype(np.int32)),
-             pa.array((start[r] + inside[hi] + length).astype(np.int32))], ["doc", "tag", "lo", "hi"])
+        yield _spans(doc, tag, table.column("starts").combine_chunks(), row[lo], inside[lo], inside[hi] + length)
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
@@ -333,11 +355,11 @@ def _ranked(length: int):
             before = np.flatnonzero(name != name[-1])
             cut_at = int(before[-1]) + 1 if len(before) else 0
             if cut_at:
-                yield spans(pa.Table.from_batches([*rest, batch.slice(0, cut_at)]))
+                yield from spans(pa.Table.from_batches([*rest, batch.slice(0, cut_at)]))
                 rest = []
             rest.append(batch.slice(cut_at))
         if rest:
-            yield spans(pa.Table.from_batches(rest))
+            yield from spans(pa.Table.from_batches(rest))
 
     return rank
 
@@ -348,14 +370,11 @@ def _strings(length: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                raw = part.column("bytes").to_pylist()
-                count = np.array([len(x) - length + 1 for x in raw])
-                row = np.repeat(np.arange(len(raw)), count)
-                lo = np.concatenate([s + np.arange(n) for s, n in zip(part.column("start").to_pylist(), count.tolist())]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc").take(pa.array(row)), part.column("tag").take(pa.array(row)), pa.array(lo),
-                     pa.array([x[k:k + length] for x in raw for k in range(len(x) - length + 1)], pa.binary())], ["doc", "tag", "lo", "string"])
+                rows = [(doc, tag, start + k, text[k:k + length])
+                        for doc, tag, starts, text in zip(*(batch.slice(at, 1000).column(c).to_pylist() for c in ("doc", "tag", "starts", "bytes")))
+                        for k in range(len(text) - length + 1) for start in starts]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))],
+                                                 ["doc", "tag", "lo", "string"])
 
     return emit
 
@@ -398,15 +417,15 @@ def repeated_spans(docs: DataFrame, texts: DataFrame, copies: DataFrame, length:
               .join(copies, by, "left_anti"))
     hot = found.filter("hot IS NOT NULL").select(F.col("hot").alias("name"))
     rows = (texts.join(shared, _same(by))
-            .mapInArrow(_contexts(length, buckets, one_text), "name long, doc long, tag long, start int, bytes binary"))
+            .mapInArrow(_contexts(length, buckets, one_text), ROWS))
     # All that follows reads this one shuffle: without nulls no join has a filter of its own to push below it, and the functions
     # take all columns.
     rows = rows.withColumn("name", F.coalesce("name", F.lit(0))).repartition("name")
 
     # The window sorts by name, and demands that a name's rows stay together: adaptive execution may not split them for the join.
-    in_order = F.row_number().over(W.partitionBy("name").orderBy("start"))
+    in_order = F.row_number().over(W.partitionBy("name").orderBy("doc"))
     cold = (rows.join(hot, "name", "left_anti").withColumn("nth", in_order)
-            .mapInArrow(_ranked(length), "doc long, tag long, lo int, hi int"))
+            .mapInArrow(_ranked(length), SPANS))
     strings = rows.join(hot, "name", "left_semi").mapInArrow(_strings(length), "doc long, tag long, lo int, string binary")
     least = strings.groupBy("string").agg(F.min("doc").alias("least"))
     warm = (strings.join(least, "string").filter("doc > least")
