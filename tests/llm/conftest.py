@@ -34,7 +34,3 @@ def docs(spark, texts):
 @pytest.fixture(scope="session")
 def nothing(docs):
     return docs.limit(0)
-
-
-def tuples(df, *columns):
-    return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
