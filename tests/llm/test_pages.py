@@ -102,6 +102,17 @@ def test_deep_paths(spark):
     assert got == {1: "/*" * url_tree.MAX_DEPTH, 2: "/*"}
 
 
+@pytest.mark.parametrize("n,depth", [(400, 0), (9, 0), (9, 8)])
+def test_small_branches_are_judged_on_large_hosts(spark, n, depth):
+    """A bad branch of 20 urls is blocked beside n good ones of 20 each, as on a host of few, at any depth."""
+    urls = [(f"http://h/{'d/' * depth}{'bad' if b == n else 'good' + chr(97 + b // 26) + chr(97 + b % 26)}/{k}", b == n) for b in range(n + 1) for k in range(20)]
+    df = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(urls)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, bad) for i, (_, bad) in enumerate(urls)], "page_id long, bad boolean")
+    got = {r.page_id: r for r in url_tree.judge(df, labels, []).collect()}
+    assert [got[i].verdict == "block" for i in range(len(urls))] == [bad for _, bad in urls]
+    assert (url_tree.MANY in got[0].template) == (n > url_tree.LISTED) and got[len(urls) - 1].template.startswith("/d" * depth + "/bad")
+
+
 PAGES = {
     "<p>One<p>Two <b>bold</b>,x<br>y": "One\n\nTwo bold,x\ny",
     "<h1>A  b</h1>text<div>c</div><div>d</div>": "A b\n\ntext\nc\nd",
