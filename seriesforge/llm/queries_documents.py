@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesforge.llm import decontaminate, hash_ring, quality_gbt, simhash, suffix_dedup
+from seriesforge.llm import cuckoo_dedup, decontaminate, hash_ring, quality_gbt, simhash, suffix_dedup
 from seriesforge.llm.common import query, table
 
 
@@ -45,3 +45,14 @@ def op6_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark item or a part of one, with the items."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("""
+SELECT doc_id, keep_id, group_size, keep_id = doc_id AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, t, first_value(doc_id) OVER (PARTITION BY t ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size
+      FROM (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS t FROM documents))""")
+def op12_cuckoo_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one of its content that stays."""
+    index = cuckoo_dedup.insert(cuckoo_dedup.create(spark), table(spark, sf_dir, "documents"))
+    return cuckoo_dedup.judged(spark, index).select(
+        F.col("key").alias("doc_id"), F.col("keep_key").alias("keep_id"), "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
