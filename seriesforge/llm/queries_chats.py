@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesforge.llm import chat_tree
+from seriesforge.llm import chat_tree, conversation_repair
 from seriesforge.llm.common import query, table
 
 PROBE = "</s>[INST] ok [/INST]"  # fixed: conversation -1 says it twice
@@ -37,3 +37,80 @@ def op2_chat_tree(spark: SparkSession, sf_dir: str, tokenizer: str | None = None
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
                        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
                        F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+def damaged(chats: DataFrame) -> DataFrame:
+    """Rows with faults that the checksum of their conversation and turn decides; nulls are one space."""
+    blank = F.lit(" ")
+    place = F.concat(F.coalesce(F.col("conv_id").cast("string"), blank), F.lit(":"), F.coalesce(F.col("turn").cast("string"), blank))
+    rows = chats.select("conv_id", "turn", F.coalesce("role", blank).alias("role"), F.coalesce("text", blank).alias("text"),
+                        (F.crc32(place) % 20).alias("fault")).filter("fault <> 0")
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    copies = F.explode(F.when(F.col("fault") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy")
+    return rows.select("conv_id", "turn", F.when(F.col("fault") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"),
+                       copies).drop("copy")
+
+
+@query("""
+WITH RECURSIVE byte AS (SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY n) AS t FROM range(256) r(n)),
+chats AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           xor(list_reduce([4294967295] || [CAST(ord(x) AS BIGINT) FOR x IN
+                   regexp_extract_all(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '.')],
+               lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS fault
+    FROM conversations, byte),
+told AS (
+    SELECT conv_id, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role,
+           CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+           unnest(CASE fault WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+    FROM chats WHERE fault <> 0),
+seen AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || text), copy) AS r,
+           row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+           rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS shown FROM told),
+line AS (
+    SELECT *, CASE WHEN shown = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN shown[-1] NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+           lag(role[1]) OVER (PARTITION BY conv_id ORDER BY r) || role[1] AS step FROM seen),
+hop(x, y, c, a) AS (  -- states: 0 nothing yet, 1 after system, 2 after user, 3 after assistant
+    VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 2, 'I'), (0, 3, 4, 'II'), (1, 2, 2, 'I'), (1, 3, 4, 'II'),
+           (2, 3, 2, 'I'), (3, 2, 2, 'I')),
+lead(o, x, y) AS (VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)),
+edit AS (
+    SELECT x AS m, x AS y, 3 AS c, 'D' AS a, NULL AS o, true AS gone FROM range(4) s(x)
+    UNION ALL SELECT x, y, 0, 'K', o, false FROM lead UNION ALL SELECT x, y, 2, 'R', NULL, false FROM lead WHERE o <> 's'),
+best AS (
+    SELECT conv_id, CAST(0 AS BIGINT) AS r, 0 AS y, {'c': CAST(0 AS BIGINT), 'a': ''} AS v FROM (SELECT DISTINCT conv_id FROM line)
+    UNION ALL
+    SELECT b.conv_id, b.r + 1, e.y, min({'c': b.v.c + h.c + e.c + CASE WHEN l.fault = 'truncated' AND NOT e.gone THEN 1 ELSE 0 END,
+                                         'a': b.v.a || h.a || e.a})
+    FROM best b JOIN line l ON l.conv_id IS NOT DISTINCT FROM b.conv_id AND l.r = b.r + 1
+    JOIN hop h ON h.x = b.y JOIN edit e ON e.m = h.y AND (e.o IS NULL OR e.o = l.role[1])
+        AND (e.gone OR l.fault IS NULL OR l.fault = 'truncated')
+    GROUP BY b.conv_id, b.r, e.y),
+done AS (
+    SELECT conv_id, min({'c': v.c + h.c, 'a': v.a || h.a}) AS v FROM best b JOIN hop h ON h.x = b.y AND h.y IN (0, 3)
+    WHERE (h.x = 0) = (h.y = 0) OR h.x = 0
+    GROUP BY conv_id, r QUALIFY r = max(r) OVER (PARTITION BY conv_id)),
+letters AS (
+    SELECT conv_id, a[i] AS e, i, sum(CASE WHEN a[i] <> 'I' THEN 1 ELSE 0 END) OVER w AS r, sum(CASE WHEN a[i] <> 'D' THEN 1 ELSE 0 END) OVER w AS n
+    FROM (SELECT conv_id, v.a AS a, unnest(range(1, length(v.a) + 1)) AS i FROM done) WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+given AS (
+    SELECT x.conv_id, x.i, x.e, x.n, l.role, coalesce(l.text, '') AS text,
+           bool_or(x.e = 'K' AND x.n = 1 AND l.role[1] = 's') OVER (PARTITION BY x.conv_id) AS led
+    FROM letters x LEFT JOIN line l ON l.conv_id IS NOT DISTINCT FROM x.conv_id AND l.r = x.r AND x.e <> 'I' WHERE x.e <> 'D'),
+fixed AS (
+    SELECT conv_id, sha256(string_agg(CASE WHEN e = 'K' THEN role WHEN (n - CASE WHEN led THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                                      || ':' || text, chr(10) ORDER BY i)) AS h FROM given GROUP BY conv_id),
+counts AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+           count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+           count(*) FILTER (step NOT IN ('su', 'ua', 'au')) AS illegal FROM line GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(d.v.c, 0) AS cost, coalesce(d.v.a, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN fixed f ON f.conv_id IS NOT DISTINCT FROM o.conv_id""")
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged and repaired again: its faults, the cheapest edits and the digest of what they give."""
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_repair.reports(conversation_repair.repaired(damaged(chats), among=chats))
