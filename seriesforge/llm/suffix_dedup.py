@@ -17,7 +17,7 @@ copies there, and about one position in sixteen is left.
 
 Names are hashes; equal strings always have equal names, and strings count as equal when two 64-bit names agree
 among those that share the first one too (hot names compare the bytes themselves). Texts travel
-compressed; no step is kept beyond the shuffles, so a lost executor costs its own tasks.
+compressed; what round 2 finds is written to the shared folder, all else is in shuffles, so a lost executor costs its own tasks.
 
 Defined cases: null and empty texts have no bytes; keys decide what is smaller, so equal keys never remove each other,
 and a null key neither removes nor loses anything; repeated rows get equal results each; documents shorter than
@@ -38,7 +38,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesforge.llm.common import whole_text
+from seriesforge.llm.common import scratch_path, whole_text
 
 HOT = 100_000  # positions of one name
 BUCKET_BYTES = 24 << 20  # text whose sampled positions are sorted together
@@ -261,7 +261,8 @@ def _shared(hot: int):
 ROWS = "name long, doc long, tag long, starts array<int>, size int, bytes binary"
 ROWS_ARROW = pa.schema([("name", pa.int64()), ("doc", pa.int64()), ("tag", pa.int64()), ("starts", pa.list_(pa.int32())),
                         ("size", pa.int32()), ("bytes", pa.binary())])
-SPANS = "doc long, tag long, lo int, hi int"
+FOUND = "doc long, tag long, pos array<int>, hot long"
+RANKED = "doc long, tag long, lo int, hi int, string binary"
 
 
 def _contexts(length: int, buckets: int, one_text: bool):
@@ -314,7 +315,7 @@ def _spans(doc, tag, starts: pa.Array, of: np.ndarray, lo: np.ndarray, hi: np.nd
 
 
 def _ranked(length: int):
-    """Spans to remove among rows sorted by name; a name's rows are never cut."""
+    """Spans to remove among rows sorted by name; a name's rows are never cut. Of rows with a hot name each string, to be ranked yet."""
 
     def spans(table: pa.Table) -> Iterator[pa.RecordBatch]:
         table = table.combine_chunks()
@@ -346,39 +347,40 @@ def _ranked(length: int):
         hi = np.flatnonzero(gone & np.append(edge[1:] | ~gone[1:], True))
         yield _spans(doc, tag, table.column("starts").combine_chunks(), row[lo], inside[lo], inside[hi] + length)
 
+    def strings(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for at in range(0, batch.num_rows, 1000):
+            rows = [(doc, tag, start + k, start + k + length, text[k:k + length])
+                    for doc, tag, starts, text in zip(*(batch.slice(at, 1000).column(c).to_pylist() for c in ("doc", "tag", "starts", "bytes")))
+                    for k in range(len(text) - length + 1) for start in starts]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))],
+                                             ["doc", "tag", "lo", "hi", "string"])
+
+    def settled(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        for batch in spans(table):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(batch.num_rows, pa.binary())], ["doc", "tag", "lo", "hi", "string"])
+
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
         for batch in batches:
+            hot = pa.compute.is_valid(batch.column("hot"))
+            if hot.true_count:
+                yield from strings(batch.filter(hot))
+                batch = batch.filter(pa.compute.invert(hot))
             if not batch.num_rows:
                 continue
             name = batch.column("name").to_numpy()
             before = np.flatnonzero(name != name[-1])
             cut_at = int(before[-1]) + 1 if len(before) else 0
             if cut_at:
-                yield from spans(pa.Table.from_batches([*rest, batch.slice(0, cut_at)]))
+                yield from settled(pa.Table.from_batches([*rest, batch.slice(0, cut_at)]))
                 rest = []
             rest.append(batch.slice(cut_at))
         if rest:
-            yield from spans(pa.Table.from_batches(rest))
+            yield from settled(pa.Table.from_batches(rest))
 
     return rank
 
 
-def _strings(length: int):
-    """Each string of rows with a hot name as a row of its own."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                rows = [(doc, tag, start + k, text[k:k + length])
-                        for doc, tag, starts, text in zip(*(batch.slice(at, 1000).column(c).to_pylist() for c in ("doc", "tag", "starts", "bytes")))
-                        for k in range(len(text) - length + 1) for start in starts]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))],
-                                                 ["doc", "tag", "lo", "string"])
-
-    return emit
-
-
 def _tag(text):
     """Tells apart different texts under the same key."""
     return F.xxhash64(text)
@@ -409,28 +411,29 @@ def repeated_spans(docs: DataFrame, texts: DataFrame, copies: DataFrame, length:
     known = docs.filter("doc IS NOT NULL")
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
-    found = (known.mapInArrow(_positions(length, buckets), POSITIONS)
-             .repartitionById(buckets, F.col("bucket"))
-             .mapInArrow(_shared(HOT), "doc long, tag long, pos array<int>, hot long"))
+    path = scratch_path(spark, "repeats")
+    (known.mapInArrow(_positions(length, buckets), POSITIONS)
+     .repartitionById(buckets, F.col("bucket"))
+     .mapInArrow(_shared(HOT), FOUND).write.parquet(f"{path}/found"))
+    found = spark.read.schema(FOUND).parquet(f"{path}/found")
     by = ["doc"] if one_text else ["doc", "tag"]
     shared = (found.filter("hot IS NULL").groupBy(*by).agg(F.collect_list("pos").alias("pos"))
               .join(copies, by, "left_anti"))
-    hot = found.filter("hot IS NOT NULL").select(F.col("hot").alias("name"))
+    hot = found.filter("hot IS NOT NULL").select(F.col("hot").alias("name"), F.lit(True).alias("hot"))
     rows = (texts.join(shared, _same(by))
-            .mapInArrow(_contexts(length, buckets, one_text), ROWS))
-    # All that follows reads this one shuffle: without nulls no join has a filter of its own to push below it, and the functions
-    # take all columns.
-    rows = rows.withColumn("name", F.coalesce("name", F.lit(0))).repartition("name")
-
-    # The window sorts by name, and demands that a name's rows stay together: adaptive execution may not split them for the join.
+            .mapInArrow(_contexts(length, buckets, one_text), ROWS).repartition("name"))
+    # The window sorts by name, and demands that a name's rows stay together: adaptive execution may not split them for a join.
     in_order = F.row_number().over(W.partitionBy("name").orderBy("doc"))
-    cold = (rows.join(hot, "name", "left_anti").withColumn("nth", in_order)
-            .mapInArrow(_ranked(length), SPANS))
-    strings = rows.join(hot, "name", "left_semi").mapInArrow(_strings(length), "doc long, tag long, lo int, string binary")
+    if hot.isEmpty():
+        rows = rows.select("*", F.lit(None).cast("boolean").alias("hot"), in_order.alias("nth"))
+        return rows.mapInArrow(_ranked(length), RANKED).drop("string")
+    # Hot names' strings are read twice below; written, their surroundings are made and shuffled once, whatever the plan.
+    (rows.join(hot, "name", "left").withColumn("nth", in_order).mapInArrow(_ranked(length), RANKED).write.parquet(f"{path}/ranked"))
+    ranked = spark.read.schema(RANKED).parquet(f"{path}/ranked")
+    strings = ranked.filter("string IS NOT NULL")
     least = strings.groupBy("string").agg(F.min("doc").alias("least"))
-    warm = (strings.join(least, "string").filter("doc > least")
-            .select("doc", "tag", "lo", (F.col("lo") + length).cast("int").alias("hi")))
-    return cold.unionByName(warm)
+    warm = strings.join(least, "string").filter("doc > least").select("doc", "tag", "lo", "hi")
+    return ranked.filter("string IS NULL").drop("string").unionByName(warm)
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, out: str = "dedup",
