@@ -36,6 +36,11 @@ def join_facts(dim: DataFrame, facts: DataFrame, key: str = "series_id", hot_row
     return matched.select(*columns).unionByName(unmatched, allowMissingColumns=True)
 
 
+def join_keys(few: DataFrame, many: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Inner join of a side with few rows a key to one with any number; a key with more than ``hot_rows`` rows is split."""
+    return _join_by_part(few, many, many.groupBy(key).agg(F.count("*").alias("_rows")), key, hot_rows)
+
+
 def _join_by_part(dim: DataFrame, facts: DataFrame, counts: DataFrame, key: str, hot_rows: int) -> DataFrame:
     """Inner join on (key, part); a key is split into as many parts as it has ``hot_rows`` facts.
 

@@ -299,3 +299,58 @@ def segment_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         series_id=F.col("series_id"), data=F.col("data"),
         childseries=F.when(F.col("seg") == "ALL", F.col("childseries")),
     )
+
+
+def category_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category records of the total layout: customers under the customer with a tenth of their number, some also under their market segment;
+    segments list every seventh customer's series; regions are each other's parents in a circle, with the nations below."""
+    customer = table(spark, sf_dir, "customer")
+    k, segment = F.col("c_custkey"), F.concat(F.lit("S-"), F.col("c_mktsegment"))
+    series_id = F.concat(F.lit("CUS."), k.cast("string"), F.lit(".M"))
+
+    def record(df: DataFrame, node: Column, parent: Column, name: Column, children: Column) -> DataFrame:
+        return _record(df, TOTAL_SCHEMA, category_id=node, parent_category_id=parent, name=name, childseries=children)
+
+    own, above = F.concat(F.lit("C"), k.cast("string")), F.concat(F.lit("C"), F.expr("c_custkey div 10").cast("string"))
+    none = F.array().cast("array<string>")
+    root = record(spark.range(1).toDF("id"), F.lit("0"), F.lit(None), F.lit("All customers"), none)
+    customers = record(customer, own, F.when(k < 10, "0").otherwise(above), F.col("c_name"), F.array(series_id))
+    second = record(customer.filter(k % 50 == 0), own, segment, F.col("c_name"), F.array(series_id))
+    listed = customer.groupBy("c_mktsegment").agg(F.collect_list(F.when(k % 7 == 0, series_id)).alias("children"))
+    segments = record(listed, segment, F.lit("0"), F.col("c_mktsegment"), F.col("children"))
+    region = F.concat(F.lit("R"), F.col("r_regionkey").cast("string"))
+    ring = record(table(spark, sf_dir, "region"), region, F.concat(F.lit("R"), ((F.col("r_regionkey") + 1) % 5).cast("string")), F.col("r_name"), none)
+    nations = record(table(spark, sf_dir, "nation"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")),
+                     F.concat(F.lit("R"), F.col("n_regionkey").cast("string")), F.col("n_name"),
+                     F.array(F.concat(F.lit("CUS."), F.col("n_nationkey").cast("string"), F.lit(".M"))))
+    return root.unionByName(customers).unionByName(second).unionByName(segments).unionByName(ring).unionByName(nations)
+
+
+def customer_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly order value of each customer, in cents."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", month_of("o_orderdate").alias("date"), hundredths("o_totalprice").alias("cents"))
+    return orders.groupBy(F.concat(F.lit("CUS."), F.col("o_custkey").cast("string"), F.lit(".M")).alias("series_id"), "date").agg(F.sum("cents").alias("value"))
+
+
+def part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part's series with a name and a unit."""
+    key = F.col("p_partkey").cast("string")
+    return table(spark, sf_dir, "part").select(
+        part_id("p_partkey").alias("series_id"),
+        F.concat(F.lit("Revenue : "), "p_name", F.lit(" ("), key, F.lit(") : "), "p_type", F.lit(" : all : monthly")).alias("name"),
+        F.when(F.col("p_partkey") % 3 == 0, "pieces").otherwise("dollars").alias("units"))
+
+
+def part_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four rules for each part, and three that no literal can index."""
+    key = F.col("p_partkey").cast("string")
+    patterns = [
+        ("exact", F.concat(F.lit(r"\("), key, F.lit(r"\) : "), "p_type"), "dollars"),
+        ("named", F.concat(F.lit("(?=revenue).*"), F.upper("p_name"), F.lit(r" \("), key, F.lit(r"\)")), "DOLLARS|pieces"),
+        ("labels", F.concat(F.lit(r"^labels .*\("), key, F.lit(r"\)")), "."),
+        ("tenfold", F.concat(F.lit(r" \("), key, F.lit(r"[0-9]?\) : [a-z]+ : all : MONTHLY$")), "^pieces$")]
+    rules = F.inline(F.array(*[F.struct((F.col("p_partkey") * 4 + i).alias("rule_id"), F.lit(t).alias("title"), n.alias("name_pattern"), F.lit(u).alias("unit_pattern"))
+                               for i, (t, n, u) in enumerate(patterns)]))
+    rest = [(-1, "any", "^r|^l", "^d"), (-2, "none", "[0-9]$", "."), (-3, "first", r"\(0\)|\(1\)", "s$")]
+    return table(spark, sf_dir, "part").select(rules).unionByName(
+        spark.createDataFrame(rest, "rule_id long, title string, name_pattern string, unit_pattern string"))
