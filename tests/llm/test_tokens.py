@@ -97,3 +97,41 @@ def test_other_tokenizer_has_its_own_counts(docs, tmp_path):
     a = token_cache.token_counts(docs, JSON, cache).groupBy().sum("n_tokens").first()[0]
     b = token_cache.token_counts(docs, public_tokenizers.path("word_bpe_49k.json"), cache).groupBy().sum("n_tokens").first()[0]
     assert a != b
+
+
+@functools.cache
+def counters():
+    tokenizer = Tokenizer.from_file(JSON)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return token_cache.Counter(open(JSON).read()), lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.text(max_size=60), st.lists(st.sampled_from(["<|endoftext|>", "<|endo", "ftext|>", " ", "  ", "\n", "\t ", "'s", "'ll", " a", "Straße", "12", "é", "!?"]),
+                                                max_size=14).map("".join)))
+def test_counts_by_pre_tokens_are_the_librarys(text):
+    own, library = counters()
+    assert own.added is not None and own.counts([text]) == [library(text)]
+
+
+def test_every_character_is_counted_as_in_the_library():
+    own, library = counters()
+    for start in range(0, 0x110000, 0x800):
+        if not 0xD800 <= start < 0xE000:
+            for text in ("".join(f"{chr(c)}a{chr(c)} " for c in range(start, start + 0x800)), "".join(map(chr, range(start, start + 0x800)))):
+                assert own.counts([text]) == [library(text)], hex(start)
+
+
+def test_counts_of_long_texts_and_a_full_memory(monkeypatch):
+    own, library = counters()
+    long = "word and <|endoftext|> more of it, x1y2 " * 40_000 + "z" * 70_000
+    monkeypatch.setattr(token_cache.Counter, "KEPT", 3)
+    fresh = token_cache.Counter(open(JSON).read())
+    assert fresh.counts([long, "", long[:1000]]) == [library(long), 0, library(long[:1000])] == own.counts([long, "", long[:1000]])
+
+
+def test_other_tokenizers_encode_whole_texts():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    other, tokenizer = token_cache.Counter(open(path).read()), Tokenizer.from_file(path)
+    assert other.counts(["Some words, ", ""]) == [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in ("Some words, ", "")]
