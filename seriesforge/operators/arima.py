@@ -109,7 +109,7 @@ def _arima_folds(y, x, origins, h, params) -> tuple[np.ndarray, np.ndarray]:
     return fits["yhat"], fits["converged"]
 
 
-def _each_fold(forecaster: Forecaster):
+def each_fold(forecaster: Forecaster):
     """Run a user's function on each training part; a failing fold gives no forecast."""
 
     def run(y, x, origins, h, params) -> tuple[np.ndarray, np.ndarray]:
@@ -222,7 +222,7 @@ def custom_cv(df: DataFrame, forecaster: Forecaster, h: int, ranges: Mapping[str
     label = F.concat_ws("_", *itertools.chain(*zip(map(F.lit, ranges), texts))) if ranges else F.lit("custom")
     work = _origin_blocks(work.withColumn("config_id", label), h, initial, full_horizon_only, block)
     work = _spread_out(work, "series_id", "config_id", "_from", partitions=partitions)
-    return _cross_validate(work, ["w", *ranges], h, _each_fold(forecaster))
+    return _cross_validate(work, ["w", *ranges], h, each_fold(forecaster))
 
 
 def arima_fit(work: DataFrame, h: int, skip: int | None = None, partitions: int | None = None) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesforge.operators import arima, autoregress, backtest, diagnose, evaluate, forecast, grid, series
+from seriesforge.operators.table_functions import register_cross_validation
 from seriesforge.plans import study
+from seriesforge.sources import bucketed
 from seriesforge.sources.sinks import append_pending
 from seriesforge.sources.tables import scratch_path
 from workload import catalogs as c
@@ -100,6 +104,14 @@ def cv_errors_snaive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backtest.cv_seasonal_naive(regional_regular(spark, sf_dir), 24, window=24, initial=13)
 
 
+@query(_cv_snaive("reg_ser", 24, 37), "reg_ser")
+def cv_over_stored_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same folds over series that are stored by key: nothing is shuffled any more."""
+    name = f"regional_{uuid.uuid4().hex}"
+    df = bucketed.store(regional_regular(spark, sf_dir), name, path=scratch_path(spark, "by-series"))
+    return backtest.cv_seasonal_naive(df, 24, window=24, initial=13)
+
+
 _METRICS = "count(error) AS n, count(*) - count(yhat) AS n_failed, avg(abs(error)) AS mae, sqrt(avg(error * error)) AS rmse"
 
 
@@ -289,6 +301,19 @@ def custom_forecaster_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.select("config_id", "k", "n", "n_failed", F.round("mae", 2).alias("mae"), F.round("rmse", 2).alias("rmse"))
 
 
+@query("""
+, o AS (SELECT series_id, idx, y, max(idx) OVER (PARTITION BY series_id) AS n,
+           avg(y) OVER (PARTITION BY series_id ORDER BY idx ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS f FROM reg_ser)
+SELECT o.series_id, CAST(o.idx AS INTEGER) AS origin, CAST(k AS INTEGER) AS k, a.y, round(f, 3) AS yhat
+FROM o CROSS JOIN (SELECT unnest(range(1, 5)) AS k) LEFT JOIN reg_ser a ON a.series_id = o.series_id AND a.idx = o.idx + k WHERE o.idx >= 25 AND o.idx < n""", "reg_ser")
+def forecaster_from_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same user's forecast function as a table function of SQL, over each series in order."""
+    register_cross_validation(spark, "mean_of_six", mean_of_training, last=6)
+    regional_regular(spark, sf_dir).createOrReplaceTempView("regional_months")
+    return spark.sql("""SELECT series_id, origin, k, y, round(yhat, 3) AS yhat
+                        FROM mean_of_six(TABLE(SELECT series_id, idx, y FROM regional_months) PARTITION BY series_id ORDER BY idx, h => 4, initial => 24)""")
+
+
 @query(f"""
 SELECT series_id, config_id, n, round(mae, 3) AS mae, round(rmse, 3) AS rmse, TRUE AS is_timed FROM (
   SELECT series_id, 'initial_' || i AS config_id, {_METRICS}

@@ -14,6 +14,7 @@ from seriesforge.operators.evaluate import stack
 from seriesforge.operators.facts import explode_history
 from seriesforge.operators.star import join_facts
 from seriesforge.plans.etl import ELECTRICITY_TABLES, TOTAL_TABLES, run_electricity, run_total
+from seriesforge.sources import intake, vault
 from seriesforge.sources.bulk import ELECTRICITY_SCHEMA, TOTAL_SCHEMA, keep_frequency, read_bulk
 from seriesforge.sources.sinks import backup_table, log_sample, write_table
 from seriesforge.sources.tables import list_files, read_table, scratch_path
@@ -285,3 +286,85 @@ def file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = list_files(spark, root, r"year=\d{4}/part-.*\.parquet$")
     folder = F.regexp_extract("path", r"(year=\d{4})", 1)
     return files.filter(F.col("length") > 0).select(folder.alias("folder")).distinct()
+
+
+_YEARS = "SELECT count(DISTINCT year(date)) AS n FROM part_fact"
+
+
+def _backed_up_twice(spark: SparkSession, sf_dir: str) -> str:
+    """A vault after two runs: between them one year's rows lose their values, one is rewritten alike and one is new."""
+    table, store = scratch_path(spark, "yearly"), scratch_path(spark, "vault")
+    facts = c.part_facts(spark, sf_dir).withColumn("year", F.year("date"))
+
+    def write(rows: DataFrame) -> None:
+        in_order = rows.repartition("year").sortWithinPartitions("year", "series_id", "date")
+        in_order.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(table)
+
+    write(facts)
+    vault.back_up(spark, table, store)
+    last = facts.agg(F.max("year")).first()[0]
+    emptied = facts.filter(F.col("year") == last - 1).withColumn("value", F.lit(None).cast("string"))
+    later = facts.filter(F.col("year") == last).withColumns({"date": F.add_months("date", 24), "year": F.lit(last + 2)})
+    write(emptied.unionByName(facts.filter(F.col("year") == last)).unionByName(later))
+    vault.back_up(spark, table, store)
+    return store
+
+
+@query(f"""
+SELECT unnest([1, 2, 2, 2, 2]) AS run, unnest(['copied', 'kept', 'copied', 'linked', 'dropped']) AS action, unnest([n, n - 2, 2, 1, 2]) AS n_files FROM ({_YEARS})""",
+       "part_fact")
+def backup_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that two backups of a table by years copied, kept, linked to what they held, and dropped."""
+    return vault.summary(spark, _backed_up_twice(spark, sf_dir)).select(F.col("number").alias("run"), "action", "n_files")
+
+
+@query("""
+, y AS (SELECT max(year(date)) AS last FROM part_fact)
+SELECT series_id, date, CASE WHEN year(date) <> last - 1 THEN value END AS value FROM part_fact, y
+UNION ALL SELECT series_id, CAST(date + INTERVAL 24 MONTH AS DATE), value FROM part_fact, y WHERE year(date) = last""", "part_fact")
+def backup_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that the second of two incremental backups holds."""
+    return vault.restored(spark, _backed_up_twice(spark, sf_dir), "series_id string, date date, value string")
+
+
+def _faulty_file(spark: SparkSession, sf_dir: str) -> str:
+    """Part records as JSON lines, with broken lines, records without id, bad stamps, periods and numbers."""
+    k = F.regexp_extract("series_id", r"REV\.([0-9]+)-", 1).cast("long")
+    pair = lambda p, v: F.array(p, v)
+    own = c.part_records(spark, sf_dir).withColumn("_k", k)
+    first = F.get("data", F.lit(0))
+    more = F.when(F.col("_k") % 20 == 1, F.array(pair(F.lit("2000XX"), F.lit("1")))).when(
+        F.col("_k") % 20 == 2, F.array(pair(F.lit("200001"), F.lit("n.a.")), pair(F.lit("soon"), F.lit("--")))).otherwise(F.array().cast("array<array<string>>"))
+    faulty = own.withColumns({
+        "data": F.concat(F.array(first), more), "last_updated": F.when(F.col("_k") % 10 == 3, "yesterday").otherwise(F.col("last_updated")),
+        "series_id": F.when(F.col("_k") % 50 != 4, F.col("series_id"))})
+    line = F.to_json(F.struct(*ELECTRICITY_SCHEMA.fieldNames()))
+    path = scratch_path(spark, "faulty-json")
+    faulty.select(F.when(F.col("_k") % 50 == 5, F.substring(line, 1, 30)).otherwise(line).alias("value")).write.text(path)
+    return path
+
+
+_FAULTY = """
+WITH k AS (SELECT DISTINCT l_partkey AS k FROM lineitem),
+c AS (SELECT count(*) AS n_lines, count(*) FILTER (k % 50 = 5) AS n_broken, count(*) FILTER (k % 50 = 4) AS n_without_id, count(*) FILTER (k % 50 NOT IN (4, 5)) AS n_records,
+             count(*) FILTER (k % 10 = 3) AS n_bad_stamps,
+             count(*) FILTER (k % 50 NOT IN (4, 5)) + count(*) FILTER (k % 20 = 1) + 2 * count(*) FILTER (k % 20 = 2) AS n_pairs,
+             count(*) FILTER (k % 20 IN (1, 2)) AS n_bad_dates, 2 * count(*) FILTER (k % 20 = 2) AS n_bad_numbers FROM k)"""
+
+
+@query(f"{_FAULTY} SELECT unnest(['n_lines', 'n_broken', 'n_without_id', 'n_records', 'n_bad_stamps', 'n_pairs', 'n_bad_dates', 'n_bad_numbers']) AS counter, "
+       "unnest([n_lines, n_broken, n_without_id, n_records, n_bad_stamps, n_pairs, n_bad_dates, n_bad_numbers]) AS n FROM c")
+def intake_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the write of a faulty bulk file counts about it."""
+    counted = intake.take_in(spark, _faulty_file(spark, sf_dir), ELECTRICITY_SCHEMA, scratch_path(spark, "intake"))
+    return spark.createDataFrame(sorted(counted.items()), "counter string, n long")
+
+
+@query("""
+SELECT CASE k % 50 WHEN 5 THEN 'not a record' WHEN 4 THEN 'no id' ELSE 'record' END AS fate, count(*) AS n FROM (SELECT DISTINCT l_partkey AS k FROM lineitem) GROUP BY 1""")
+def intake_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a faulty bulk file by where they end up."""
+    target = scratch_path(spark, "intake")
+    intake.take_in(spark, _faulty_file(spark, sf_dir), ELECTRICITY_SCHEMA, target)
+    good = intake.records(spark, target, ELECTRICITY_SCHEMA).select(F.lit("record").alias("fate"))
+    return stack([good, intake.quarantine(spark, target, ELECTRICITY_SCHEMA).select(F.col("reason").alias("fate"))]).groupBy("fate").agg(F.count("*").alias("n"))
