@@ -7,6 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 from test_documents import edits, removed_bytes, slow_components, slow_counts, slow_fingerprint
+from test_near_copies import slow_least
 from test_tokens import reference
 
 import corpus_pipeline
@@ -50,12 +51,7 @@ def test_run(spark, tables):
         if judged[d].kept:
             kept.append((d, t))
     assert 0 < len(kept) < len(docs)
-    fps = {d: slow_fingerprint(t) for d, t in kept}
-    roots = slow_components(list(fps.values()))
-    first = {}
-    for d, _ in kept:
-        first[roots[fps[d]]] = min(d, first.get(roots[fps[d]], d))
-    kept = [(d, t) for d, t in kept if first[roots[fps[d]]] == d]
+    kept = [(d, t) for (d, t), (_, least) in zip(kept, slow_least(kept)) if d == least]
     cut = []
     for d, t, gone in removed_bytes(kept, 50):
         at, left = 0, []
@@ -90,14 +86,9 @@ def test_stages_keep_columns_and_take_odd_rows(spark, docs, nothing):
 
 def test_near_dedup_of_odd_rows(spark, docs, texts):
     left = sorted(((r.doc_id, r.text) for r in stages.near_dedup(spark, docs, SF_DIR).collect()), key=repr)
-    fps = [(d, t, slow_fingerprint(t)) for d, t in texts]
-    roots = slow_components([f for *_, f in fps])
-    least = {}
-    for d, _, f in fps:
-        if d is not None:
-            least[roots[f]] = min(d, least.get(roots[f], d))
-    expected = {(d, t) for d, t, f in fps if d is None or least[roots[f]] == d}
-    assert left == sorted(expected, key=repr)
+    expected = {(d, t) for (d, t), (_, least) in zip(texts, slow_least(texts)) if d is None or d == least}
+    rows = sorted([r for r in texts if r[0] is None] + [r for r in expected if r[0] is not None], key=repr)
+    assert left == rows
 
 
 def test_queries(spark, tables):
