@@ -7,11 +7,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesforge.operators import arima
+from seriesforge.operators import arima, linear, stepwise
 from seriesforge.operators.evaluate import accuracy, labelled, leaderboard, stack, with_seasonal_scale
 from seriesforge.operators.forecast import seasonal_naive_test
 from seriesforge.operators.grid import arima_grid
-from seriesforge.operators.series import SEASON, by_series, split_train_test
+from seriesforge.operators.series import SEASON, by_series, split_train_test, whole
 from seriesforge.sources.sinks import write_table
 
 # The two models chosen by hand, both with the regressor.
@@ -65,6 +65,28 @@ def model_accuracy(df: DataFrame, test_length: int, auto_ranges: Mapping[str, Se
     return accuracy(stack(parts), "model", "series_id", "part").drop("part")
 
 
+def linear_accuracy(df: DataFrame, test_length: int, models: Mapping[str, linear.Model], auto: bool = False) -> DataFrame:
+    """(model, series_id, n, rmse, mape) on held-out months of linear models, on request of the stepwise choice with and without the
+    regressors, and of seasonal naive. No row goes to Python.
+    """
+    last = F.max("idx").over(whole())
+    known = df.withColumn("y", F.when(F.col("idx") <= last - test_length, F.col("y")))
+    ahead = {name: linear.forecast(known, model, test_length) for name, model in models.items()}
+    if auto:
+        regressors = tuple(c for c in df.columns if c not in ("series_id", "idx", "date", "y"))
+        for name, own in (("Auto", regressors), ("Auto Simple", ())):
+            chosen = stepwise.choice(stepwise.search(known, max_p=3, max_ps=1, regressors=own))
+            ahead[name] = stepwise.forecast(known, chosen, test_length, regressors=own)
+    rows = [f.select("series_id", (F.col("origin") + F.col("k")).alias("idx"), "yhat", F.lit(name).alias("model")) for name, f in ahead.items()]
+    split = split_train_test(df, test_length).withColumn("yhat", seasonal_naive_test(test_length)).filter("part = 'test'")
+    rows.append(split.select("series_id", "idx", "yhat", F.lit("Seasonal Naive").alias("model")))
+    actual = df.withColumn("_last", last).filter(F.col("idx") > F.col("_last") - test_length).select("series_id", "idx", "y")
+    e = F.col("y") - F.col("yhat")
+    return stack(rows).join(actual, ["series_id", "idx"]).groupBy("series_id", "model").agg(
+        F.count(e).alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(100 * e / F.when(F.col("y") != 0, F.col("y")))).alias("mape"),
+    ).select(labelled(F.col("model"), F.lit("Test set")).alias("model"), "series_id", "n", "rmse", "mape")
+
+
 def _training_part(df: DataFrame, test_length: int) -> DataFrame:
     """Packed series cut before the test months; the regressor, known beforehand, stays whole. A series of test months
     only has nothing to train on and no row here."""

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesforge.sources.tables import stored
+from seriesforge.sources.tables import scratch_path, stored
 
 log = logging.getLogger(__name__)
 
@@ -106,11 +106,15 @@ def append_pending(work: DataFrame, keys: list[str], path: str,
     committed = stored(spark, commits, "batch string")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in work.select(*keys).schema.fields)
     done = stored(spark, results, f"{schema}, batch string").join(committed, "batch", "left_semi").select(*keys).distinct()
+    # The pending work is written once: what decides whether there is any, and what is evaluated, is read from there.
     pending = work.join(done, keys, "left_anti")
-    idle = pending.isEmpty()
-    if idle and committed.isEmpty():
-        return evaluate(pending).withColumn("run_time", F.current_timestamp())
-    if not idle:
+    todo = scratch_path(spark, "pending")
+    pending.write.parquet(todo)
+    pending = spark.read.schema(work.schema).parquet(todo)
+    if pending.isEmpty():
+        if committed.isEmpty():
+            return evaluate(pending).withColumn("run_time", F.current_timestamp())
+    else:
         batch = uuid.uuid4().hex
         (evaluate(pending).withColumns({"run_time": F.current_timestamp(), "batch": F.lit(batch)})
          .write.mode("append").partitionBy("batch").parquet(results))

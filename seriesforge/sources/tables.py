@@ -46,6 +46,10 @@ def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder name below ``spark.checkpoint.dir``, else below the warehouse: both are shared by all executors."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A fresh folder name below ``spark.checkpoint.dir``, which all executors share; in local mode below the warehouse where it is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/seriesforge/{name}-{uuid.uuid4().hex}"

@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import indexed, month
-from seriesforge.operators import linear
+from seriesforge.operators import linear, stepwise
 from seriesforge.operators.linear import Model
+from seriesforge.plans import study
 
 RND = np.random.default_rng(4)
 X, Z = RND.normal(50, 9, 90), RND.normal(0, 1, 90)
@@ -181,3 +182,58 @@ def test_impossible_settings(spark):
         Model(p=-1)
     with pytest.raises(ValueError):
         linear.cv(frame(spark), Model(), 0)
+
+
+def test_stepwise_against_exhaustive_walk(spark):
+    """The search by hand: the same moves over all models' scores, fitted one by one on common months."""
+    df = frame(spark)
+    visited = stepwise.search(df, max_p=2, max_ps=1, regressors=("x",)).collect()
+    scores = {}
+    for name, y in SERIES.items():
+        w, z = design(y, Model(p=2, ps=1, dr=True, regressors=("x",)))
+        ok = ~np.isnan(w) & ~np.isnan(z).any(axis=1)
+        for p, ps, dr in [(p, ps, dr) for p in range(3) for ps in range(2) for dr in (False, True)]:
+            own = Model(p=p, ps=ps, dr=dr, regressors=("x",))
+            zz, k, n = design(y, own)[1][ok], len(own.terms), int(ok.sum())
+            if n > k and np.linalg.matrix_rank(zz - zz.mean(0) * (np.ptp(zz, axis=0) > 0)) == k:
+                loss = max(((w[ok] - zz @ np.linalg.lstsq(zz, w[ok], rcond=None)[0]) ** 2).sum(), 1e-300)
+                if n - k - 2 > 0:
+                    scores[name, p, ps, dr] = n * np.log(loss / n) + 2 * (k + 1) + 2 * (k + 1) * (k + 2) / (n - k - 2)
+    for name in ("a", "gap"):
+        seen, fresh, best, rounds = {}, {(2, 1, False), (0, 0, False), (1, 0, False), (0, 1, False)}, None, 0
+        while fresh:
+            seen.update({m: rounds for m in fresh})
+            top = min((scores[(name, *m)], *m) for m in seen)
+            rounds += 1
+            if best == top:
+                break
+            best, (_, p, ps, dr) = top, top
+            fresh = {(p + a, ps + b, dr) for a, b in stepwise.MOVES if 0 <= p + a <= 2 and 0 <= ps + b <= 1} | {(p, ps, not dr)}
+            fresh -= set(seen)
+        own = {(r.p, r.ps, r.dr): r for r in visited if r.series_id == name}
+        assert {m: r.round for m, r in own.items()} == seen
+        assert all(r.aicc == pytest.approx(scores[(name, *m)], rel=1e-7) for m, r in own.items())
+    chosen = {r.series_id: r for r in stepwise.choice(spark.createDataFrame(visited)).collect()}
+    assert set(chosen) == set(SERIES) and chosen["short"].p is None and chosen["flat"].aicc is None
+
+
+def test_forecasts_of_chosen_models(spark):
+    df = frame(spark)
+    chosen = spark.createDataFrame([("a", 2, 1, True), ("gap", 1, 0, False), ("short", None, None, None)], "series_id string, p int, ps int, dr boolean")
+    got = stepwise.forecast(df, chosen, 4).collect()
+    for name, model in (("a", Model(p=2, ps=1, dr=True)), ("gap", Model(p=1))):
+        own = {r.k: r.yhat for r in linear.forecast(df, model, 4).filter(F.col("series_id") == name).collect()}
+        assert {r.k: r.yhat for r in got if r.series_id == name} == own and {r.model for r in got if r.series_id == name} == {model.label}
+    assert {r.series_id for r in got} == {"a", "gap"}
+
+
+def test_study(spark):
+    df = frame(spark).drop("z").filter("series_id = 'a'")
+    table = {r.model: r for r in study.linear_accuracy(df, 12, {"Own": Model(p=2, ps=1, regressors=("x",))}, auto=True).collect()}
+    assert set(table) == {f"{m} Test set" for m in ("Own", "Auto", "Auto Simple", "Seasonal Naive")} and all(r.n == 12 for r in table.values())
+    y = SERIES["a"]
+    c, _, _ = slow_fit(y[:78], Model(p=2, ps=1, regressors=("x",)))
+    e = np.array(y[78:]) - np.array(slow_ahead(y, Model(p=2, ps=1, regressors=("x",)), c, 78, 12))
+    assert table["Own Test set"].rmse == pytest.approx(np.sqrt((e * e).mean()))
+    naive = np.array(y[78:]) - np.array(y[66:78])
+    assert table["Seasonal Naive Test set"].rmse == pytest.approx(np.sqrt((naive * naive).mean())) and table["Own Test set"].rmse < table["Seasonal Naive Test set"].rmse

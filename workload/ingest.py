@@ -259,11 +259,13 @@ def view_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, result)
 
 
-@query("SELECT least(count(*), 10) AS n_rows, least(count(*), 5) AS n_shown FROM part_fact", "part_fact")
+@query("SELECT least(count(*), 10) AS n_rows, least(count(*), 5) AS n_shown, count(*) AS n_table, count(DISTINCT series_id) AS n_series FROM part_fact", "part_fact")
 def sample_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sample that a written output logs; its size is the feature."""
-    sample = log_sample(c.part_facts(spark, sf_dir), "part facts", rows=10, shown=5)
-    return spark.createDataFrame([(len(sample), len(sample[:5]))], "n_rows long, n_shown long")
+    """The sample that a written output logs, beside the size of the whole table; the sample's size is the feature."""
+    facts = c.part_facts(spark, sf_dir)
+    sample = log_sample(facts, "part facts", rows=10, shown=5)
+    return facts.agg(F.lit(len(sample)).cast("long").alias("n_rows"), F.lit(len(sample[:5])).cast("long").alias("n_shown"),
+                     F.count("*").alias("n_table"), F.countDistinct("series_id").alias("n_series"))
 
 
 @query("""

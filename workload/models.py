@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seriesforge.operators import backtest, linear, series, stepwise
 from seriesforge.operators.linear import Model
+from seriesforge.plans import study
 from workload import catalogs as c
 from workload.analysis import regional_regular, with_order_value
 from workload.registry import query
@@ -28,16 +29,16 @@ cnt AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS date, CAST(coun
 src AS (SELECT r.*, z FROM reg_x r LEFT JOIN cnt ON r.date = CAST(cnt.date + INTERVAL 1 MONTH AS DATE))"""
 
 
-def _design(raw: list[str], terms: list[str], src: str = "src") -> str:
-    """Steps d0-d2: columns as they are, scaled by series (v0 the target), and the list of all terms and the target where all are known."""
+def _design(raw: list[str], terms: list[str], src: str = "src", tag: str = "") -> str:
+    """Steps d0-d2 (with a tag): columns as they are, scaled by series (v0 the target), and the list of all terms and the target where all are known."""
     o = "(PARTITION BY series_id ORDER BY idx)"
     scaled = ", ".join(f"(r{i} - avg(r{i}) OVER s) / coalesce(nullif(stddev_pop(r{i}) OVER s, 0), 1) AS v{i}, avg(r{i}) OVER s AS m{i}, "
                        f"coalesce(nullif(stddev_pop(r{i}) OVER s, 0), 1) AS s{i}" for i in range(len(raw)))
     listed = f"[{', '.join(terms)}, v0]"
     return f"""
-d0 AS (SELECT series_id, idx, date, y, max(idx) OVER (PARTITION BY series_id) AS last, {", ".join(f"{r} AS r{i}" for i, r in enumerate(raw))} FROM {src} WINDOW o AS {o}),
-d1 AS (SELECT *, {scaled} FROM d0 WINDOW s AS (PARTITION BY series_id)),
-d2 AS (SELECT *, CASE WHEN len([x FOR x IN {listed} IF x IS NULL]) = 0 THEN {listed} END AS v FROM d1 WINDOW o AS {o})"""
+d0{tag} AS (SELECT series_id, idx, date, y, max(idx) OVER (PARTITION BY series_id) AS last, {", ".join(f"{r} AS r{i}" for i, r in enumerate(raw))} FROM {src} WINDOW o AS {o}),
+d1{tag} AS (SELECT *, {scaled} FROM d0{tag} WINDOW s AS (PARTITION BY series_id)),
+d2{tag} AS (SELECT *, CASE WHEN len([x FOR x IN {listed} IF x IS NULL]) = 0 THEN {listed} END AS v FROM d1{tag} WINDOW o AS {o})"""
 
 
 def _moments(size: int, over: str = "") -> str:
@@ -46,16 +47,16 @@ def _moments(size: int, over: str = "") -> str:
     return f"count(v){over} AS n, [{rows}] AS m"
 
 
-def _elimination(src: str, keys: str, size: str) -> str:
-    """Steps e and sol: the equations solved for each key, where there are more months than terms and no pivot vanishes."""
+def _elimination(src: str, keys: str, size: str, tag: str = "") -> str:
+    """Steps e and sol (with a tag): the equations solved for each key, where there are more months than terms and no pivot vanishes."""
     return f"""
-e AS (
+e{tag} AS (
     SELECT {keys}, n, 0 AS i, {size} AS size, m FROM {src} WHERE n > {size}
     UNION ALL
     SELECT {keys}, n, i + 1, size, [CASE WHEN r = i THEN [x / piv FOR x IN m[i + 1]]
                                    ELSE [m[r + 1][k + 1] - m[r + 1][i + 1] * m[i + 1][k + 1] / piv FOR k IN range(size + 1)] END FOR r IN range(size)]
-    FROM (SELECT *, CASE WHEN m[i + 1][i + 1] > 1e-9 * n THEN m[i + 1][i + 1] END AS piv FROM e WHERE i < size)),
-sol AS (SELECT {keys}, [r[-1] FOR r IN m] AS c FROM e WHERE i = size AND len([r FOR r IN m IF r[-1] IS NULL]) = 0)"""
+    FROM (SELECT *, CASE WHEN m[i + 1][i + 1] > 1e-9 * n THEN m[i + 1][i + 1] END AS piv FROM e{tag} WHERE i < size)),
+sol{tag} AS (SELECT {keys}, [r[-1] FOR r IN m] AS c FROM e{tag} WHERE i = size AND len([r FOR r IN m IF r[-1] IS NULL]) = 0)"""
 
 
 _LOSS = "greatest(f.m[{0}][{0}] - list_inner_product(sol.c, [f.m[{0}][i + 1] FOR i IN range({0} - 1)]), 1e-12 * f.m[{0}][{0}])"
@@ -80,11 +81,11 @@ def ar_seasonal_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"estimate": estimate, "sigma2": F.round("sigma2", 0), "aicc": F.round("aicc", 5)})
 
 
-def _ahead(start: str, h: int, value: str) -> str:
-    """Step a: from rows (c, past, ...) the list ``past`` grown by ``h`` forecasts."""
+def _ahead(start: str, h: int, value: str, tag: str = "") -> str:
+    """Step a (with a tag): from rows (c, past, ...) the list ``past`` grown by ``h`` forecasts."""
     return f"""
-a AS (SELECT *, 0 AS k FROM {start}
-      UNION ALL SELECT * REPLACE (list_append(past, {value}) AS past, k + 1 AS k) FROM a WHERE k < {h})"""
+a{tag} AS (SELECT *, 0 AS k FROM {start}
+      UNION ALL SELECT * REPLACE (list_append(past, {value}) AS past, k + 1 AS k) FROM a{tag} WHERE k < {h})"""
 
 
 _PAST = "list(v0) OVER (PARTITION BY series_id ORDER BY idx ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)"
@@ -182,3 +183,43 @@ def ar_stepwise_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The model that the stepwise search ends with for every regional series."""
     found = stepwise.choice(stepwise.search(regional_regular(spark, sf_dir), max_p=3, max_ps=1))
     return found.withColumn("aicc", F.round("aicc", 5))
+
+
+def _held_out(tag: str, raw: list[str], terms: list[str], value: str) -> str:
+    """Steps from the training months of src to st (past, next, values told, coefficients at the origin) and the 24 forecasts of a."""
+    size = len(terms)
+    x = f"list(v{len(raw) - 1}) OVER (PARTITION BY series_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND 24 FOLLOWING)"
+    return f"""
+{_design(raw, terms, tag=tag)},
+w{tag} AS (SELECT *, {_PAST} AS past, {x} AS next, list(y) OVER (PARTITION BY series_id ORDER BY idx ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS told,
+             max(CASE WHEN y IS NOT NULL THEN idx END) OVER (PARTITION BY series_id) AS origin FROM d2{tag}),
+f{tag} AS (SELECT series_id, {_moments(size)} FROM d2{tag} GROUP BY 1),
+{_elimination(f"f{tag}", "series_id", str(size), tag)},
+st{tag} AS (SELECT * FROM w{tag} LEFT JOIN sol{tag} USING (series_id) WHERE idx = coalesce(origin, last)),
+{_ahead(f"st{tag}", 24, value, tag)}"""
+
+
+HELD_OUT = {"Hyper AR": Model(p=2, ps=1, dr=True, regressors=("x",)), "Hyper AR Seasonal": Model(p=2, ps=1, ds=1, dr=True, regressors=("x",))}
+
+
+@query(f"""
+, src AS (SELECT series_id, idx, date, CASE WHEN idx <= max(idx) OVER (PARTITION BY series_id) - 24 THEN y END AS y, x FROM reg_x),
+{_held_out("1", ["y", "CAST(idx AS DOUBLE)", "x"], ["1.0", "v1", "lag(v0, 1) OVER o", "lag(v0, 2) OVER o", "lag(v0, 12) OVER o", "v2"],
+           "c[1] + c[2] * (idx + k + 1 - m1) / s1 + c[3] * past[-1] + c[4] * past[-2] + c[5] * past[-12] + c[6] * next[k + 1]")},
+{_held_out("2", ["y - lag(y, 12) OVER o", "x - lag(x, 12) OVER o"], ["1.0", "lag(v0, 1) OVER o", "lag(v0, 2) OVER o", "lag(v0, 12) OVER o", "v1"], _AR_X)},
+n AS (SELECT *, max(idx) OVER (PARTITION BY series_id) AS last FROM reg_x),
+p AS (
+    SELECT 'Hyper AR' AS model, series_id, idx + k + 1 AS idx, m0 + s0 * past[-24 + k] AS yhat FROM (SELECT * EXCLUDE (k), unnest(range(0, 24)) AS k FROM a1 WHERE k = 24)
+    UNION ALL
+    SELECT 'Hyper AR Seasonal', series_id, idx + k + 1, CASE WHEN k < 12 THEN told[k + 1] + m0 + s0 * past[-24 + k] ELSE told[k - 11] + 2 * m0 + s0 * (past[-24 + k] + past[-36 + k]) END
+    FROM (SELECT * EXCLUDE (k), unnest(range(0, 24)) AS k FROM a2 WHERE k = 24)
+    UNION ALL
+    SELECT 'Seasonal Naive', n.series_id, n.idx, v.y FROM n JOIN n v ON v.series_id = n.series_id AND v.idx = n.idx - 12 * CAST(ceil((n.idx - n.last + 24) / 12.0) AS INTEGER)
+    WHERE n.idx > n.last - 24)
+SELECT p.model || ' Test set' AS model, p.series_id, count(n.y - yhat) AS n, round(sqrt(avg(pow(n.y - yhat, 2))), 1) AS rmse,
+       round(avg(abs(100 * (n.y - yhat) / nullif(n.y, 0))), 4) AS mape
+FROM p JOIN n ON n.series_id = p.series_id AND n.idx = p.idx WHERE p.idx > n.last - 24 GROUP BY p.model, p.series_id""", "reg_x")
+def linear_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two hand-chosen models with seasonal orders and a regressor beside seasonal naive, on 24 held-out months of every regional series."""
+    table = study.linear_accuracy(with_order_value(spark, sf_dir), 24, HELD_OUT)
+    return table.select("model", "series_id", "n", F.round("rmse", 1).alias("rmse"), F.round("mape", 4).alias("mape"))
