@@ -1,13 +1,17 @@
 """HTML to text as it is laid out.
 
 A tree builder reads the page with the usual implied tags (a block ends an open paragraph, an item the item before, a cell the cell
-before, and so on) and never fails: unknown end tags are ignored, open elements end with the page, and elements nested over
-``MAX_DEPTH`` deep are siblings. The renderer emits all visible text: blocks on lines of their own, a blank line around
-paragraphs, headings, lists and tables, markers and indents of lists, preformatted text as it stands, and table cells aligned in columns.
+before, and so on) and never fails: unknown end tags are ignored, open elements end with the page, and an element nested over
+``MAX_DEPTH`` deep is a sibling of the one before, with its own text. The renderer emits all visible text: blocks on lines of their own, a
+blank line around paragraphs, headings, lists and tables, markers and indents of lists, preformatted text as it stands, and table cells aligned
+in columns, with those that span columns or rows. Cells of over ``WRAP`` characters go on below in their column; a word longer than that
+moves what follows it on its own line only.
 
 Not visible: head, scripts, styles, templates, comments; elements with ``hidden``, ``display: none`` or ``visibility: hidden`` in
-their attributes or in a style element's rules for a single tag, class or id; what a closed details element holds
-besides its summary; options that aren't selected; and form fields' values.
+their attributes or in a style element's rules; what a closed details element holds besides its summary; options that aren't selected; titles
+and definitions of drawings; and values of input fields. Rules count by importance, kind of selector and place, the style attribute before any
+sheet. Selectors are tags, classes and ids in any combination, inside or directly below others; rules with other selectors, and rules for other media
+than a screen of any size, hide nothing.
 
 Defined cases: null and empty html give an empty text; rows are independent, repeated ones give equal texts; a text of any size takes
 time in proportion to it; other columns pass through, except one called like the output; an empty table gives none.
@@ -16,8 +20,11 @@ time in proportion to it; other columns pass through, except one called like the
 from __future__ import annotations
 
 import re
+import sys
+from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,14 +33,15 @@ from pyspark.sql import functions as F
 from seriesforge.llm.common import whole_text
 
 MAX_DEPTH = 200
-MAX_PADDED = 60  # cells longer than that are not padded
+WRAP = 60  # characters of a table cell's line
+MAX_SPAN = {"colspan": 1000, "rowspan": 65534}  # fixed values of the HTML standard
 
 # Fixed values of the HTML standard.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 HEAD = {"html", "head", "title", "base", "link", "meta", "style", "script", "template", "noscript"}
-UNSEEN = {"head", "script", "style", "template", "title", "iframe", "noembed", "noframes", "object", "video", "audio", "canvas", "svg",
-          "math", "textarea", "input", "datalist"}
+UNSEEN = {"head", "script", "style", "template", "title", "iframe", "noembed", "noframes", "object", "video", "audio", "canvas", "input",
+          "datalist", "defs", "desc", "metadata", "symbol", "annotation", "annotation-xml"}
 MARGIN = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "menu", "pre", "xmp", "blockquote", "table", "figure", "hr", "fieldset"}
 BLOCK = MARGIN | {"address", "article", "aside", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dt", "figcaption",
                   "footer", "form", "header", "hgroup", "html", "legend", "li", "main", "nav", "optgroup", "section", "summary",
@@ -52,7 +60,8 @@ IMPLIED = {
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+RULE = re.compile(r"([^{}]*)\{([^{}]*)\}|([^{}]*)\{|\}")
+COMPOUND = re.compile(r"(?:\*|[a-z][\w-]*)?(?:[.#][\w-]+)*", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -98,8 +107,10 @@ def parse(page: str) -> tuple[Element, list[tuple[str, str]]]:
         if tag in HEADINGS and stack[-1].tag in HEADINGS:
             stack.pop()
         element = Element(tag, attrs)
+        if len(stack) >= MAX_DEPTH and tag not in VOID:
+            stack.pop()
         stack[-1].children.append(element)
-        if tag not in VOID and len(stack) < MAX_DEPTH:
+        if tag not in VOID:
             stack.append(element)
 
     while at < n:
@@ -150,10 +161,10 @@ def parse(page: str) -> tuple[Element, list[tuple[str, str]]]:
             close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
             raw = page[at:close.start()] if close else page[at:]
             if tag == "style":
-                sheet += [(s.strip(), body) for names, body in RULE.findall(raw) for s in names.split(",")]
-            elif tag == "xmp":
-                stack[-1].children.append(e := Element("xmp", attrs))
-                e.children.append(raw)
+                sheet += _rules(raw, attrs.get("media", ""))
+            elif tag in ("xmp", "textarea"):
+                stack[-1].children.append(e := Element(tag, attrs))
+                e.children.append(raw if tag == "xmp" else unescape(raw).removeprefix("\n"))
             at = page.find(">", close.end()) + 1 if close else n
             at = at or n
             continue
@@ -161,33 +172,91 @@ def parse(page: str) -> tuple[Element, list[tuple[str, str]]]:
     return root, sheet
 
 
+def _on_screen(media: str) -> bool:
+    """Whether a list of media holds for a screen whatever its size."""
+    return not media.strip() or any(q.strip().removeprefix("only ").strip() in ("all", "screen") for q in media.lower().split(","))
+
+
+def _rules(raw: str, media: str) -> list[tuple[str, str]]:
+    """(selector, declarations) of a style element that hold on a screen."""
+    out, holds = [], [_on_screen(media)]
+    for m in RULE.finditer(re.sub(r"(?s)/\*.*?\*/", " ", raw)):
+        if m[0] == "}":
+            holds = holds[:-1] or [False]
+        elif m[3] is not None:  # a block with rules inside
+            name, _, condition = m[3].rpartition(";")[2].strip().partition(" ")
+            holds.append(holds[-1] and (name.lower() == "@media" and _on_screen(condition) or name.lower() == "@layer"))
+        elif holds[-1] and "@" not in m[1].rpartition(";")[2]:
+            out += [(selector.strip(), m[2]) for selector in m[1].rpartition(";")[2].split(",")]
+    return out
+
+
+def _declared(text: str) -> dict[str, tuple[bool, str]]:
+    """display and visibility as declared: (important, value)."""
+    out: dict[str, tuple[bool, str]] = {}
+    for part in text.lower().split(";"):
+        name, _, value = part.partition(":")
+        name, value = name.strip(), value.strip()
+        important = value.endswith("!important")
+        if name in ("display", "visibility") and value and (important or not out.get(name, (False,))[0]):
+            out[name] = (important, value.removesuffix("!important").strip())
+    return out
+
+
 class _Sheet:
-    """Which elements the rules of a page hide."""
+    """Which elements the rules of a page and their own styles hide."""
 
     def __init__(self, rules: list[tuple[str, str]]):
-        self.rules = {s.lower() if s[:1] not in ".#" else s: body for s, body in rules
-                      if re.fullmatch(r"[.#]?[\w-]+", s) and re.search("display|visibility", body)}
-
-    def says(self, e: Element) -> str:
+        self.by_name: dict[str, list] = {}  # rules by what their last part needs
+        for place, (selector, body) in enumerate(rules):
+            declared, parts = _declared(body), re.sub(r"\s*>\s*", " > ", selector).split()
+            compounds = [p for p in parts if p != ">"]
+            if not declared or not compounds or parts[0] == ">" or parts[-1] == ">" or not all(COMPOUND.fullmatch(p) and p for p in compounds):
+                continue
+            steps, direct = [], False
+            for p in parts:
+                if p == ">":
+                    direct = True
+                    continue
+                tag = re.match(r"[^.#]*", p)[0].lower()
+                steps.append((direct, "" if tag == "*" else tag, set(re.findall(r"\.([\w-]+)", p)), set(re.findall(r"#([\w-]+)", p))))
+                direct = False
+            weight = (sum(len(s[3]) for s in steps), sum(len(s[2]) for s in steps), sum(bool(s[1]) for s in steps), place)
+            _, tag, classes, ids = steps[-1]
+            name = "#" + min(ids) if ids else "." + min(classes) if classes else tag or "*"
+            self.by_name.setdefault(name, []).append((weight, steps, declared))
+
+    @staticmethod
+    def _is(e: Element, step: tuple) -> bool:
+        _, tag, classes, ids = step
+        return (not tag or e.tag == tag) and classes <= set(e.attrs.get("class", "").split()) and ids <= {e.attrs.get("id")}
+
+    def _fits(self, e: Element, above: list[Element], steps: list[tuple]) -> bool:
+        if not self._is(e, steps[-1]):
+            return False
+        places = {len(above)}  # where the step behind can stand
+        for step, behind in zip(steps[-2::-1], steps[:0:-1]):
+            inside = {k - 1 for k in places} if behind[0] else range(max(places))
+            places = {k for k in inside if k >= 0 and self._is(above[k], step)}
+            if not places:
+                return False
+        return True
+
+    def says(self, e: Element, above: list[Element]) -> str:
         """none, hidden, visible or nothing."""
-        texts = []
-        if self.rules:
-            names = [e.tag, *("." + c for c in e.attrs.get("class", "").split()), "#" + e.attrs.get("id", "")]
-            texts = [self.rules[x] for x in names if x in self.rules]
+        found = [((False, -1), "display", "none")] if "hidden" in e.attrs else []
+        if self.by_name:
+            for name in (e.tag, "*", *("." + c for c in e.attrs.get("class", "").split()), "#" + e.attrs.get("id", "")):
+                for weight, steps, declared in self.by_name.get(name, ()):
+                    if self._fits(e, above, steps):
+                        found += [((important, 0, *weight), what, value) for what, (important, value) in declared.items()]
         if "style" in e.attrs:
-            texts.append(e.attrs["style"])
-        said = ""
-        for t in texts:
-            t = SPACE.sub("", t.lower())
-            if "display:none" in t:
-                return "none"
-            if "visibility:hidden" in t or "visibility:collapse" in t:
-                said = "hidden"
-            elif "visibility:visible" in t:
-                said = "visible"
-            elif "display:" in t:
-                said = said or "shown"
-        return "none" if "hidden" in e.attrs and said != "shown" else said
+            found += [((important, 1), what, value) for what, (important, value) in _declared(e.attrs["style"]).items()]
+        last = {what: value for _, what, value in sorted(found, key=lambda f: f[0])}
+        if last.get("display") == "none":
+            return "none"
+        visibility = last.get("visibility", "")
+        return "hidden" if visibility in ("hidden", "collapse") else "visible" if visibility == "visible" else ""
 
 
 class _Lines:
@@ -244,6 +313,7 @@ class _Lines:
 class _Renderer:
     def __init__(self, sheet: _Sheet):
         self.sheet = sheet
+        self.above = [Element("html")]  # the elements around what is being rendered
 
     def lines(self, e: Element, seen: bool = True, pre: bool = False) -> list[str]:
         out = _Lines()
@@ -252,6 +322,11 @@ class _Renderer:
         return out.lines
 
     def into(self, out: _Lines, e: Element, seen: bool, pre: bool) -> None:
+        self.above.append(e)
+        self._children(out, e, seen, pre)
+        self.above.pop()
+
+    def _children(self, out: _Lines, e: Element, seen: bool, pre: bool) -> None:
         number = int(e.attrs["start"]) if e.tag == "ol" and re.fullmatch(r"-?\d{1,9}", e.attrs.get("start", "")) else 1
         children = e.children
         if e.tag == "details" and "open" not in e.attrs:
@@ -274,7 +349,7 @@ class _Renderer:
                 else:
                     out.text(c)
                 continue
-            said = self.sheet.says(c)
+            said = self.sheet.says(c, self.above)
             if c.tag in UNSEEN or said == "none":
                 continue
             here = said != "hidden" and (seen or said == "visible")
@@ -299,18 +374,20 @@ class _Renderer:
                 out.block(self.lines(c, here, pre), c.tag in MARGIN and not nested)
             else:
                 self.into(out, c, here, pre or c.tag == "textarea")
+                out.space |= c.tag in ("text", "textarea")
 
     def table(self, e: Element, seen: bool, pre: bool) -> list[str]:
         """Cells in columns; what stands outside of cells comes first."""
         outside, rows = _Lines(), []
 
         def read(x: Element, seen: bool) -> None:
+            self.above.append(x)
             for c in x.children:
                 if isinstance(c, str):
                     if seen:
                         outside.text(c)
                     continue
-                said = self.sheet.says(c)
+                said = self.sheet.says(c, self.above)
                 if said == "none" or c.tag in UNSEEN:
                     continue
                 here = said != "hidden" and (seen or said == "visible")
@@ -319,41 +396,76 @@ class _Renderer:
                         rows.append([])
                     read(c, here)
                 elif c.tag in ("td", "th") and rows:
-                    span = c.attrs.get("colspan", "1")
-                    rows[-1].append((self.lines(c, here, pre), min(max(int(span), 1), 100) if re.fullmatch(r"\d{1,4}", span) else 1))
+                    rows[-1].append((_wrapped(self.lines(c, here, pre)), _span(c, "colspan"), _span(c, "rowspan")))
                 elif c.tag not in ("colgroup", "col"):
                     holder = Element("div")
                     holder.children = [c]
                     outside.block(self.lines(holder, seen, pre), False)
+            self.above.pop()
 
         read(e, seen)
         outside.end()
-        widths: dict[int, int] = {}
+        placed, taken = [], []  # a row's cells with their columns; columns (from, to) taken for some more rows
         for row in rows:
-            at = 0
-            for lines, span in row:
-                if span == 1:
-                    widest = max((len(x) for x in lines), default=0)
-                    widths[at] = max(widths.get(at, 0), widest if widest <= MAX_PADDED else 0)
-                at += span
+            at, own, k, more = 0, [], 0, []
+            for lines, columns, span in row:
+                while k < len(taken) and taken[k][0] <= at:
+                    at, k = max(at, taken[k][1]), k + 1
+                own.append((at, lines, columns))
+                if span > 1:
+                    more.append((at, at + columns, span - 1))
+                at += columns
+            placed.append(own)
+            taken = sorted([(lo, hi, n - 1) for lo, hi, n in taken if n > 1] + more) if taken or more else taken
+        widths: dict[int, int] = {}
+        for own in placed:
+            for at, lines, columns in own:
+                if columns == 1:
+                    widths[at] = max(widths.get(at, 0), min(max((len(x) for x in lines), default=0), WRAP))
+        known = sorted(widths)
+        ends = [0, *accumulate(widths[c] + 2 for c in known)]
         out = list(outside.lines)
-        for row in rows:
-            for k in range(max((len(lines) for lines, _ in row), default=0)):
-                line, at = [], 0
-                for lines, span in row:
-                    width = sum(widths.get(at + j, 0) for j in range(span)) + 2 * (span - 1)
-                    line.append((lines[k] if k < len(lines) else "").ljust(min(width, MAX_PADDED)))
-                    at += span
-                out.append("  ".join(line).rstrip())
+        for own in placed:
+            for k in range(max((len(lines) for _, lines, _ in own), default=0)):
+                line = ""
+                for at, lines, _ in own:
+                    if k < len(lines) and lines[k]:
+                        start = ends[bisect_left(known, at)]
+                        line = (line + "  " if line and len(line) + 2 > start else line.ljust(start)) + lines[k]
+                out.append(line.rstrip())
         return out
 
 
+def _span(cell: Element, name: str) -> int:
+    text = cell.attrs.get(name, "1")
+    return min(max(int(text), 1), MAX_SPAN[name]) if re.fullmatch(r"\d{1,6}", text) else 1
+
+
+def _wrapped(lines: list[str]) -> list[str]:
+    """Lines of at most WRAP characters, but for longer words; indents stay."""
+    out = []
+    for line in lines:
+        if len(line) <= WRAP:
+            out.append(line)
+            continue
+        indent = line[:len(line) - len(line.lstrip())][:WRAP // 2]
+        now, size = [], 0
+        for word in line.split():
+            if now and size + len(word) + 1 > WRAP - len(indent):
+                out.append(indent + " ".join(now))
+                now, size = [], 0
+            now.append(word)
+            size += len(word) + (len(now) > 1)
+        out.append(indent + " ".join(now))
+    return out
+
+
 def visible_text(page: str) -> str:
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * MAX_DEPTH))  # a level of nesting is a few calls
     root, rules = parse(page)
-    sheet = _Sheet(rules)
-    if sheet.says(root) == "none":
-        return ""
-    return "\n".join(_Renderer(sheet).lines(root, sheet.says(root) != "hidden")).strip("\n")
+    renderer = _Renderer(_Sheet(rules))
+    said = renderer.sheet.says(root, renderer.above)
+    return "" if said == "none" else "\n".join(renderer.lines(root, said != "hidden")).strip("\n")
 
 
 def extract(df: DataFrame, html: str = "html", out: str = "text") -> DataFrame:

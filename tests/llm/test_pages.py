@@ -129,7 +129,21 @@ PAGES = {
     "<details>no<summary>S</summary></details><details open><summary>T</summary>yes</details>": "S\nT\nyes",
     "<select><option>1<option selected>2</select>": "2", "1 < 2 <3": "1 < 2 <3", "</p>a</div></li>b": "ab", "": "", "<p>": "",
     "<blockquote>q<p>r</blockquote>s": "  q\n\n  r\n\ns", "<dl><dt>t<dd>d<dt>u<dd>e</dl>": "t\n  d\nu\n  e",
-    "<a href=\"x>y\">in</a> <a href='unclosed>out": "in out", "<P>Up<DIV>per</DIV>": "Up\n\nper",
+    "<a href=\"x>y\">in</a> <a href='unclosed>out": "in out",
+    "<style>@media print{.a{display:none}} @media (max-width:9px){.a{display:none}.b{color:red}} @media screen, print {.c{display:none}}</style><i class=a>a</i> <i class=c>c</i>": "a",
+    "<style>.x{display:none}</style><p class=x style='display:block'>in</p><p class=x>out": "in",
+    "<style>.x{display:none!important} p#y{display:block}</style><p class=x id=y style='display:block'>out</p>in": "in",
+    "<style>div.a .b > i.c{display:none} /* .z{display:none} */ p ~ b{display:none} a:hover{display:none}</style><div class='a k'><u><s class=b><i class=c>out</i><em><i class=c>in</i></em></s></u></div>"
+    "<i class=c>too</i><b>b</b> <a class=z>z": "in\ntoob z",
+    "<style>.a{display:none}.b{display:block}</style><p class='a b'>in<p class='b a'>in": "in\n\nin",
+    "<style media=print>p{display:none}</style><p>in": "in", "<style>html .o, body > u{visibility:hidden}</style><b class=o>out</b><u>out<s style='visibility:visible'>in</s></u>": "in",
+    "a<textarea>\n<b>two\nlines</textarea>c": "a<b>two\nlines c", "<svg><title>no</title><defs>no</defs><text>yes</text><text>more</text></svg>": "yes more",
+    "<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>": "x=1",
+    "<table><tr><td rowspan=2>a<td>b<td>c<tr><td>d<td>e<tr><td>f<td>g<td>h</table>": "a  b  c\n   d  e\nf  g  h",
+    "<table><tr><td>k<td rowspan=3>tall<td>1<tr><td>l<td>2<tr><td>m<td>3<tr><td>n<td>o<td>4</table>": "k  tall  1\nl        2\nm        3\nn  o     4",
+    f"<table><tr><td>{'word ' * 14}<td>b<tr><td>c<td>d</table>": f"{('word ' * 12).strip()}  b\n{'word word'}\n{'c'.ljust(59)}  d",
+    f"<table><tr><td>{'w' * 70}<td>b<tr><td>c<td>d</table>": f"{'w' * 70}  b\n{'c'.ljust(60)}  d",
+    f"{'<ul><li>' * 150}x": "- " * 100 + "x", "<P>Up<DIV>per</DIV>": "Up\n\nper",
 }
 
 
@@ -138,7 +152,55 @@ def test_layout(page):
     assert html_layout.visible_text(page) == PAGES[page]
 
 
-@pytest.mark.parametrize("page", ["<div>" * 20_000 + "x", '<a "' * 20_000, "<" * 50_000, "<table>" * 3000 + "y", "<ul><li>" * 5000 + "z",
+def random_page(rnd):
+    """A page of nested elements, and its visible words in order."""
+    words, hiding = [], [("hidden", ""), ("style='display:none'", ""), ("style='visibility:hidden'", ""), ("class=gone", ""), ("class='a gone'", ""), ("id=lost", "")]
+
+    def part(depth, seen, inside):
+        html = ""
+        for _ in range(rnd.randint(1, 4)):
+            kind = rnd.random()
+            if kind < 0.4 or depth > 7:
+                word = f"w{len(words)}x{rnd.randrange(1000)}" + ("&amp;" if rnd.random() < 0.1 else "")
+                html += rnd.choice([" ", "\n", "<br>", "<!-- c --> "]) + word + " "
+                words.append((word.replace("&amp;", "&"), seen))
+                continue
+            tag = rnd.choice(["div", "p", "section", "blockquote", "h2", "b", "i", "span", "a", "ul", "ol", "dl", "table", "details", "pre", "label"])
+            if inside & {"p", "h2", "a", "pre", "label", "span", "b", "i"} and tag not in ("b", "i", "span"):
+                tag = "span"
+            extra, show = (rnd.choice(hiding)[0], False) if rnd.random() < 0.15 else ("", seen)
+            within = inside | {tag}
+            if tag in ("ul", "ol"):
+                body = "".join(f"<li>{part(depth + 1, show, within - {'p'})}" + rnd.choice(["</li>", ""]) for _ in range(rnd.randint(1, 3)))
+            elif tag == "dl":
+                body = "".join(f"<dt>{part(depth + 2, show, within)}<dd>{part(depth + 1, show, within)}" for _ in range(2))
+            elif tag == "table":
+                if not show:
+                    continue
+                body = "".join("<tr>" + f"<td>{part(9, show, within)}" for _ in range(rnd.randint(1, 3)))
+            elif tag == "details":
+                body = f"<summary>{part(8, show, within)}</summary>"
+                extra, body = (extra + " open", body + part(depth + 1, show, within)) if rnd.random() < 0.5 else (extra, body + part(depth + 1, False, within))
+            else:
+                body = part(depth + 1, show, within)
+            html += f"<{tag} {extra}>{body}</{tag}>"
+        return html
+
+    body = part(0, True, set())
+    return f"<html><head><title>no</title><style>.gone, #lost {{ display : none }} @media print {{ div {{ display: none }} }}</style></head><body>{body}</body></html>", [w for w, seen in words if seen]
+
+
+def test_every_visible_word_in_order():
+    rnd, seen = random.Random(11), 0
+    for _ in range(400):
+        page, words = random_page(rnd)
+        got = re.findall(r"w\d+x\d+&?", html_layout.visible_text(page))
+        assert got == words, page
+        seen += len(words)
+    assert seen > 4000
+
+
+@pytest.mark.parametrize("page", ["<table>" + "<tr><td rowspan=9999 colspan=999>x" * 3000, "<style>" + "div " * 50 + "{display:none}</style>" + "<div>" * 5000 + "y", "<div>" * 20_000 + "x", '<a "' * 20_000, "<" * 50_000, "<table>" * 3000 + "y", "<ul><li>" * 5000 + "z",
                                   "<a b='" * 20_000 + ">", "<p>" * 50_000, "<!--" * 20_000, "<script>" * 20_000])
 def test_odd_pages_take_little_time(page):
     start = time.process_time()
