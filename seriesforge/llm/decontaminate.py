@@ -3,22 +3,22 @@
 Texts are compared without case and with runs of white space as one space. A benchmark item is cut into
 segments of ``SEGMENT`` characters that overlap by half (shorter items are one segment), so a leaked part is found too. A segment of
 m characters may occur with up to e = ``budget`` * m edits. Such an occurrence shares at least m - q + 1 - e * q
-q-grams with the segment, all of them on neighbouring diagonals (place in the text minus place in the segment).
+q-grams with the segment, all of them on neighbouring diagonals (place in the text minus place in the segment). q is ``Q``, and less only for
+segments so short that ``Q`` leaves no such bound: m / (e + 1) at most.
 So a task looks up the q-grams of each whole text in the benchmark's, counts hits in bands of 4e diagonals that
 overlap by half, and keeps the bands that reach the bound: no occurrence within the budget can be lost.
 What is left is aligned inside its band, all candidates of a batch at once, and is a match only with at most e edits.
 
-The benchmark is sent to the tasks in blocks of at most ``BLOCK_CHARS`` characters, each block a pass over the texts, so
-what is broadcast doesn't grow with it. Texts are never shuffled.
+The benchmark is sent to the tasks in blocks of at most ``BLOCK_CHARS`` characters, each block a pass over the texts that ends before the
+next block is read, so neither the driver nor a plan holds more than one. Texts are never shuffled.
 
-Defined cases: null and empty texts and items match nothing; an item with fewer than q characters has no q-gram and never
-matches; an item too short for q-grams to survive an edit must match exactly; repeated rows of either side each count, equal keys
+Defined cases: null and empty texts and items match nothing; an item of under 1 / ``budget`` characters must match exactly, and one of a few
+characters is found wherever they stand, also inside words; repeated rows of either side each count, equal keys
 are joined in one row; a null key is kept; other columns are not returned; empty tables give an empty table.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +26,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesforge.llm.common import unused, whole_text
+from seriesforge.llm.common import scratch_path, unused, whole_text
 
 Q = 8
 SEGMENT = 80
 BUDGET = 0.1
 BLOCK_CHARS = 8_000_000
 VERIFIED = 4096  # candidates aligned together
+MATCHES = "key long, item long, segment int, edits int, lo int, hi int"
 U = np.uint64
 
 
@@ -53,19 +54,58 @@ def plain(text: str, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code[keep], keep
 
 
-def grams(code: np.ndarray) -> np.ndarray:
+def grams(code: np.ndarray, q: int = Q) -> np.ndarray:
     """A name for the q-gram at each place."""
-    name, size = code.astype(U) * U(0x9E3779B97F4A7C15), 1
-    name ^= name >> U(32)
-    while size < Q:
-        name = name[:-size] * U(0xD6E8FEB86659FD93) + name[size:]
-        name ^= name >> U(29)
-        size *= 2
-    return name if len(code) >= Q else name[:0]
+    power = code.astype(U) * U(0x9E3779B97F4A7C15)
+    power ^= power >> U(32)
+    out, have, size = None, 0, 1
+    while True:
+        if q & size:
+            out = power if out is None else _joined(out, power, have)
+            have += size
+        if 2 * size > q:
+            return out
+        power, size = _joined(power, power, size), 2 * size
+
+
+def _joined(first: np.ndarray, second: np.ndarray, offset: int) -> np.ndarray:
+    n = max(len(second) - offset, 0)
+    name = first[:n] * U(0xD6E8FEB86659FD93) + second[offset:]
+    return name ^ (name >> U(29))
+
+
+class _Grams:
+    """The q-grams of some segments, sorted for lookup."""
+
+    def __init__(self, q: int, own: list[int], code: list[np.ndarray]):
+        self.q = q
+        all_grams = [grams(code[s], q) for s in own]
+        name = np.concatenate(all_grams)
+        segment = np.repeat(np.array(own), [len(g) for g in all_grams])
+        place = np.concatenate([np.arange(len(g)) for g in all_grams])
+        order = np.argsort(name, kind="stable")
+        self.segment, self.place = segment[order], place[order]
+        self.name, self.start, self.count = np.unique(name[order], return_index=True, return_counts=True)
+        bits = max(16, len(self.name).bit_length() + 4)
+        self.shift = U(64 - bits)
+        self.present = np.zeros(1 << bits, bool)
+        self.present[(self.name >> self.shift).astype(np.int64)] = True
+
+    def hits(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(segment, diagonal) of each shared q-gram of one text."""
+        name = grams(code, self.q)
+        at = np.flatnonzero(self.present[(name >> self.shift).astype(np.int64)])
+        found = np.searchsorted(self.name, name[at])
+        found[found == len(self.name)] = 0
+        ok = self.name[found] == name[at]
+        at, found = at[ok], found[ok]
+        n = self.count[found]
+        which = np.repeat(self.start[found], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return self.segment[which], np.repeat(at, n) - self.place[which]
 
 
 class Segments:
-    """Segments of a block of the benchmark with their q-grams, sorted for lookup."""
+    """Segments of a block of the benchmark with their q-grams."""
 
     def __init__(self, items: list[tuple[int, str]], table: np.ndarray, budget: float):
         self.item, self.code, self.edits = [], [], []
@@ -76,38 +116,22 @@ class Segments:
             last = len(code) - SEGMENT
             for at in [0] if last <= 0 else [*range(0, last, SEGMENT // 2), last]:
                 part = code[at:at + SEGMENT]
-                if len(part) >= Q:
+                if len(part):
                     self.item.append(item)
                     self.code.append(part)
-                    self.edits.append(min(int(budget * len(part)), (len(part) - Q) // Q))
+                    self.edits.append(int(budget * len(part)))
         self.length = np.array([len(c) for c in self.code], np.int64)
         self.e = np.array(self.edits, np.int64)
-        self.need = self.length - Q + 1 - self.e * Q
+        q = np.minimum(Q, self.length // (self.e + 1))
+        self.need = self.length - q + 1 - self.e * q
         self.step = np.maximum(2 * self.e, 1)
-        all_grams = [grams(c) for c in self.code]
-        name = np.concatenate(all_grams) if all_grams else np.zeros(0, U)
-        segment = np.repeat(np.arange(len(self.code)), [len(g) for g in all_grams])
-        place = np.concatenate([np.arange(len(g)) for g in all_grams]) if all_grams else segment
-        order = np.argsort(name, kind="stable")
-        self.segment, self.place = segment[order], place[order]
-        self.name, self.start, self.count = np.unique(name[order], return_index=True, return_counts=True)
-        bits = max(16, int(max(len(self.name), 1)).bit_length() + 4)
-        self.shift = U(64 - bits)
-        self.present = np.zeros(1 << bits, bool)
-        self.present[(self.name >> self.shift).astype(np.int64)] = True
+        self.grams = [_Grams(int(size), np.flatnonzero(q == size).tolist(), self.code) for size in np.unique(q)]
 
     def bands(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(segment, first diagonal) of the bands of one text with enough shared q-grams."""
-        name = grams(code)
-        at = np.flatnonzero(self.present[(name >> self.shift).astype(np.int64)])
-        found = np.searchsorted(self.name, name[at])
-        found[found == len(self.name)] = 0
-        ok = self.name[found] == name[at]
-        at, found = at[ok], found[ok]
-        n = self.count[found]
-        which = np.repeat(self.start[found], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        segment = self.segment[which]
-        band = (np.repeat(at, n) - self.place[which] + SEGMENT) // self.step[segment]
+        hits = [g.hits(code) for g in self.grams if len(code) >= g.q] or [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        segment, diagonal = (np.concatenate(x) for x in zip(*hits))
+        band = (diagonal + SEGMENT) // self.step[segment]
         key, count = np.unique(np.concatenate((segment << 40 | band + 1, segment << 40 | band)), return_counts=True)
         key = key[count >= self.need[key >> 40]]
         segment = key >> 40
@@ -146,8 +170,6 @@ def found_in(segments: Segments, table: np.ndarray, rows: Iterator[tuple]) -> li
 
     for key, text in rows:
         code, keep = plain(text, table)
-        if len(code) < Q:
-            continue
         for s, first in zip(*(x.tolist() for x in segments.bands(code))):
             m, width = len(segments.code[s]), int(max(2 * segments.step[s], 1))
             window = np.zeros(m + width, np.uint32)
@@ -189,9 +211,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
         return each
 
-    passes = [texts.mapInPandas(find(segments), "key long, item long, segment int, edits int, lo int, hi int")
-              for segments in _blocks(benchmark, item, item_text, budget, table)]
-    return (functools.reduce(DataFrame.unionByName, passes).groupBy("key", "item")
+    path = scratch_path(docs.sparkSession, "matches")
+    for segments in _blocks(benchmark, item, item_text, budget, table):
+        texts.mapInPandas(find(segments), MATCHES).write.mode("append").parquet(path)
+    return (docs.sparkSession.read.schema(MATCHES).parquet(path).groupBy("key", "item")
             .agg(F.countDistinct("segment").alias("n_segments"), F.min("edits").alias("edits"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
             .withColumnsRenamed({"key": key, "item": item}))
 
@@ -210,7 +233,11 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "tex
 
         return hit.asNondeterministic()
 
-    for segments in _blocks(benchmark, item, item_text, budget, table):
-        hit = unused(docs, "_hit")
+    hit, spark = unused(docs, "_hit"), docs.sparkSession
+    for k, segments in enumerate(_blocks(benchmark, item, item_text, budget, table)):
+        if k:  # what the block before left is written before the next pass
+            path = scratch_path(spark, "left")
+            docs.write.parquet(path)
+            docs = spark.read.schema(docs.schema).parquet(path)
         docs = docs.withColumn(hit, found(segments)(whole_text(text))).filter(~F.col(hit)).drop(hit)
     return docs

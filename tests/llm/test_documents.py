@@ -251,8 +251,11 @@ def edits(pattern, text):
 
 def test_edited_items_against_full_alignment(spark):
     rnd = random.Random(5)
-    items = [(i, prose(100 + i, rnd.choice([3, 8, 14, 30]))) for i in range(25)] + [(90, None), (91, ""), (92, "short"), (93, "exactly8")]
-    docs = [(900, None), (901, ""), (None, "before " + items[3][1])]
+    items = [(i, prose(100 + i, rnd.choice([3, 8, 14, 30]))) for i in range(25)] + [(90, None), (91, ""), (92, "short"), (93, "exactly8"), (94, "qz"), (95, "twelve chars"),
+                                                                                           (96, "just twenty-two chars."), (97, "X")]
+    docs = [(900, None), (901, ""), (None, "before " + items[3][1]), (902, "a SHORT one"), (903, "exactly8"), (904, "exactly 8"), (905, "qz"), (906, "shor t"),
+            (907, "so twelve cars, and twelv echars"), (908, "just twent-two charts. and more"), (909, "just twenty two char. and more"), (910, "twelve  \n CHARS"),
+            (911, "just twe-two chars"), (912, "x")]
     for k in range(60):
         x = list(items[rnd.randrange(25)][1])
         for _ in range(rnd.randint(0, len(x) // 5)):
