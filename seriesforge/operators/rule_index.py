@@ -2,8 +2,10 @@
 
 A rule is a row with a pattern for the name and one for the unit; case does not matter, and both have to be found on the same row. Matching every
 rule with every name would cost their product. But nearly every pattern has literals that each match contains, and so all of
-the literals' q-grams, short and long. Of these the one that the fewest names have is the rule's key; names are joined by their q-grams, and
-only the pairs that meet are tested, first for the literals, then with the patterns. A gram that very many names have is split over tasks.
+the literals' q-grams, short and long. Of these the one that the fewest names have is the rule's key; distinct names are joined by their q-grams,
+as 64-bit hashes, and only the pairs that meet are joined with the rows and tested, first for the literals, then with the patterns. A gram that
+very many names have is split over tasks, and so is a name of very many rows. Names and rules are spread before their grams are made. Spark
+takes a table of q-grams for as small as its names, so the joins with one are merges: broadcast, it would stand in the driver whole.
 
 Rules without a literal of ``GRAMS[0]`` characters (say ``a|b``) can't have a key. They are applied as expressions to every row, a bounded number
 at a time, in blocks; that costs rows times such rules, which no index can spare.
@@ -78,7 +80,7 @@ def with_literals(rules: DataFrame) -> DataFrame:
         for batch in patterns:
             yield batch.map(literals_of)
 
-    return rules.withColumn("literals", literals("name_pattern"))
+    return rules.withColumn("literals", literals.asNondeterministic()("name_pattern"))
 
 
 def _grams(text: Column) -> Column:
@@ -93,16 +95,22 @@ def _grams(text: Column) -> Column:
 def match_rule_table(dim: DataFrame, rules: DataFrame, name_column: str = "name", unit_column: str = "units", hot_rows: int = HOT_ROWS) -> DataFrame:
     """(rule_id, title and all columns of ``dim``): a row for each pair of rule (rule_id, title, name_pattern, unit_pattern) and row that match."""
     rows = dim.select(F.struct(*dim.columns).alias("_row"), F.lower(name_column).alias("_name"))
+    tasks = int(dim.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = with_literals(rules.select("rule_id", "title", "name_pattern", "unit_pattern")
-                          .filter(F.col("name_pattern").isNotNull() & F.col("unit_pattern").isNotNull()))
+                          .filter(F.col("name_pattern").isNotNull() & F.col("unit_pattern").isNotNull()).repartition(tasks))
     indexed = known.filter(F.size("literals") > 0)
-    of_names = rows.filter(F.col("_name").isNotNull()).select("*", F.explode(_grams(F.col("_name"))).alias("_gram"))
+    rows = rows.withColumn("_id", F.xxhash64("_name"))
+    # One row for each hash and gram, also where two names share a hash: their pairs are told apart by the patterns.
+    names = rows.filter(F.col("_name").isNotNull()).groupBy("_id").agg(F.collect_set("_name").alias("_names")).repartition(tasks, "_id")
+    of_names = names.select("_id", F.explode(F.array_distinct(F.flatten(F.transform("_names", _grams)))).alias("_gram"))
     counts = of_names.groupBy("_gram").agg(F.count("*").alias("_rows"))
     # A gram that no name has settles its rule: such a rule matches nothing and finds no partner below.
-    keys = (indexed.select("rule_id", F.explode(F.flatten(F.transform("literals", _grams))).alias("_gram")).join(counts, "_gram", "left")
+    keys = (indexed.select("rule_id", F.explode(F.flatten(F.transform("literals", _grams))).alias("_gram"))
+            .join(counts.hint("merge"), "_gram", "left")
             .groupBy("rule_id").agg(F.min_by("_gram", F.struct(F.coalesce("_rows", F.lit(0)), "_gram")).alias("_gram")))
-    keyed = indexed.join(keys, "rule_id")
-    pairs = join_keys(keyed, of_names, "_gram", hot_rows).filter(F.forall("literals", lambda run: F.contains("_name", run)))
+    keyed = indexed.join(keys.hint("merge"), "rule_id")
+    met = join_keys(keyed, of_names, "_gram", hot_rows, hint="merge").drop("_gram")
+    pairs = join_keys(met, rows, "_id", hot_rows, hint="merge").filter(F.forall("literals", lambda run: F.contains("_name", run)))
     fits = F.expr(f"_row.`{name_column}` RLIKE concat('(?i)', name_pattern) AND _row.`{unit_column}` RLIKE concat('(?i)', unit_pattern)")
     found = pairs.filter(fits).select("rule_id", "title", "_row")
     rest = known.filter(F.size("literals") == 0).select("rule_id", "title", "name_pattern", "unit_pattern")
@@ -117,4 +125,4 @@ def _without_literal(rows: DataFrame, rules: DataFrame, fits) -> DataFrame:
     listed = (rules.groupBy(F.pmod(F.xxhash64("rule_id"), F.lit(blocks)).cast("int").alias("_block"))
               .agg(F.collect_list(F.struct(*rules.columns)).alias("_rules")).withColumn("_share", numbers(shares)))
     met = rows.withColumns({"_block": numbers(blocks), "_share": F.pmod(F.xxhash64("_name"), F.lit(shares)).cast("int")})
-    return met.join(listed, ["_block", "_share"]).select("_row", F.inline("_rules")).filter(fits).select("rule_id", "title", "_row")
+    return met.join(listed.hint("merge"), ["_block", "_share"]).select("_row", F.inline("_rules")).filter(fits).select("rule_id", "title", "_row")

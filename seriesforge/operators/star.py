@@ -36,12 +36,13 @@ def join_facts(dim: DataFrame, facts: DataFrame, key: str = "series_id", hot_row
     return matched.select(*columns).unionByName(unmatched, allowMissingColumns=True)
 
 
-def join_keys(few: DataFrame, many: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Inner join of a side with few rows a key to one with any number; a key with more than ``hot_rows`` rows is split."""
-    return _join_by_part(few, many, many.groupBy(key).agg(F.count("*").alias("_rows")), key, hot_rows)
+def join_keys(few: DataFrame, many: DataFrame, key: str, hot_rows: int = HOT_ROWS, hint: str | None = None) -> DataFrame:
+    """Inner join of a side with few rows a key to one with any number; a key with more than ``hot_rows`` rows is split. ``hint`` names
+    the join where Spark can't know the sides' sizes, as behind an explode."""
+    return _join_by_part(few, many, many.groupBy(key).agg(F.count("*").alias("_rows")), key, hot_rows, hint)
 
 
-def _join_by_part(dim: DataFrame, facts: DataFrame, counts: DataFrame, key: str, hot_rows: int) -> DataFrame:
+def _join_by_part(dim: DataFrame, facts: DataFrame, counts: DataFrame, key: str, hot_rows: int, hint: str | None = None) -> DataFrame:
     """Inner join on (key, part); a key is split into as many parts as it has ``hot_rows`` facts.
 
     A fact's part depends on its values and on the task that read it: copies of one row spread too, and a recomputed
@@ -56,7 +57,7 @@ def _join_by_part(dim: DataFrame, facts: DataFrame, counts: DataFrame, key: str,
     parted = dealt.join(hot, key, "left").withColumn("_part", part).drop("_parts", "_salt")
     last = F.coalesce(F.col("_parts"), F.lit(1)) - 1
     copies = dim.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), last))).drop("_parts")
-    return parted.join(copies, [key, "_part"], "inner").drop("_part")
+    return parted.join(copies.hint(hint) if hint else copies, [key, "_part"], "inner").drop("_part")
 
 
 def filter_series(dim: DataFrame, names: list[str] | None = None, units: list[str] | None = None,

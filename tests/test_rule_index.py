@@ -51,3 +51,33 @@ def test_nothing(spark):
     dim = spark.createDataFrame([], "id int, name string, units string")
     rules = spark.createDataFrame([], "rule_id int, title string, name_pattern string, unit_pattern string")
     assert rule_index.match_rule_table(dim, rules).count() == 0
+
+
+def test_grams_are_not_broadcast(spark, tmp_path):
+    """A table of grams is many times its names; Spark takes it for as small as their file."""
+    def stored(df, name):
+        df.write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    dim = spark.createDataFrame([(1, "natural gas", "MWh")], "id int, name string, units string")
+    rules = spark.createDataFrame([(1, "gas", "gas", ".")], "rule_id int, title string, name_pattern string, unit_pattern string")
+    plan = rule_index.match_rule_table(stored(dim, "dim"), stored(rules, "rules"))._jdf.queryExecution().sparkPlan().toString().splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in plan]
+    seen = 0
+    for at, line in enumerate(plan):
+        if "BroadcastHashJoin" not in line and "BroadcastNestedLoop" not in line:
+            continue
+        seen += 1
+        assert "BuildRight" in line
+        end = next((i for i in range(at + 1, len(plan)) if depth[i] <= depth[at]), len(plan))
+        built = [i for i in range(at + 1, end) if depth[i] == depth[at] + 3][-1]
+        own = next(i for i in range(built, end) if not any(x in plan[i] for x in ("Project", "Filter")))
+        assert "Aggregate" in plan[own], plan[built:end]  # of grams counted, not the grams
+    assert seen  # the few hot grams still are
+
+
+def test_repeated_rows_rules_and_hot_names(spark):
+    dim = spark.createDataFrame([(i, "natural gas", "MWh") for i in (1, 1, 2)] + [(3, "Natural Gas", "MWh"), (4, "coal", None)], "id int, name string, units string")
+    rules = spark.createDataFrame([(7, "gas", "gas$", ".")] * 2, "rule_id int, title string, name_pattern string, unit_pattern string")
+    got = sorted((r.rule_id, r.id) for r in rule_index.match_rule_table(dim, rules, hot_rows=2).collect())
+    assert got == sorted([(7, 1), (7, 1), (7, 2), (7, 3)] * 2)
