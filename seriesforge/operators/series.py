@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 SEASON = 12
+TASK_ROWS = 100_000  # facts whose series are one task's
 
 
 def by_series(order: str = "idx", key: str = "series_id") -> WindowSpec:
@@ -35,14 +36,22 @@ def monthly(facts: DataFrame, value: str = "value", *others: str) -> DataFrame:
     return facts.filter(F.col("date").isNotNull()).groupBy("series_id", month).agg(*means)
 
 
-def regular(months: DataFrame, key: str = "series_id") -> DataFrame:
+def tasks_for(facts: DataFrame) -> int:
+    """Tasks that hold the series of about ``TASK_ROWS`` facts each; of a table as it is stored only the files' footers are read."""
+    return max(facts.sparkSession.sparkContext.defaultParallelism, -(-facts.count() // TASK_ROWS))
+
+
+def regular(months: DataFrame, key: str = "series_id", tasks: int | None = None) -> DataFrame:
     """Fill missing months with NULL rows and number the months of each series from 1 (``idx``).
 
     The input has one row per series and month, as ``monthly`` gives it; rows without a date are left out.
     Each row is repeated up to the month before the next one, so the spine needs no join: one shuffle by
-    series serves this step and every window after it.
+    series serves this step and every window after it. It deals the series over ``tasks`` tasks; without that Spark merges
+    what it shuffles to about as many tasks as there are cores, and what a task sorts grows with the facts.
     """
     w = by_series("date", key)
+    if tasks:
+        months = months.repartition(tasks, key)
     others = [c for c in months.columns if c not in (key, "date")]
     ahead = _month_number(F.lead("date").over(w)) - _month_number(F.col("date"))
     step = F.greatest(F.coalesce(ahead, F.lit(1)), F.lit(1))

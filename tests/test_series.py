@@ -1,3 +1,4 @@
+import datetime
 import math
 import random
 
@@ -9,6 +10,7 @@ from helpers import indexed, month, rows, series_frame
 from seriesforge.functions.boxcox import boxcox, inverse_boxcox
 from seriesforge.operators import diagnose, series
 from seriesforge.sources.sinks import explain_text
+from workload.catalogs import SCHEMAS
 
 
 def test_regular_fills_gaps_and_numbers_months(spark):
@@ -113,3 +115,15 @@ def test_facts_survive_pack_and_explode(spark):
     text = df.select("series_id", F.date_format("date", "yyyyMM").alias("period"), F.col("y").cast("string").alias("value"))
     back = explode_history(pack_history(text, "series_id")).withColumn("value", F.col("value").cast("double"))
     assert rows(back) == rows(df)
+
+
+def test_series_are_dealt_over_tasks_by_the_facts(spark, tmp_path, monkeypatch):
+    """What a task sorts doesn't grow with the table."""
+    from workload.analysis import parts_regular
+
+    lines = [(i, i % 9, 1, 1, 2.0, 10.0, 0.1, 0.0, "N", "O", datetime.datetime(2000, 1 + i % 5, 3)) for i in range(45)]
+    spark.createDataFrame(lines, SCHEMAS["lineitem"]).write.parquet(str(tmp_path / "lineitem.parquet"))
+    expected = rows(parts_regular(spark, str(tmp_path)))
+    monkeypatch.setattr(series, "TASK_ROWS", 2)
+    dealt = series.lagged(parts_regular(spark, str(tmp_path)), "y")
+    assert dealt.rdd.getNumPartitions() == 23 and rows(dealt.drop("y_lag1")) == expected and len(expected) > 9

@@ -27,7 +27,7 @@ RULES = [
 
 
 def parts_regular(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.regular(c.part_series(spark, sf_dir))
+    return series.regular(c.part_series(spark, sf_dir), tasks=series.tasks_for(c.table(spark, sf_dir, "lineitem")))
 
 
 def regional_regular(spark: SparkSession, sf_dir: str) -> DataFrame:
