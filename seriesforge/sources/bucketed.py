@@ -21,11 +21,11 @@ def bucket_count(rows: int, bucket_rows: int = BUCKET_ROWS) -> int:
     return count
 
 
-def store(df: DataFrame, name: str, key: str = "series_id", order: tuple[str, ...] = ("idx",), buckets: int | None = None, path: str | None = None) -> DataFrame:
+def store(df: DataFrame, name: str, key: str | tuple[str, ...] = "series_id", order: tuple[str, ...] = ("idx",), buckets: int | None = None, path: str | None = None) -> DataFrame:
     """Write ``df`` as table ``name`` of the catalogue, bucketed by ``key`` and sorted inside buckets, and read it back."""
-    buckets = buckets or bucket_count(df.count())
-    writer = (df.repartition(buckets, F.col(key)).sortWithinPartitions(key, *order)
-              .write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key, *order))
+    buckets, keys = buckets or bucket_count(df.count()), (key,) if isinstance(key, str) else key
+    writer = (df.repartition(buckets, *[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order)
+              .write.mode("overwrite").format("parquet").bucketBy(buckets, *keys).sortBy(*keys, *order))
     (writer.option("path", path) if path else writer).saveAsTable(name)
     return df.sparkSession.table(name)
 

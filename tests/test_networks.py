@@ -85,3 +85,24 @@ def test_shares(spark):
 def test_no_flows(spark):
     net = network.flows(spark.createDataFrame([], "source string, target string, amount long"))
     assert network.shares(net).count() == 0 == network.balances(net).count()
+
+
+def test_a_round_moves_no_flows(spark, monkeypatch):
+    """Flows stay in their blocks: the join of a round shuffles the nodes that send, not the flows; hot targets are dealt over blocks."""
+    monkeypatch.setattr(network, "BLOCK_FLOWS", 100)
+    monkeypatch.setattr(network, "HOT_FLOWS", 20)
+    rows = [(f"a{i}", f"b{i * j % 7}" if j % 3 else "hub", 1 + (i + j) % 5) for i in range(60) for j in range(12)] + [("hub", "a1", 3)]
+    net = network.flows(spark.createDataFrame(rows, "source string, target string, amount long"))
+    plans, join = [], type(net).join
+
+    def joined(self, other, on, *how):
+        out = join(self, other, on, *how)
+        if on == ["block", "source"]:
+            plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(type(net), "join", joined)
+    got = {r.node: r.share for r in network.shares(net, 3).collect()}
+    monkeypatch.undo()
+    assert len(plans) == 3 and all(plan.count("Exchange hashpartitioning(block") <= 1 for plan in plans)
+    assert got == pytest.approx({r.node: r.share for r in network.shares(net, 3).collect()}) and sum(got.values()) == pytest.approx(1)

@@ -44,12 +44,15 @@ def part_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows of pieces from suppliers to customers, and from each customer to the nation where it is."""
     lines = c.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey", F.col("l_quantity").cast("long").alias("amount"))
-    sold = lines.join(c.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
-    name = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string"))
-    goods = sold.select(name("S", "l_suppkey").alias("source"), name("C", "o_custkey").alias("target"), "amount")
-    at = c.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
-    used = sold.join(at, "o_custkey").filter(F.col("c_nationkey") % 2 == 0).select(name("C", "o_custkey").alias("source"), name("N", "c_nationkey").alias("target"), "amount")
-    return network.flows(goods.unionByName(used))
+    # The nations a customer is in are one row each, so that both kinds of flows come from one join of lines and orders.
+    at = (c.table(spark, sf_dir, "customer").filter(F.col("c_nationkey") % 2 == 0).groupBy(F.col("c_custkey").alias("o_custkey"))
+          .agg(F.collect_list("c_nationkey").alias("nations")))
+    sold = lines.join(c.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(at, "o_custkey", "left"), "o_orderkey")
+    name = lambda kind, key: F.concat(F.lit(kind), key.cast("string"))
+    buyer = name("C", F.col("o_custkey"))
+    goods = F.array(F.struct(name("S", F.col("l_suppkey")).alias("source"), buyer.alias("target")))
+    used = F.transform(F.coalesce("nations", F.array().cast("array<int>")), lambda nation: F.struct(buyer.alias("source"), name("N", nation).alias("target")))
+    return network.flows(sold.select("amount", F.inline(F.concat(goods, used))))
 
 
 _TRADE = """
