@@ -5,15 +5,16 @@ kept without being read. Of the others the checksums are taken, and only content
 only renamed or rewritten alike is linked to the content there is. Files that are gone are dropped from the manifest; ``compacted`` writes a vault
 with nothing but the contents of a run.
 
-Layout below the vault's folder, all of it Parquet on any file system Spark can write: ``contents/<run>`` (checksum, content),
+Layout below the vault's folder, all of it Parquet on any file system Spark can write: ``contents/<run>`` (checksum, part, content),
 ``manifests/<run>``, and ``commits``, whose row is written last. A run that is lost half-way isn't in ``commits``, so nothing of it counts.
-Contents go from file to vault within a task and are never shuffled. Paths and lengths of changed files pass through the driver, which
+Contents go from file to vault within a task and are never shuffled. They are stored in pieces of ``PIECE`` bytes, of which a batch is bounded
+whatever the files' length; vaults from before, whose contents have no part, are read as contents of one piece. Paths and lengths of changed files pass through the driver, which
 lists all files of a source anyway before Spark reads it.
 """
 
 from __future__ import annotations
 
-import io
+import tempfile
 import uuid
 from collections.abc import Iterator
 from urllib.parse import urlsplit
@@ -27,7 +28,8 @@ from seriesforge.sources.tables import list_files, stored
 
 COMMITS = "run string, number int"
 MANIFEST = "path string, length long, modified timestamp, checksum string, stored_in string, action string"
-CONTENTS = "checksum string, content binary"
+CONTENTS = "checksum string, part int, content binary"
+BLOCK, PIECE = 1 << 20, 1 << 12  # bytes; batches for Python count rows, 10,000 by default
 DROPPED = "dropped"
 
 
@@ -62,6 +64,24 @@ def _read(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(paths)
 
 
+def _pieces(contents: DataFrame) -> DataFrame:
+    """Contents cut into pieces, an empty one into one; first into blocks, so that no row of a whole file is repeated for each piece."""
+    def cut(df: DataFrame, size: int) -> DataFrame:
+        last = F.greatest(F.ceil(F.length("content") / size) - 1, F.lit(0)).cast("int")
+        rows = df.select("checksum", "part", "content", F.explode(F.sequence(F.lit(0), last)).alias("at"))
+        return rows.select("checksum", (F.col("part") * (BLOCK // PIECE if size == PIECE else 1) + F.col("at")).alias("part"),
+                           F.expr(f"substring(content, at * {size} + 1, {size})").alias("content"))
+
+    return cut(cut(contents.withColumn("part", F.lit(0)), BLOCK), PIECE)
+
+
+def _stored_pieces(spark: SparkSession, vault: str, held: DataFrame) -> DataFrame | None:
+    """(stored_in, checksum, part, content) of the folders that hold the contents of ``held``."""
+    folders = [f"{vault.rstrip('/')}/contents/{r.stored_in}" for r in held.select("stored_in").distinct().collect()]  # at most one a run
+    return spark.read.schema(CONTENTS).parquet(*folders).select(
+        F.regexp_extract("_metadata.file_path", "([^/]+)/[^/]+$", 1).alias("stored_in"), "checksum", "part", "content") if folders else None
+
+
 def back_up(spark: SparkSession, source: str, vault: str, pattern: str = r"/[^_.][^/]*$") -> str:
     """One run: bring the vault up to date with the files of ``source`` whose names match; gives the run's id."""
     vault, (before, number), run = vault.rstrip("/"), _latest(spark, vault), uuid.uuid4().hex
@@ -92,7 +112,7 @@ def back_up(spark: SparkSession, source: str, vault: str, pattern: str = r"/[^_.
             F.col("name").alias("path"), "length", "modified", "checksum", F.coalesce("stored_in", F.lit(run)).alias("stored_in"), "action"))
     new = [r["first"] for r in first.select("first").collect()]
     if new:
-        _read(spark, new).select(F.sha2("content", 256).alias("checksum"), "content").write.parquet(f"{vault}/contents/{run}")
+        _pieces(_read(spark, new).select(F.sha2("content", 256).alias("checksum"), "content")).write.parquet(f"{vault}/contents/{run}")
     done.write.parquet(f"{vault}/manifests/{run}")
     spark.createDataFrame([(run, number + 1)], COMMITS).write.mode("append").parquet(f"{vault}/commits")
     return run
@@ -108,14 +128,18 @@ def summary(spark: SparkSession, vault: str) -> DataFrame:
     return parts if parts is not None else spark.createDataFrame([], "number int, action string, n_files long, n_bytes long")
 
 
-def files(spark: SparkSession, vault: str, run: str | None = None) -> DataFrame:
-    """(path, content) of the files that a run holds."""
+def pieces(spark: SparkSession, vault: str, run: str | None = None) -> DataFrame:
+    """(path, part, content) of the files that a run holds, in pieces."""
     held = live(spark, vault, run).select("path", "checksum", "stored_in")
-    folders = [f"{vault.rstrip('/')}/contents/{r.stored_in}" for r in held.select("stored_in").distinct().collect()]  # at most one a run
-    if not folders:
-        return spark.createDataFrame([], "path string, content binary")
-    contents = spark.read.schema(CONTENTS).parquet(*folders).dropDuplicates(["checksum"]) if len(folders) > 1 else spark.read.schema(CONTENTS).parquet(*folders)
-    return held.join(contents, "checksum").select("path", "content")
+    stored_pieces = _stored_pieces(spark, vault, held)
+    if stored_pieces is None:
+        return spark.createDataFrame([], "path string, part int, content binary")
+    return held.join(stored_pieces, ["checksum", "stored_in"]).select("path", "part", "content")
+
+
+def files(spark: SparkSession, vault: str, run: str | None = None) -> DataFrame:
+    """(path, content) of the files that a run holds; each is one value."""
+    return pieces(spark, vault, run).groupBy("path").agg(F.expr("listagg(content) WITHIN GROUP (ORDER BY part)").alias("content"))
 
 
 def restored(spark: SparkSession, vault: str, schema, run: str | None = None) -> DataFrame:
@@ -123,24 +147,39 @@ def restored(spark: SparkSession, vault: str, schema, run: str | None = None) ->
     target = spark.createDataFrame([], schema).schema
     arrow = to_arrow_schema(target)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(file) -> Iterator[pa.RecordBatch]:
         import pyarrow.parquet as pq
 
+        file.flush()
+        for part in pq.ParquetFile(file.name, buffer_size=BLOCK, pre_buffer=False).iter_batches(columns=arrow.names):
+            yield pa.Table.from_batches([part]).select(arrow.names).cast(arrow).combine_chunks().to_batches()[0] if part.num_rows else part
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pieces in order; a file is put together on the task's disk and read from there."""
+        path, file = None, None
         for batch in batches:
-            for content in batch.column("content"):
-                for part in pq.ParquetFile(io.BytesIO(content.as_py())).iter_batches(columns=arrow.names):
-                    yield pa.Table.from_batches([part]).select(arrow.names).cast(arrow).combine_chunks().to_batches()[0] if part.num_rows else part
+            for name, content in zip(batch.column("path"), batch.column("content")):
+                if name.as_py() != path:
+                    if file:
+                        yield from read(file)
+                        file.close()
+                    path, file = name.as_py(), tempfile.NamedTemporaryFile()
+                file.write(content.as_buffer())
+        if file:
+            yield from read(file)
+            file.close()
 
-    return files(spark, vault, run).select("content").mapInArrow(rows, target)
+    in_order = pieces(spark, vault, run).repartition("path").sortWithinPartitions("path", "part")
+    return in_order.mapInArrow(rows, target)
 
 
 def compacted(spark: SparkSession, vault: str, target: str, run: str | None = None) -> str:
     """A vault of one run at ``target``: the contents that a run of ``vault`` holds, and nothing else."""
     new, held = uuid.uuid4().hex, live(spark, vault, run)
-    folders = [f"{vault.rstrip('/')}/contents/{r.stored_in}" for r in held.select("stored_in").distinct().collect()]
-    if folders:
-        contents = spark.read.schema(CONTENTS).parquet(*folders)
-        contents.join(held.select("checksum").distinct(), "checksum", "left_semi").dropDuplicates(["checksum"]).write.parquet(f"{target.rstrip('/')}/contents/{new}")
+    contents = _stored_pieces(spark, vault, held)
+    if contents is not None:
+        wanted = held.groupBy("checksum").agg(F.min("stored_in").alias("stored_in"))
+        contents.join(wanted, ["checksum", "stored_in"], "left_semi").select("checksum", "part", "content").write.parquet(f"{target.rstrip('/')}/contents/{new}")
     held.withColumns({"stored_in": F.lit(new), "action": F.lit("copied")}).write.parquet(f"{target.rstrip('/')}/manifests/{new}")
     spark.createDataFrame([(new, 1)], COMMITS).write.mode("append").parquet(f"{target.rstrip('/')}/commits")
     return new

@@ -67,3 +67,27 @@ def test_nothing(spark, tmp_path):
     store = str(tmp_path / "vault")
     vault.back_up(spark, str(tmp_path / "empty"), store)
     assert vault.manifest(spark, store).count() == 0 and vault.files(spark, store).count() == 0
+
+
+def test_long_files_are_stored_in_pieces(spark, source, tmp_path):
+    """What a row holds, and so a task's Python, doesn't grow with the files."""
+    long = os.urandom(2 * vault.BLOCK + 3 * vault.PIECE + 5)
+    (source / "year=1/long.bin").write_bytes(long)
+    store, small = str(tmp_path / "vault"), str(tmp_path / "small")
+    vault.back_up(spark, str(source), store)
+    vault.compacted(spark, store, small)
+    for folder in (store, small):
+        stored = spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/contents")
+        assert stored.selectExpr("max(length(content))").first()[0] == vault.PIECE
+        got = {r.path: bytes(r.content) for r in vault.files(spark, folder).collect()}
+        assert got["year=1/long.bin"] == long and got["year=1/a.bin"] == b"one"
+
+
+def test_rows_come_back_from_files_of_many_pieces(spark, tmp_path):
+    table, store = str(tmp_path / "table"), str(tmp_path / "vault")
+    df = spark.range(0, 300_000, numPartitions=3).selectExpr("id", "sha2(string(id), 256) AS text")
+    df.write.parquet(table)
+    vault.back_up(spark, table, store)
+    assert vault.pieces(spark, store).count() > 1000
+    assert vault.restored(spark, store, "text string, id long").select("id", "text").exceptAll(df).isEmpty()
+    assert vault.restored(spark, store, "id long").count() == 300_000
