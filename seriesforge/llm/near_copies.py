@@ -1,12 +1,15 @@
-"""Near copies by the Jaccard similarity of their word shingles, found by MinHash and verified on the shingles themselves.
+"""Near copies: SimHash links by bit-sliced comparison, verified on the shingles, and then what lies beyond their radius.
 
 Two documents are linked where the sets of their shingles of ``WIDTH`` words have a Jaccard similarity of at least SIMILAR / OF.
-A document with fewer words is one shingle. Equal sets are one node. A node has ``BANDS`` names, each made of ``ROWS`` minima of its
-hashes; nodes that share a name are candidates. A pair at the limit shares no name with a probability of (1 - 0.8 ** 4) ** 48,
-about 1e-11, and closer pairs with less; nothing else is left out, and no candidate is a link before its sets are counted.
+A document with fewer words is one shingle. Equal sets are one node, and a node has a SimHash fingerprint. Fingerprints at most ``RADIUS`` bits
+apart are found in ``simhash``; the pairs that connect them are counted on the shingles, and what their links make one component is settled.
 
-Of a name that m nodes share, the m - 1 pairs with one node, another for each band, are counted first. What their links make one component is
-settled, and only pairs of a shared name that are still in different components are counted then: a group of near copies costs
+The radius misses most copies near the limit, whose fingerprints lie ten bits apart. So a node also has ``BANDS`` names, each made of
+``ROWS`` minima of its hashes, and nodes that share a name and aren't settled yet are candidates too. A pair at the limit shares no
+name with a probability of (1 - 0.8 ** 4) ** 48, about 1e-11, and closer pairs with less; nothing else is left out, and no candidate is a
+link before its sets are counted.
+
+Of a name whose m nodes are in several components, the pairs with one node, another for each band, are counted first, and then only pairs of a shared name that are still in different components are counted then: a group of near copies costs
 m pairs and not m * m. Unlike nodes that share a name are all compared, by parities first: of the shingles in each of CELLS cells only the
 parity is kept, and the cells where two sets' parities differ are at most the shingles that one of them lacks.
 
@@ -30,10 +33,11 @@ from pyspark.sql import functions as F
 
 from seriesforge.llm.common import cut, whole_text
 from seriesforge.llm.components import components
-from seriesforge.llm.simhash import shingle_hashes
+from seriesforge.llm.simhash import majority, near_links, shingle_hashes
 
 WIDTH = 5
 SIMILAR, OF = 4, 5
+RADIUS = 2
 ROWS, BANDS = 4, 48
 CELLS = 512
 MIXERS = np.random.default_rng(8).integers(0, 1 << 64, (2, ROWS * BANDS), np.uint64) | np.uint64(1)
@@ -79,16 +83,17 @@ def identity(hashes: np.ndarray, bits: int = 64) -> tuple[int, int]:
 
 
 def _nodes(df: DataFrame, key: str, text: str, bits: int) -> DataFrame:
-    """(key, mark, node, check, n, names, parities): ``mark`` finds the text again, ``node`` and ``check`` identify its set of ``n`` shingles."""
+    """(key, mark, node, check, n, fp, names, parities): ``mark`` finds the text again, ``node`` and ``check`` identify its set of ``n`` shingles."""
 
-    @F.arrow_udf("node long, check long, n long, names array<long>, parities array<long>")
+    @F.arrow_udf("node long, check long, n long, fp long, names array<long>, parities array<long>")
     def named(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             sets = [shingles(t.as_py()) for t in batch]
             both = np.array([identity(s, bits) for s in sets], np.int64).reshape(-1, 2)
             lists = [_lists([make(s) for s in sets], size) for make, size in ((names, BANDS), (parities, CELLS // 64))]
-            yield pa.StructArray.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array([len(s) for s in sets], pa.int64()), *lists],
-                                             ["node", "check", "n", "names", "parities"])
+            yield pa.StructArray.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array([len(s) for s in sets], pa.int64()),
+                                              pa.array(np.array([majority(s) for s in sets], np.uint64).view(np.int64)), *lists],
+                                             ["node", "check", "n", "fp", "names", "parities"])
 
     return (df.select(F.col(key).alias("key"), F.xxhash64(whole_text(text)).alias("mark"), named.asNondeterministic()(whole_text(text)).alias("s"))
             .select("key", "mark", "s.*"))
@@ -96,7 +101,7 @@ def _nodes(df: DataFrame, key: str, text: str, bits: int) -> DataFrame:
 
 def _distinct(own: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows by key and one row for each set; nodes that stand for several sets are renamed."""
-    rest = [F.first(c).alias(c) for c in ("n", "names", "parities")]
+    rest = [F.first(c).alias(c) for c in ("n", "fp", "names", "parities")]
 
     def sets(rows: DataFrame) -> DataFrame:
         return cut(rows.groupBy("node").agg(F.min("key").alias("least"), F.min("mark").alias("mark"), F.min("check").alias("check"),
@@ -147,16 +152,34 @@ def verified(df: DataFrame, text: str, nodes: DataFrame, pairs: DataFrame) -> Da
     return cut(both.filter(similar).select("a", "b"))
 
 
+def _simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b): pairs that connect all nodes whose fingerprints are within the radius."""
+    first = nodes.groupBy("fp").agg(F.min("node").alias("first"))
+    alike = nodes.join(first, "fp").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    found = near_links(first.select("fp"), RADIUS).distinct()
+    for side in "ab":
+        found = found.join(first.select(F.col("fp").alias(side), F.col("first").alias(f"node_{side}")), side)
+    return alike.unionByName(found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")))
+
+
 def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", bits: int = 64) -> DataFrame:
     """(key, component): the smallest key that links lead to."""
     own, nodes = _distinct(cut(_nodes(df, key, text, bits)))
-    rows = nodes.select("node", F.posexplode("names").alias("band", "name"))
-    shared = rows.groupBy("band", "name").agg(F.min_by("node", F.xxhash64("node", "band")).alias("centre"), F.count("*").alias("m")).filter("m > 1")
-    members = cut(rows.join(shared, ["band", "name"]).select("band", "name", "centre", "node"))
     sides = [nodes.select(*[F.col(c).alias(x) for c, x in (("node", s), ("n", f"n_{s}"), ("parities", f"parities_{s}"))]) for s in "ab"]
-    stars = (members.filter("centre <> node").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
-             .join(sides[0], "a").join(sides[1], "b").filter(_close()).select("a", "b"))
-    links = verified(df, text, nodes, cut(stars))
+
+    def close(pairs: DataFrame) -> DataFrame:
+        return pairs.join(sides[0], "a").join(sides[1], "b").filter(_close()).select("a", "b")
+
+    links = verified(df, text, nodes, cut(close(_simhash_pairs(nodes))))
+    settled = nodes.join(components(links), "node", "left").select("node", "names", F.coalesce("root", "node").alias("root"))
+    rows = settled.select("node", "root", F.posexplode("names").alias("band", "name"))
+    shared = (rows.groupBy("band", "name").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", "band")).alias("at"), F.min("root").alias("low"),
+                                               F.max("root").alias("high")).filter("low <> high")
+              .select("band", "name", F.col("at.node").alias("centre"), F.col("at.root").alias("centre_root")))
+    members = cut(rows.join(shared, ["band", "name"]))
+    stars = close(members.filter("centre_root <> root").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct())
+    links = cut(links.unionByName(verified(df, text, nodes, cut(stars))))
+    members = members.select("band", "name", "centre", "node")
     roots = cut(components(links))
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_names = (placed.groupBy("band", "name").agg(F.min("root").alias("low"), F.max("root").alias("high"))

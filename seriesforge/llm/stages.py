@@ -23,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, Jaccard 0.8): the one with the smallest id."""
+    """One document of each group of near copies (SimHash, then five words at Jaccard 0.8): the one with the smallest id."""
     found = near_copies.near_copies(docs)
     first = found.filter("doc_id = component").select("doc_id").distinct()
     named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])

@@ -6,7 +6,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from seriesforge.llm import near_copies, stages
+from seriesforge.llm import near_copies, simhash, stages
 
 
 def slow_set(text):
@@ -65,5 +65,17 @@ def test_parities_reject_no_similar_pair():
         assert differ <= len(np.setxor1d(a, b))
 
 
+def test_simhash_links_stand_without_names(spark, monkeypatch):
+    """Copies within the radius are linked by their fingerprints, though no two sets share a name."""
+    monkeypatch.setattr(near_copies, "names", lambda hashes: np.full(near_copies.BANDS, hashes.sum(), np.uint64))
+    rows = sorted(copies())
+    prints = [simhash.majority(near_copies.shingles(t)) for _, t in rows]
+    near = [(a, b) for a, b in combinations(range(len(rows)), 2) if (prints[a] ^ prints[b]).bit_count() <= 2]
+    found = {r.doc_id: r.component for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    own = [slow_set(t) for _, t in rows]
+    linked = [(a, b) for a, b in near if own[a] != own[b] and 5 * len(own[a] & own[b]) >= 4 * len(own[a] | own[b])]
+    assert len(linked) > 20 and all(found[a] == found[b] for a, b in linked)
+
+
 def test_no_documents(nothing):
     assert near_copies.near_copies(nothing).count() == 0
