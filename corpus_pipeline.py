@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from seriesforge.llm import stages
-from seriesforge.llm.common import scratch_path, table
+from seriesforge.llm.common import scratch_path, table, written
 
 STAGES = [
     ("quality rules", stages.quality_rules),
@@ -23,7 +23,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each is written to the shared folder and read again by the next."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = scratch_path(spark, f"stage-{name.replace(' ', '-')}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = written(stage(spark, docs, sf_dir), scratch_path(spark, f"stage-{name.replace(' ', '-')}"))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -47,12 +48,33 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def brief_shuffles(spark: SparkSession):
+    """Shuffle files of an action on a table that is made in here go when the action ends, not when the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: later reads take files of the shared folder, whichever executors are lost."""
+    """A reliable checkpoint: later reads take files of the shared folder, whichever executors are lost, and its shuffles go at once."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
         spark.sparkContext.setCheckpointDir(shared_root(spark))
-    return df.checkpoint()
+    with brief_shuffles(spark):
+        return df.select("*").checkpoint()
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """The same rows in files of the shared folder, for later reads; its shuffles go at once."""
+    spark = df.sparkSession
+    with brief_shuffles(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -1,12 +1,13 @@
 """The pipeline's near copies against brute force: Jaccard similarity of 0.8 or more of the sets of five-word shingles."""
 
 import random
+import time
 from itertools import combinations
 
 import numpy as np
 import pytest
 
-from seriesforge.llm import near_copies, simhash, stages
+from seriesforge.llm import components, near_copies, simhash, stages
 
 
 def slow_set(text):
@@ -77,5 +78,23 @@ def test_simhash_links_stand_without_names(spark, monkeypatch):
     assert len(linked) > 20 and all(found[a] == found[b] for a, b in linked)
 
 
+def test_rounds_leave_no_shuffle_files(spark):
+    """Shuffle files of a round go with the round, and the setting for it is put back."""
+
+    def held():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = held(), spark.conf.get(name, None)
+    found = components.components(spark.range(200).selectExpr("id AS a", "id + 1 AS b"))
+    until = time.time() + 20
+    while held() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not held() - before
+    assert spark.conf.get(name, None) == setting
+    assert {(r.node, r.root) for r in found.collect()} == {(i, 0) for i in range(201)}
+
+
 def test_no_documents(nothing):
     assert near_copies.near_copies(nothing).count() == 0
