@@ -12,12 +12,14 @@ copies there, and about one position in sixteen is left.
   whatever their number, as the others are known to be repeated.
 * Round 2: what is left is dealt by that name again, together with the bytes around it, equal bytes of a task once, and ranked by
   the pairs of names that reach ``length`` bytes, past the threshold. A string is repeated where the least key of its rank
-  is smaller than its own. Names with over ``HOT`` positions are ranked by the strings themselves instead, whose minima are combined before
-  they are shuffled, so no group meets in one task.
+  is smaller than its own. The strings of names with over ``HOT`` positions are dealt by their own names instead, equal strings of a batch
+  once, so no group meets in one task.
+
+What a task already knows to be repeated takes no part in a round: it goes along as spans, merged for each document.
 
 Names are hashes; equal strings always have equal names, and strings count as equal when two 64-bit names agree
-among those that share the first one too (hot names compare the bytes themselves). Texts travel
-compressed; what round 2 finds is written to the shared folder, all else is in shuffles, so a lost executor costs its own tasks.
+among those that share the first one too. Texts travel
+compressed; what round 1 finds is written to the shared folder, all else is in shuffles, so a lost executor costs its own tasks.
 
 Defined cases: null and empty texts have no bytes; keys decide what is smaller, so equal keys never remove each other,
 and a null key neither removes nor loses anything; repeated rows get equal results each; documents shorter than
@@ -38,7 +40,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesforge.llm.common import scratch_path, whole_text
+from seriesforge.llm.common import scratch_path, whole_text, written
 
 HOT = 100_000  # positions of one name
 BUCKET_BYTES = 24 << 20  # text whose sampled positions are sorted together
@@ -77,8 +79,10 @@ def _pair(first: np.ndarray, second: np.ndarray, offset: int) -> np.ndarray:
     n = len(second) - offset
     if n <= 0:
         return first[:0]
-    x = first[:n] * U(0x9E3779B97F4A7C15) + (second[offset:] ^ U(0x5851F42D4C957F2D))
-    x ^= x >> U(32)
+    x, y = first[:n] * U(0x9E3779B97F4A7C15), second[offset:] ^ U(0x5851F42D4C957F2D)
+    x += y
+    np.right_shift(x, U(32), out=y)
+    x ^= y
     x *= U(0xD6E8FEB86659FD93)
     return x
 
@@ -90,13 +94,13 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     if len(data) < length:
         return tuple(np.zeros(0, t) for t in (np.int64, U, np.int64, np.int64))
     all_names, wide = least, length - k + 1
-    least = (least >> U(32)).astype(np.uint32)  # equal strings still choose alike
-    where, size = np.arange(len(least), dtype=np.int32), 1
+    # 32 bits of the name, by which equal strings still choose alike, above the position: leftmost among equals
+    least, size = (least & U(0xFFFFFFFF00000000)) | np.arange(len(least), dtype=U), 1
     while size < wide:
         step = min(size, wide - size)
-        later = least[step:] < least[:-step]  # leftmost among equals
-        least, where = np.where(later, least[step:], least[:-step]), np.where(later, where[step:], where[:-step])
+        least = np.minimum(least[:-step], least[step:])
         size += step
+    where = (least & U(0xFFFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
     at = where[first]
     return at, all_names[at], first, np.append(first[1:], len(where)) - 1
@@ -262,21 +266,71 @@ ROWS = "name long, doc long, tag long, starts array<int>, size int, bytes binary
 ROWS_ARROW = pa.schema([("name", pa.int64()), ("doc", pa.int64()), ("tag", pa.int64()), ("starts", pa.list_(pa.int32())),
                         ("size", pa.int32()), ("bytes", pa.binary())])
 FOUND = "doc long, tag long, pos array<int>, hot long"
-RANKED = "doc long, tag long, lo int, hi int, string binary"
+RANKED = "doc long, tag long, lo int, hi int"
+
+
+def _settled(doc: np.ndarray, tag: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+    """Rows without bytes, one for each document with its spans as (first byte, end) in ``starts``, merged where they touch.
+
+    Their names are negative.
+    """
+    order = np.lexsort((lo, tag, doc))
+    doc, tag, lo, hi = doc[order], tag[order], lo[order], hi[order]
+    own = np.append(True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]))
+    shift = np.cumsum(own) << 32  # spans of different documents never touch
+    top = np.maximum.accumulate(hi + shift)
+    new = np.flatnonzero(np.append(True, (lo + shift)[1:] > top[:-1]))
+    pairs = np.column_stack((lo[new], (top - shift)[np.append(new[1:], len(lo)) - 1])).astype(np.int32)
+    first = np.flatnonzero(own)
+    doc, tag = doc[first], tag[first]
+    ends = 2 * np.append(np.searchsorted(new, first), len(new))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.where(doc >= 0, ~doc, doc)), pa.array(doc), pa.array(tag), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pairs.ravel())),
+         pa.array(np.zeros(len(doc), np.int32)), pa.nulls(len(doc), pa.binary())], schema=ROWS_ARROW)
+
+
+def _repeat_lists(lists: pa.Array, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists of the rows ``of`` one after the other, and their sizes."""
+    size = lists.value_lengths().to_numpy()
+    begin, n = np.cumsum(size) - size, size[of]
+    return lists.flatten().to_numpy()[np.repeat(begin[of], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)], n
+
+
+def _strings(table: pa.Table | pa.RecordBatch, length: int) -> tuple[np.ndarray, ...]:
+    """All bytes of the rows; the row, the place in it and the place among all bytes of each string; its two names."""
+    size = table.column("size").to_numpy()
+    data = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8)
+    count = size.astype(np.int64) - length + 1
+    row = np.repeat(np.arange(len(size)), count)
+    inside = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    at = np.repeat(np.cumsum(size, dtype=np.int64) - size, count) + inside
+    return data, row, inside, at, names(data, length)[at], names(data, length, 1)[at]
+
+
+def _least(one: np.ndarray, two: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The least key among the strings with the same two names, for each string."""
+    order = np.argsort(one)
+    new = np.append(True, one[order[1:]] != one[order[:-1]])
+    if ((~new[1:]) & (two[order[1:]] != two[order[:-1]])).any():  # two strings with the same first name
+        order = np.lexsort((two, one))
+        new = np.append(True, (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]]))
+    least = np.empty_like(own)
+    least[order] = np.minimum.reduceat(own[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+    return least
 
 
 def _contexts(length: int, buckets: int, one_text: bool):
     """Round 2's rows: the name, the first starts and the bytes of all strings that chose a position.
 
     Equal bytes meet in the task already: the least document of a part sends them once, with all its starts. For the others it
-    is settled that all these strings are repeated; their spans go along without bytes, under negative names that no bytes have.
+    is settled that all these strings are repeated; their spans go along without bytes.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in _parts(batches, "_packed", SMALL_PART_BYTES):
-            least: dict[tuple, list] = {}  # (bytes, tag) -> name, document, starts
-            settled: list[tuple] = []
+            seen: dict = {}  # (bytes, tag) -> number
+            parts = []  # (number, document, tag, name, first byte, end) of each place
             for doc, tag, known, lists, packed in zip(*(batch.column(c).to_pylist() for c in ("doc", "_tag", "_known", "pos", "_packed"))):
                 if not known:
                     continue
@@ -286,97 +340,103 @@ def _contexts(length: int, buckets: int, one_text: bool):
                 for positions in lists:
                     asked[positions] = True
                 chosen = np.flatnonzero(asked[at])
-                keys = _keys(name[chosen] & U(0xFFFFFFFFFFFF0000), buckets).tolist()
-                for key, a, b in zip(keys, first[chosen].tolist(), (last[chosen] + length).tolist()):
-                    own = least.setdefault((raw[a:b], tag), [key, doc, []])
-                    if doc < own[1]:
-                        settled += [(~own[1] if own[1] >= 0 else own[1], own[1], tag, [start], b - a, None) for start in own[2]]
-                        own[1:] = [doc, [a]]
-                    elif doc > own[1]:
-                        settled.append((~doc if doc >= 0 else doc, doc, tag, [a], b - a, None))
-                    else:
-                        own[2].append(a)
-            rows = settled + [(key, doc, tag, starts, len(text), text) for (text, tag), (key, doc, starts) in least.items()]
-            for k in range(0, len(rows), CHUNK_ROWS):
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[k:k + CHUNK_ROWS]), ROWS_ARROW)], schema=ROWS_ARROW)
+                lo, hi = first[chosen], last[chosen] + length
+                strings = map(raw.__getitem__, map(slice, lo.tolist(), hi.tolist()))
+                numbers = [seen.setdefault(x if one_text else (x, tag), len(seen)) for x in strings]
+                key = _keys(name[chosen] & U(0xFFFFFFFFFFFF0000), buckets).view(np.int64)
+                parts.append(np.array([numbers, np.full(len(lo), doc), np.full(len(lo), tag), key, lo, hi], np.int64))
+            if not seen:
+                continue
+            number, doc, tag, key, lo, hi = np.concatenate(parts, axis=1)
+            least = np.full(len(seen), np.iinfo(np.int64).max)
+            np.minimum.at(least, number, doc)
+            gone = doc > least[number]
+            if gone.any():
+                yield _settled(doc[gone], tag[gone], lo[gone], hi[gone])
+            kept = np.flatnonzero(~gone)
+            kept = kept[np.argsort(number[kept], kind="stable")]
+            start = np.flatnonzero(np.append(True, number[kept[1:]] != number[kept[:-1]]))  # one for each string, in the order of seen
+            of = kept[start]
+            starts = pa.ListArray.from_arrays(pa.array(np.append(start, len(kept)), pa.int32()), pa.array(lo[kept].astype(np.int32)))
+            text = pa.array(list(seen) if one_text else [x for x, _ in seen], pa.binary())
+            rows = pa.RecordBatch.from_arrays([pa.array(key[of]), pa.array(least), pa.array(tag[of]), starts, pa.array((hi - lo)[of].astype(np.int32)), text],
+                                              schema=ROWS_ARROW)
+            for k in range(0, rows.num_rows, CHUNK_ROWS):
+                yield rows.slice(k, CHUNK_ROWS)
 
     return emit
 
 
-def _spans(doc, tag, starts: pa.Array, of: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
-    """Spans (row, first byte, end) of rows' bytes as spans of documents, for each of the row's starts."""
-    ends = starts.value_lengths().to_numpy()
-    begin = np.cumsum(ends) - ends
-    n = ends[of]
-    which = np.repeat(begin[of], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    at, row = starts.flatten().to_numpy()[which], np.repeat(of, n)
-    return pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(tag[row]), pa.array((at + np.repeat(lo, n)).astype(np.int32)),
-                                       pa.array((at + np.repeat(hi, n)).astype(np.int32))], ["doc", "tag", "lo", "hi"])
+def _split(length: int):
+    """Rows as they are, but of hot names' a row for each string, named by the string; what the batch shows to be repeated is settled."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hot = pa.compute.is_valid(batch.column("hot"))
+            yield batch.filter(pa.compute.invert(hot)).select(ROWS_ARROW.names)
+            batch = batch.filter(hot)
+            for part in _parts(iter([batch]), "bytes", PART_BYTES // 16):
+                yield from strings(part)
+
+    def strings(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        doc, tag = (batch.column(c).to_numpy() for c in ("doc", "tag"))
+        data, row, inside, at, one, two = _strings(batch, length)
+        gone = doc[row] > _least(one, two, doc[row])
+        start, n = _repeat_lists(batch.column("starts"), row)
+        start = (start + np.repeat(inside, n)).astype(np.int32)
+        if gone.any():
+            lo, of = start[np.repeat(gone, n)].astype(np.int64), np.repeat(row[gone], n[gone])
+            yield _settled(doc[of], tag[of], lo, lo + length)
+        kept = np.flatnonzero(~gone)
+        ends = pa.array(np.append(0, np.cumsum(n[kept])), pa.int32())
+        text = pa.FixedSizeBinaryArray.from_buffers(pa.binary(length), len(kept), [None, pa.py_buffer(data[at[kept][:, None] + np.arange(length)].tobytes())])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(one[kept].view(np.int64)), pa.array(doc[row[kept]]), pa.array(tag[row[kept]]), pa.ListArray.from_arrays(ends, pa.array(start[np.repeat(~gone, n)])),
+             pa.array(np.full(len(kept), length, np.int32)), text.cast(pa.binary())], schema=ROWS_ARROW)
+
+    return emit
 
 
 def _ranked(length: int):
-    """Spans to remove among rows sorted by name; a name's rows are never cut. Of rows with a hot name each string, to be ranked yet."""
+    """Spans to remove among rows sorted by name; a name's rows are never cut."""
 
     def spans(table: pa.Table) -> Iterator[pa.RecordBatch]:
         table = table.combine_chunks()
         settled = table.filter(pa.compute.is_null(table.column("bytes")))
         if settled.num_rows:
-            size = settled.column("size").to_numpy()
-            yield _spans(settled.column("doc").to_numpy(), settled.column("tag").to_numpy(), settled.column("starts").combine_chunks(),
-                         np.arange(len(size)), np.zeros(len(size), np.int64), size)
+            starts = settled.column("starts").combine_chunks()
+            of = np.repeat(np.arange(settled.num_rows), starts.value_lengths().to_numpy() // 2)
+            flat = starts.flatten()
+            yield pa.RecordBatch.from_arrays([settled.column("doc").take(of).combine_chunks(), settled.column("tag").take(of).combine_chunks(),
+                                              flat[::2], flat[1::2]], ["doc", "tag", "lo", "hi"])
         table = table.filter(pa.compute.is_valid(table.column("bytes")))
         if not table.num_rows:
             return
-        doc, tag, size = (table.column(c).to_numpy() for c in ("doc", "tag", "size"))
-        data = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8)
-        count = size.astype(np.int64) - length + 1
-        row = np.repeat(np.arange(len(size)), count)
-        inside = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        at = np.repeat(np.cumsum(size, dtype=np.int64) - size, count) + inside
-        one, two, own = names(data, length)[at], names(data, length, 1)[at], doc[row]
-        order = np.lexsort((own, one))
-        new = np.append(True, one[order[1:]] != one[order[:-1]])
-        if ((~new[1:]) & (two[order[1:]] != two[order[:-1]])).any():  # two strings with the same first name
-            order = np.lexsort((own, two, one))
-            new = np.append(True, (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]]))
-        least = own[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-        gone = np.zeros(len(row), bool)
-        gone[order] = own[order] > least
+        doc, tag = (table.column(c).to_numpy() for c in ("doc", "tag"))
+        _, row, inside, _, one, two = _strings(table, length)
+        gone = doc[row] > _least(one, two, doc[row])
         edge = np.append(True, row[1:] != row[:-1])
         lo = np.flatnonzero(gone & (edge | ~np.append(False, gone[:-1])))
         hi = np.flatnonzero(gone & np.append(edge[1:] | ~gone[1:], True))
-        yield _spans(doc, tag, table.column("starts").combine_chunks(), row[lo], inside[lo], inside[hi] + length)
-
-    def strings(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for at in range(0, batch.num_rows, 1000):
-            rows = [(doc, tag, start + k, start + k + length, text[k:k + length])
-                    for doc, tag, starts, text in zip(*(batch.slice(at, 1000).column(c).to_pylist() for c in ("doc", "tag", "starts", "bytes")))
-                    for k in range(len(text) - length + 1) for start in starts]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))],
-                                             ["doc", "tag", "lo", "hi", "string"])
-
-    def settled(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        for batch in spans(table):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(batch.num_rows, pa.binary())], ["doc", "tag", "lo", "hi", "string"])
+        start, n = _repeat_lists(table.column("starts").combine_chunks(), row[lo])
+        of = np.repeat(row[lo], n)
+        yield pa.RecordBatch.from_arrays([pa.array(doc[of]), pa.array(tag[of]), pa.array((start + np.repeat(inside[lo], n)).astype(np.int32)),
+                                          pa.array((start + np.repeat(inside[hi] + length, n)).astype(np.int32))], ["doc", "tag", "lo", "hi"])
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
         for batch in batches:
-            hot = pa.compute.is_valid(batch.column("hot"))
-            if hot.true_count:
-                yield from strings(batch.filter(hot))
-                batch = batch.filter(pa.compute.invert(hot))
             if not batch.num_rows:
                 continue
             name = batch.column("name").to_numpy()
             before = np.flatnonzero(name != name[-1])
             cut_at = int(before[-1]) + 1 if len(before) else 0
             if cut_at:
-                yield from settled(pa.Table.from_batches([*rest, batch.slice(0, cut_at)]))
+                yield from spans(pa.Table.from_batches([*rest, batch.slice(0, cut_at)]))
                 rest = []
             rest.append(batch.slice(cut_at))
         if rest:
-            yield from settled(pa.Table.from_batches(rest))
+            yield from spans(pa.Table.from_batches(rest))
 
     return rank
 
@@ -411,29 +471,19 @@ def repeated_spans(docs: DataFrame, texts: DataFrame, copies: DataFrame, length:
     known = docs.filter("doc IS NOT NULL")
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
-    path = scratch_path(spark, "repeats")
-    (known.mapInArrow(_positions(length, buckets), POSITIONS)
-     .repartitionById(buckets, F.col("bucket"))
-     .mapInArrow(_shared(HOT), FOUND).write.parquet(f"{path}/found"))
-    found = spark.read.schema(FOUND).parquet(f"{path}/found")
+    found = written(known.mapInArrow(_positions(length, buckets), POSITIONS)
+                    .repartitionById(buckets, F.col("bucket"))
+                    .mapInArrow(_shared(HOT), FOUND), scratch_path(spark, "repeats"))
     by = ["doc"] if one_text else ["doc", "tag"]
     shared = (found.filter("hot IS NULL").groupBy(*by).agg(F.collect_list("pos").alias("pos"))
               .join(copies, by, "left_anti"))
+    rows = texts.join(shared, _same(by)).mapInArrow(_contexts(length, buckets, one_text), ROWS)
     hot = found.filter("hot IS NOT NULL").select(F.col("hot").alias("name"), F.lit(True).alias("hot"))
-    rows = (texts.join(shared, _same(by))
-            .mapInArrow(_contexts(length, buckets, one_text), ROWS).repartition("name"))
+    if not hot.isEmpty():  # at most one name for every HOT positions, so these are few
+        rows = rows.join(F.broadcast(hot), "name", "left").mapInArrow(_split(length), ROWS)
     # The window sorts by name, and demands that a name's rows stay together: adaptive execution may not split them for a join.
     in_order = F.row_number().over(W.partitionBy("name").orderBy("doc"))
-    if hot.isEmpty():
-        rows = rows.select("*", F.lit(None).cast("boolean").alias("hot"), in_order.alias("nth"))
-        return rows.mapInArrow(_ranked(length), RANKED).drop("string")
-    # Hot names' strings are read twice below; written, their surroundings are made and shuffled once, whatever the plan.
-    (rows.join(hot, "name", "left").withColumn("nth", in_order).mapInArrow(_ranked(length), RANKED).write.parquet(f"{path}/ranked"))
-    ranked = spark.read.schema(RANKED).parquet(f"{path}/ranked")
-    strings = ranked.filter("string IS NOT NULL")
-    least = strings.groupBy("string").agg(F.min("doc").alias("least"))
-    warm = strings.join(least, "string").filter("doc > least").select("doc", "tag", "lo", "hi")
-    return ranked.filter("string IS NULL").drop("string").unionByName(warm)
+    return rows.repartition("name").withColumn("nth", in_order).mapInArrow(_ranked(length), RANKED)
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, out: str = "dedup",

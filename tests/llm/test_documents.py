@@ -3,8 +3,10 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from seriesforge.llm import components, decontaminate, hash_ring, quality_gbt, simhash, suffix_dedup
@@ -74,6 +76,44 @@ def test_repeats_of_nothing(nothing):
         suffix_dedup.remove_repeats(nothing, length=1)
 
 
+def context_rows(texts, one_text=True):
+    """Round 2's rows of one batch in which every sampled position is asked for."""
+    raws = [t.encode() for _, t in texts]
+    at = [suffix_dedup.anchors(np.frombuffer(r, np.uint8), 50)[0].astype(np.int32).tolist() for r in raws]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([d for d, _ in texts]), pa.array(range(len(texts))), pa.array([True] * len(texts)), pa.array([[a] for a in at], pa.list_(pa.list_(pa.int32()))),
+         pa.array([zstandard.ZstdCompressor().compress(r) for r in raws], pa.binary())], ["doc", "_tag", "_known", "pos", "_packed"])
+    return [r for b in suffix_dedup._contexts(50, 4, one_text)(iter([batch])) for r in b.to_pylist()]
+
+
+def test_copies_of_a_batch_are_settled_by_a_row_for_each_document():
+    text = prose(3)
+    rows = context_rows([(d, text) for d in range(30, 0, -1)] + [(40, text + prose(4))])
+    n = len(text.encode())
+    settled = {r["doc"]: r["starts"] for r in rows if r["bytes"] is None}
+    assert len([r for r in rows if r["bytes"] is None]) == 30 and all(settled[d] == [0, n] for d in range(2, 31))
+    assert settled[40][0] == 0 and len(settled[40]) == 2 and n - 50 < settled[40][1] <= n
+    assert {r["doc"] for r in rows if r["bytes"] is not None} == {1, 40}
+
+
+def test_hot_strings_of_a_batch_go_along_once():
+    """60 documents share a passage amid different words: of each of its strings one row is left, and all others are settled."""
+    shared = prose(5, 30)
+    texts = [(d, f"{prose(100 + d, 20)} {shared} {prose(200 + d, 20)}") for d in range(60)]
+    rows = context_rows(texts)
+    batch = pa.RecordBatch.from_pylist([r | {"hot": None if r["bytes"] is None else True} for r in rows],
+                                       pa.schema([*suffix_dedup.ROWS_ARROW, ("hot", pa.bool_())]))
+    got = [r for b in suffix_dedup._split(50)(iter([batch])) for r in b.to_pylist()]
+    strings = [r["bytes"] for r in got if r["bytes"] is not None]
+    assert len(set(strings)) == len(strings) and all(len(s) == 50 for s in strings)
+    assert {t.encode()[i:i + 50] for _, t in texts for i in range(len(t.encode()) - 49)} == set(strings)
+    gone = {d: np.zeros(len(t.encode()), bool) for d, t in texts}
+    for r in got:
+        for lo, hi in zip(r["starts"][::2], r["starts"][1::2]) if r["bytes"] is None else ():
+            gone[r["doc"]][lo:hi] = True
+    assert all((gone[d] == want).all() for d, _, want in removed_bytes(texts, 50))
+
+
 # --- SimHash ------------------------------------------------------------------------------------------------------------------------
 
 def slow_fingerprint(text):
