@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -76,14 +77,14 @@ def test_repeats_of_nothing(nothing):
         suffix_dedup.remove_repeats(nothing, length=1)
 
 
-def context_rows(texts, one_text=True):
+def context_rows(texts, one_text=True, hot=None):
     """Round 2's rows of one batch in which every sampled position is asked for."""
     raws = [t.encode() for _, t in texts]
     at = [suffix_dedup.anchors(np.frombuffer(r, np.uint8), 50)[0].astype(np.int32).tolist() for r in raws]
     batch = pa.RecordBatch.from_arrays(
         [pa.array([d for d, _ in texts]), pa.array(range(len(texts))), pa.array([True] * len(texts)), pa.array([[a] for a in at], pa.list_(pa.list_(pa.int32()))),
          pa.array([zstandard.ZstdCompressor().compress(r) for r in raws], pa.binary())], ["doc", "_tag", "_known", "pos", "_packed"])
-    return [r for b in suffix_dedup._contexts(50, 4, one_text)(iter([batch])) for r in b.to_pylist()]
+    return [r for b in suffix_dedup._contexts(50, 4, one_text, *([] if hot is None else [hot]))(iter([batch])) for r in b.to_pylist()]
 
 
 def test_copies_of_a_batch_are_settled_by_a_row_for_each_document():
@@ -114,6 +115,52 @@ def test_hot_strings_of_a_batch_go_along_once():
     assert all((gone[d] == want).all() for d, _, want in removed_bytes(texts, 50))
 
 
+def test_strings_of_hot_names_are_split_by_the_worker_that_finds_them():
+    """Given the names, round 2's rows hold single strings, so no second worker is needed for these."""
+    shared = prose(5, 30)
+    texts = [(d, f"{prose(100 + d, 20)} {shared} {prose(200 + d, 20)}") for d in range(60)]
+    names = {r["name"] for r in context_rows(texts) if r["bytes"] is not None}
+    hot = np.array(sorted(names)[::2], np.int64)
+    got = [r for r in context_rows(texts, hot=hot) if r["bytes"] is not None]
+    whole = [r for r in got if r["name"] in names]
+    assert {r["name"] for r in whole} == names - set(hot.tolist())
+    strings = [r["bytes"] for r in got if r["name"] not in names]
+    assert strings and len(set(strings)) == len(strings) and all(len(s) == 50 for s in strings)
+    everything = {r["bytes"][i:i + 50] for r in whole for i in range(len(r["bytes"]) - 49)} | set(strings)
+    assert everything == {t.encode()[i:i + 50] for _, t in texts for i in range(len(t.encode()) - 49)}
+
+
+def peak_bytes(rows):
+    """The most that numpy and Python hold while the rows are made."""
+    tracemalloc.start()
+    try:
+        for _ in rows:
+            pass
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_the_rounds():
+    """A worker's arrays stay a few times as large as its text, some 50 bytes for each string."""
+    texts = [prose(d, 3000) for d in range(100)]
+    text = pa.array(texts, pa.string())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(range(100)), text], ["doc", "tag", "text"])
+    size = sum(len(t.encode()) for t in texts)
+    assert peak_bytes(suffix_dedup._positions(50, 8)(iter([batch]))) < 6 * size
+    n, length = 20_000, 50
+    lines = np.random.default_rng(1).integers(97, 123, (n, 80)).astype(np.uint8)
+    lines[:, 20:60] = lines[0, 20:60]
+    schema = suffix_dedup.ROWS_ARROW
+    rows = pa.RecordBatch.from_arrays(
+        [pa.array(np.zeros(n, np.int64)), pa.array(np.arange(n)), pa.array(np.arange(n)), pa.array([[0]] * n, pa.list_(pa.int32())),
+         pa.array(np.full(n, 80, np.int32)), pa.array([x.tobytes() for x in lines], pa.binary())], schema=schema)
+    strings = n * (80 - length + 1)
+    assert peak_bytes(suffix_dedup._ranked(length)(iter([rows]))) < 70 * strings
+    hot = rows.append_column("hot", pa.array([True] * n))
+    assert peak_bytes(suffix_dedup._split(length)(iter([hot]))) < 150 * strings
+
+
 # --- SimHash ------------------------------------------------------------------------------------------------------------------------
 
 def slow_fingerprint(text):
