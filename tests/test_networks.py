@@ -1,10 +1,12 @@
 """k-means and exchange networks against plain Python."""
 
+import datetime
 import random
 
 import pytest
 
 from seriesforge.operators import cluster, network
+from workload import catalogs, networks
 
 
 def slow_lloyd(rows, centres, rounds):
@@ -106,3 +108,21 @@ def test_a_round_moves_no_flows(spark, monkeypatch):
     monkeypatch.undo()
     assert len(plans) == 3 and all(plan.count("Exchange hashpartitioning(block") <= 1 for plan in plans)
     assert got == pytest.approx({r.node: r.share for r in network.shares(net, 3).collect()}) and sum(got.values()) == pytest.approx(1)
+
+
+def test_every_customer_passes_goods_on(spark, tmp_path):
+    """Customers in nations of odd numbers too, one without a nation and one that is in two."""
+    tables = {"customer": ([(1, "a", 3, 0.0, "x"), (2, "b", 4, 0.0, "x"), (3, "c", None, 0.0, "x"), (4, "d", 5, 0.0, "x"), (4, "d", 6, 0.0, "x")], catalogs.SCHEMAS["customer"]),
+              "orders": ([(10 * i, i, "O", 1.0, datetime.datetime(2000, 1, 1), "1-URGENT") for i in range(1, 5)], catalogs.SCHEMAS["orders"]),
+              "lineitem": ([(10 * i, 1, 1 + i % 2, 1, float(q), 1.0, 0.0, 0.0, "N", "O", datetime.datetime(2000, 2, 1)) for i, q in ((1, 5), (1, 2), (2, 3), (3, 4), (4, 6))], catalogs.SCHEMAS["lineitem"])}
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    edges = {("S2", "C1"): 7, ("S1", "C2"): 3, ("S2", "C3"): 4, ("S1", "C4"): 6, ("C1", "N3"): 7, ("C2", "N4"): 3, ("C4", "N5"): 6, ("C4", "N6"): 6}
+    assert {(r.source, r.target): r.amount for r in networks.trade(spark, str(tmp_path)).collect()} == edges
+    nodes = sorted({n for e in edges for n in e})
+    sent = {n: sum(a for (s, _), a in edges.items() if s == n) for n in nodes}
+    share = {n: 1 / len(nodes) for n in nodes}
+    for _ in range(6):
+        idle = sum(share[n] for n in nodes if not sent[n])
+        share = {n: 0.15 / len(nodes) + 0.85 * (idle / len(nodes) + sum(share[s] * a / sent[s] for (s, t), a in edges.items() if t == n)) for n in nodes}
+    assert {r.node: r.share for r in networks.trade_shares(spark, str(tmp_path)).collect()} == pytest.approx(share, abs=1e-9)

@@ -41,12 +41,12 @@ def part_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.assigned(rows, cluster.lloyd(rows, first, ROUNDS)).withColumn("distance", F.round("distance", 5))
 
 
-def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flows of pieces from suppliers to customers, and from each customer to the nation where it is."""
+def trade(spark: SparkSession, sf_dir: str, customers: DataFrame | None = None) -> DataFrame:
+    """Flows of pieces from suppliers to customers, and from each customer (of ``customers`` alone, if given) to the nation where it is."""
     lines = c.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey", F.col("l_quantity").cast("long").alias("amount"))
     # The nations a customer is in are one row each, so that both kinds of flows come from one join of lines and orders.
-    at = (c.table(spark, sf_dir, "customer").filter(F.col("c_nationkey") % 2 == 0).groupBy(F.col("c_custkey").alias("o_custkey"))
-          .agg(F.collect_list("c_nationkey").alias("nations")))
+    customers = c.table(spark, sf_dir, "customer") if customers is None else customers
+    at = customers.groupBy(F.col("c_custkey").alias("o_custkey")).agg(F.collect_list("c_nationkey").alias("nations"))
     sold = lines.join(c.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(at, "o_custkey", "left"), "o_orderkey")
     name = lambda kind, key: F.concat(F.lit(kind), key.cast("string"))
     buyer = name("C", F.col("o_custkey"))
@@ -55,20 +55,21 @@ def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.flows(sold.select("amount", F.inline(F.concat(goods, used))))
 
 
-_TRADE = """
+def _trade(customers: str) -> str:
+    return f"""
 WITH sold AS (SELECT l_suppkey, o_custkey, CAST(l_quantity AS BIGINT) AS amount FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
 net AS (SELECT source, target, CAST(sum(amount) AS BIGINT) AS amount FROM (
             SELECT 'S' || l_suppkey AS source, 'C' || o_custkey AS target, amount FROM sold
-            UNION ALL SELECT 'C' || o_custkey, 'N' || c_nationkey, amount FROM sold JOIN customer ON c_custkey = o_custkey WHERE c_nationkey % 2 = 0)
+            UNION ALL SELECT 'C' || o_custkey, 'N' || c_nationkey, amount FROM sold JOIN customer ON c_custkey = o_custkey WHERE {customers})
         WHERE amount > 0 GROUP BY 1, 2)"""
 
 
-@query(f"""{_TRADE}
+@query(f"""{_trade("c_nationkey % 2 = 0")}
 SELECT node, CAST(sum(sent) AS BIGINT) AS sent, CAST(sum(received) AS BIGINT) AS received, CAST(sum(received) - sum(sent) AS BIGINT) AS balance
 FROM (SELECT source AS node, amount AS sent, 0 AS received FROM net UNION ALL SELECT target, 0, amount FROM net) GROUP BY 1""")
 def trade_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What every node of the network sends and receives."""
-    return network.balances(trade(spark, sf_dir))
+    """What every node of the network sends and receives, where only customers in nations of even numbers pass goods on."""
+    return network.balances(trade(spark, sf_dir, c.table(spark, sf_dir, "customer").filter(F.col("c_nationkey") % 2 == 0)))
 
 
 _SHARES = """,
@@ -79,7 +80,7 @@ r{k} AS (SELECT o.node, o.dangling, o.n, 0.15 / o.n + 0.85 * (SELECT coalesce(su
          FROM node o LEFT JOIN (SELECT target, sum(part * share) AS got FROM part JOIN r{k - 1} ON node = source GROUP BY 1) g ON g.target = o.node)""" for k in range(1, 7))
 
 
-@query(f"{_TRADE}{_SHARES} SELECT node, round(share, 10) AS share FROM r6")
+@query(f"{_trade('c_nationkey IS NOT NULL')}{_SHARES} SELECT node, round(share, 10) AS share FROM r6")
 def trade_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The share that circulates at every node after six rounds."""
+    """The share that circulates at every node after six rounds, over the flows of all customers."""
     return network.shares(trade(spark, sf_dir), rounds=6).withColumn("share", F.round("share", 10))
