@@ -36,10 +36,12 @@ def join_facts(dim: DataFrame, facts: DataFrame, key: str = "series_id", hot_row
     return matched.select(*columns).unionByName(unmatched, allowMissingColumns=True)
 
 
-def join_keys(few: DataFrame, many: DataFrame, key: str, hot_rows: int = HOT_ROWS, hint: str | None = None) -> DataFrame:
+def join_keys(few: DataFrame, many: DataFrame, key: str, hot_rows: int = HOT_ROWS, hint: str | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Inner join of a side with few rows a key to one with any number; a key with more than ``hot_rows`` rows is split. ``hint`` names
-    the join where Spark can't know the sides' sizes, as behind an explode."""
-    return _join_by_part(few, many, many.groupBy(key).agg(F.count("*").alias("_rows")), key, hot_rows, hint)
+    the join where Spark can't know the sides' sizes, as behind an explode. ``counts`` (key, _rows) has the hot keys where they are
+    known without counting; they are so few that they are broadcast."""
+    counts = many.groupBy(key).agg(F.count("*").alias("_rows")) if counts is None else F.broadcast(counts)
+    return _join_by_part(few, many, counts, key, hot_rows, hint)
 
 
 def _join_by_part(dim: DataFrame, facts: DataFrame, counts: DataFrame, key: str, hot_rows: int, hint: str | None = None) -> DataFrame:

@@ -81,3 +81,47 @@ def test_repeated_rows_rules_and_hot_names(spark):
     rules = spark.createDataFrame([(7, "gas", "gas$", ".")] * 2, "rule_id int, title string, name_pattern string, unit_pattern string")
     got = sorted((r.rule_id, r.id) for r in rule_index.match_rule_table(dim, rules, hot_rows=2).collect())
     assert got == sorted([(7, 1), (7, 1), (7, 2), (7, 3)] * 2)
+
+
+def test_patterns_under_one_rule(spark):
+    """Each has a key of its own, whether or not a name has the other's."""
+    dim = spark.createDataFrame([(1, "natural gas", "MWh"), (2, "hard coal", "MWh"), (3, "wind", "MWh")], "id int, name string, units string")
+    rules = spark.createDataFrame([(7, "a", "gas$", "."), (7, "a", "coal", "."), (7, "a", "solar", "."), (8, "b", "w?i|w", ".")],
+                                  "rule_id int, title string, name_pattern string, unit_pattern string")
+    assert sorted((r.rule_id, r.id) for r in rule_index.match_rule_table(dim, rules).collect()) == [(7, 1), (7, 2), (8, 3)]
+
+
+def test_grams_are_not_shuffled(spark, monkeypatch):
+    """A row meets the rules by the few keys that its name contains, not by each of its grams, and so does a rule by its key alone."""
+    sent, join = [], rule_index.join_keys
+
+    def joined(few, many, *rest, **named):
+        sent.append((few.count(), many.count()))
+        return join(few, many, *rest, **named)
+
+    monkeypatch.setattr(rule_index, "join_keys", joined)
+    dim = spark.createDataFrame([(i, f"Net generation : plant {i:05d} : all fuels : monthly", "MWh") for i in range(500)], "id int, name string, units string")
+    rules = spark.createDataFrame([(i, "r", f"plant {i:05d} : .*monthly$", "mwh") for i in range(500)] + [(i, "no", f"{i:05d} : nowhere", "mwh") for i in range(500, 600)],
+                                  "rule_id int, title string, name_pattern string, unit_pattern string")
+    assert sorted((r.rule_id, r.id) for r in rule_index.match_rule_table(dim, rules).collect()) == [(i, i) for i in range(500)]
+    assert sent and all(few <= 600 and many <= 1500 for few, many in sent)
+
+
+@pytest.mark.parametrize("piece", [1, 40, 1 << 20])
+def test_keys_are_found_in_names(monkeypatch, piece):
+    """Whatever a text's place among others: grams of a literal are grams of each text that contains it, and none reaches into the next text."""
+    monkeypatch.setattr(rule_index, "PIECE", piece)
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choices("abü ", k=rnd.randrange(30))).encode() for _ in range(200)] + [b"", b"abc"]
+    own = [set() for _ in texts]
+    for a, b in rule_index._pieces([len(t) for t in texts]):
+        for k, at, row, hashes in rule_index._grams(texts[a:b]):
+            joined = b"".join(texts[a:b])
+            for place, i, h in zip(at.tolist(), row.tolist(), hashes.tolist()):
+                own[a + i].add((joined[place:place + rule_index.GRAMS[k]], h))
+    names = {}
+    for text, grams in zip(texts, own):
+        assert {g for g, _ in grams} == {text[i:i + n] for n in rule_index.GRAMS for i in range(len(text) - n + 1)}
+        for gram, h in grams:
+            assert names.setdefault(gram, h) == h
+    assert len(set(names.values())) == len(names)
